@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ehr"]
+GROUPS = ["ehr", "text"]
 
 
 def load_all() -> None:

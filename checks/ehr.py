@@ -10,6 +10,7 @@ from clinprep import vocab
 from clinprep.functions import measure
 from clinprep.functions.exprs import micros
 from clinprep.operators import ehr, profile
+from clinprep.plans.context import build_context
 
 LAB_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 LAB_ITEMS = {0: "BNP", 1: "Platelet Count", 2: "BUN", 3: "WBC Count", 4: "INR", 5: "CRP", 6: "Chloride"}
@@ -346,29 +347,10 @@ def _(spark, sf):
 
 def context(spark, sf):
     """A9 over studies: vitals and oxygen at study time, labs and flags of the latest admission."""
-    studies = ehr.demographics(view(spark, sf, "studies"), view(spark, sf, "patients"))
-    last = ehr.latest_admission(view(spark, sf, "admissions"))
-    based = ehr.salted_join(studies, last.select("subject_id", "hadm_id", "admission_type"), "subject_id", ["study_id"], "left")
-    events = view(spark, sf, "chartevents").withColumn("unit", F.lit("unknown"))
-    seen = []
-    for source in vocab.SOURCE_PRIORITY:
-        part = ehr.plausible_vitals(events.where(F.col("source") == source))
-        seen.append(ehr.at_study(studies, part.withColumn("at", F.col("charttime")), "vital", CHART_NAMES,
-                                 vocab.VITAL_LOOKBACK_DAYS * ehr.DAY, ["event_id"],
-                                 ["event_id", "valuenum", "unit", "source", "at"]))
-    vitals = ehr.merge_vital_sources(
-        seen[0].unionByName(seen[1]).unionByName(seen[2]).withColumnRenamed("at", "charttime"), ["study_id"], "event_id")
-    oxygen_text = _oxygen_events(spark, sf).withColumn(
-        "o2_device", F.concat(F.coalesce("device_type", F.lit("Unknown")), F.lit(": "), "value"))
-    oxygen = ehr.at_study(studies, oxygen_text, "device", None, vocab.OXYGEN_LOOKBACK_HOURS * ehr.HOUR,
-                          ["event_id"], ["o2_device"]).select("study_id", "o2_device")
-    per_subject = _latest_labs(spark, sf).select("subject_id", "lab", "valuenum", "valueuom")
-    labs = studies.select("study_id", "subject_id").join(per_subject, "subject_id").select(
-        "study_id", "lab", F.struct(F.col("valuenum").alias("value"), F.col("valueuom").alias("unit")).alias("lab_value")
-    ).select("study_id", "lab", "lab_value.*")
-    flags = ehr.with_condition_flags(
-        based.select("study_id", "hadm_id"), ehr.condition_flags(view(spark, sf, "diagnoses"), ["hadm_id"]), "hadm_id", ["study_id"])
-    return ehr.nested_context(based, vitals, labs, oxygen, flags)
+    return build_context(
+        view(spark, sf, "studies"), view(spark, sf, "patients"), view(spark, sf, "admissions"),
+        view(spark, sf, "chartevents").withColumn("unit", F.lit("unknown")), named_labs(spark, sf),
+        _oxygen_events(spark, sf), view(spark, sf, "diagnoses"), CHART_NAMES, LAB_IDS)
 
 
 CONTEXT_VIEWS = ("studies", "patients", "admissions", "chartevents", "labevents", "lab_items", "diagnoses")
