@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ehr", "text"]
+GROUPS = ["ehr", "text", "labels"]
 
 
 def load_all() -> None:

@@ -57,3 +57,8 @@ def micros(time: Column | str) -> Column:
     """Microseconds since the epoch, for timestamps with or without a zone."""
     col = F.col(time) if isinstance(time, str) else time
     return F.unix_micros(col.cast("timestamp"))
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once, for costly inputs used several times."""
+    return F.get(F.transform(F.array(value), body), 0)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clinprep import vocab
-from clinprep.functions.exprs import contains_any, first_match, lookup
+from clinprep.functions.exprs import contains_any, first_match, let, lookup
 
 # everything a text strip or a whitespace collapse should treat as blank
 BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
@@ -35,14 +35,17 @@ def section(upper_text: Column, heading: str) -> Column:
         rf"(?s){heading}(.*?)(?:\n[A-Z ]+:|\z)",
         rf"(?s){heading}:(.*?)(?:\n[A-Z]{{2,}}|\z)",
     ]
-    found = [strip(F.regexp_extract(upper_text, b, 1)) for b in bodies]
-    return F.coalesce(*[F.when(F.length(f) > SECTION_MIN_CHARS, f) for f in found])
+    return F.coalesce(*[
+        let(strip(F.regexp_extract(upper_text, b, 1)),
+            lambda found: F.when(F.length(found) > SECTION_MIN_CHARS, found))
+        for b in bodies
+    ])
 
 
 def extract_impression(report: Column) -> Column:
     """Cleaned impression, or the findings when there is none; null when both are too short."""
-    text = F.upper(report)
-    return clean_text(F.coalesce(section(text, "IMPRESSION"), section(text, "FINDINGS")))
+    body = let(F.upper(report), lambda t: F.coalesce(section(t, "IMPRESSION"), section(t, "FINDINGS")))
+    return clean_text(body)
 
 
 def redaction_marks(text: Column) -> Column:
