@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ehr", "text", "labels"]
+GROUPS = ["ehr", "text", "labels", "correct"]
 
 
 def load_all() -> None:

@@ -37,7 +37,8 @@ def label_maps(rows: DataFrame) -> DataFrame:
 
 
 def explode_labels(maps: DataFrame, labels: str = "labels") -> DataFrame:
-    return maps.select("study_id", F.explode(labels).alias("label", "value"))
+    rows = maps.select("study_id", F.explode_outer(labels).alias("label", "value"))
+    return rows.where(F.col("label").isNotNull())
 
 
 def out_of_domain(rows: DataFrame) -> DataFrame:

@@ -20,7 +20,9 @@ def label_distribution(rows: DataFrame) -> DataFrame:
 
 def map_distribution(records: DataFrame, labels: str) -> DataFrame:
     """The same from a label map column."""
-    return label_distribution(records.select(F.explode(labels).alias("label", "value")))
+    # the outer form keeps Spark from repeating a computed map in a size filter
+    rows = records.select(F.explode_outer(labels).alias("label", "value"))
+    return label_distribution(rows.where(F.col("label").isNotNull()))
 
 
 def view_counts(records: DataFrame) -> DataFrame:
@@ -57,7 +59,7 @@ def context_coverage(contexts: DataFrame) -> DataFrame:
         _named("flag", F.map_keys(F.map_filter("icd_json", lambda _, v: v))),
     ))
     age = F.when(F.col("r.metric") == "age", F.col("age"))
-    counted = contexts.select(e["Age"].alias("age"), F.explode(rows).alias("r")).groupBy(
+    counted = contexts.select(e["Age"].alias("age"), F.explode_outer(rows).alias("r")).groupBy(
         F.col("r.metric").alias("metric"), F.col("r.name").alias("name")).agg(
         F.count("*").alias("n"), F.round(F.avg(age), 4).alias("mean"),
         F.min(age).cast("long").alias("low"), F.max(age).cast("long").alias("high"))
@@ -81,7 +83,7 @@ def stage_coverage(samples: DataFrame, top: int = 10) -> DataFrame:
         F.coalesce(_named("vital", F.map_keys(p["Vitals"])), F.array()),
         F.coalesce(_named("lab", F.map_keys(p["Labs"])), F.array()),
     ))
-    counted = samples.where(F.col("stage") == "B").select(F.explode(rows).alias("r")).groupBy(
+    counted = samples.where(F.col("stage") == "B").select(F.explode_outer(rows).alias("r")).groupBy(
         F.col("r.metric").alias("metric"), F.col("r.name").alias("name")).agg(F.count("*").alias("n"))
     total = F.max(F.when(F.col("metric") == "total", F.col("n"))).over(_report_rows())
     place = F.row_number().over(Window.partitionBy("metric").orderBy(F.desc("n"), "name"))
@@ -106,7 +108,7 @@ def condition_frequencies(samples: DataFrame, conditions: Column) -> DataFrame:
 
 def positive_frequencies(samples: DataFrame, labels: str) -> DataFrame:
     """How many stage-B samples are positive for each finding."""
-    rows = samples.where(F.col("stage") == "B").select(F.explode(labels).alias("name", "value"))
+    rows = samples.where(F.col("stage") == "B").select(F.explode_outer(labels).alias("name", "value"))
     return rows.where(F.col("value") == 1).groupBy("name").agg(F.count("*").alias("n"))
 
 
