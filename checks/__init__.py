@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ehr", "text", "labels", "correct"]
+GROUPS = ["ehr", "text", "labels", "correct", "corpus", "qc", "evaluate"]
 
 
 def load_all() -> None:

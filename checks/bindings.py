@@ -142,13 +142,13 @@ DUCK_FORM = {"finding_rows": f"""
 
 # three voting runs per study and finding
 SPARK_FORM["votes"] = f"""
-    SELECT study_id, stage, run, label, CAST((study_id * 7 + run * 3 + pos * 5 + n_chars) % 3 - 1 AS INT) AS value
+    SELECT study_id, stage, run, label, CAST((study_id * 7 + run * (n_chars % 4) + pos * 5 + n_chars) % 3 - 1 AS INT) AS value
     FROM (SELECT d.doc_id AS study_id, d.n_chars, CASE WHEN d.doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS stage, t.pos, t.label, r.run
           FROM {{documents}} d LATERAL VIEW posexplode(array({_NAMES})) t AS pos, label
           LATERAL VIEW explode(array(0, 1, 2)) r AS run) x"""
 DUCK_FORM["votes"] = f"""
     SELECT d.doc_id AS study_id, CASE WHEN d.doc_id % 2 = 0 THEN 'A' ELSE 'B' END AS stage, CAST(r.run AS INT) AS run,
-           t.label, CAST((d.doc_id * 7 + r.run * 3 + (t.i - 1) * 5 + d.n_chars) % 3 - 1 AS INT) AS value
+           t.label, CAST((d.doc_id * 7 + r.run * (d.n_chars % 4) + (t.i - 1) * 5 + d.n_chars) % 3 - 1 AS INT) AS value
     FROM {{documents}} d, unnest([{_NAMES}]) WITH ORDINALITY AS t(label, i), unnest([0, 1, 2]) AS r(run)"""
 
 

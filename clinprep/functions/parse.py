@@ -38,9 +38,14 @@ def json_map(body: Column) -> Column:
     return F.when(is_json_object(body), F.from_json(body, JSON_MAP))
 
 
+def is_json(text: Column) -> Column:
+    """Exactly one valid JSON value. Inside brackets, trailing text cannot be overlooked."""
+    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
+    return F.coalesce(F.size(wrapped.cast("array<variant>")) == 1, F.lit(False))
+
+
 def is_json_object(body: Column) -> Column:
-    """Strict validity: ``try_parse_json`` rejects what a lenient reader would repair."""
-    return F.coalesce(F.try_parse_json(body).isNotNull() & F.ltrim(body).startswith("{"), F.lit(False))
+    return F.coalesce(F.ltrim(body).startswith("{") & is_json(body), F.lit(False))
 
 
 def impression_of(text: Column, variant: str = "plain") -> Column:
@@ -89,12 +94,16 @@ def pieces_to_close(pieces: Column) -> Column:
 
 
 def repaired(text: Column, repair: Column) -> Column:
-    """Blocks of ``text`` replaced by the blocks of ``repair`` where those are valid and not empty."""
-    out = text
-    for patterns, head in ((FINDING_BLOCK, "2) CheXpert: "), (ICD_BLOCK, "3) ICD: ")):
-        body = block(repair, patterns["strict"])
-        old = block(text, patterns["strict"])
-        usable = is_json_object(body) & (F.size(F.from_json(body, JSON_MAP)) > 0) & old.isNotNull()
-        swapped = F.replace(out, F.concat(F.lit(head), old), F.concat(F.lit(head), body))
-        out = F.when(F.coalesce(usable, F.lit(False)), swapped).otherwise(out)
-    return out
+    """Blocks of ``text`` replaced by the blocks of ``repair`` where those are valid and not empty.
+
+    An invalid finding block in the repair also keeps its ICD block from being used.
+    """
+    finding, icd = (block(repair, p["strict"]) for p in (FINDING_BLOCK, ICD_BLOCK))
+
+    def swap(source, head, pattern, body, allowed):
+        usable = F.coalesce(allowed & is_json_object(body) & (F.size(F.from_json(body, JSON_MAP)) > 0), F.lit(False))
+        literal = F.regexp_replace(F.concat(F.lit(head), body), r"([\\$])", r"\\$1")
+        return F.when(usable, F.regexp_replace(source, F.lit(pattern), literal)).otherwise(source)
+
+    out = swap(text, "2) CheXpert: ", r"(?s)2\) CheXpert: \{.*?\}", finding, F.lit(True))
+    return swap(out, "3) ICD: ", r"(?s)3\) ICD: \{.*?\}", icd, finding.isNull() | is_json_object(finding))

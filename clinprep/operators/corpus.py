@@ -251,12 +251,21 @@ def row_weights(samples: DataFrame, classes: list[tuple[Column, DataFrame]]) ->
     ``classes`` pairs an array of class names with a weight table; the table, bounded by
     its vocabulary, becomes one map value, so the rows are not joined.
     """
-    weight = F.lit(1.0)
-    for names, table in classes:
+    staged, maps = samples, []
+    for i, (_, table) in enumerate(classes):
         as_map = table.select(F.map_from_entries(F.collect_list(F.struct("name", "weight")))).scalar()
-        factors = F.transform(names, lambda c, m=as_map: F.coalesce(F.try_element_at(m, c), F.lit(1.0)))
-        weight = weight * F.aggregate(factors, F.lit(1.0), lambda acc, x: acc * x)
-    weighted = samples.withColumn("raw_weight", weight)
+        maps.append(f"_weights_{i}")
+        staged = staged.withColumn(maps[-1], as_map)
+
+    def product(names, known):
+        def step(total, name):
+            return total * F.coalesce(F.try_element_at(F.col(known), name), F.lit(1.0))
+        return F.aggregate(names, F.lit(1.0), step)
+
+    weight = F.lit(1.0)
+    for (names, _), known in zip(classes, maps):
+        weight = weight * product(names, known)
+    weighted = staged.withColumn("raw_weight", weight).drop(*maps)
     total = scalar(weighted, F.sum("raw_weight"))
     return weighted.withColumn("weight", F.col("raw_weight") / total)
 
@@ -353,27 +362,27 @@ def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame
     Stage A and synthetic rows are drawn without replacement within a batch (a run of
     consecutive ranks from a seeded start); stage B rows with replacement by weight.
     """
-    def slots(count, part):
+    # one row per stage, so the broadcast side is bounded by the stage vocabulary
+    sizes = samples.groupBy("stage").agg(F.count("*").alias("_size"))
+
+    def slots(stage, count, part):
         n = F.col(count)
-        return plan.where(n > 0).select("step", F.lit(part).alias("part"),
+        rows = plan.where(n > 0).select("step", F.lit(stage).alias("stage"), F.lit(part).alias("part"),
                                         F.explode(F.sequence(F.lit(0).cast("long"), n - 1)).alias("slot"))
+        return rows.join(F.broadcast(sizes), "stage").where(F.col("slot") < F.col("_size"))
 
     def ranked(stage, part, count):
         pool = seeded_rank(samples.where(F.col("stage") == stage).select(id_col), id_col, seed)
-        size = scalar(samples.where(F.col("stage") == stage), F.count("*"))
-        start = F.pmod(F.xxhash64(F.lit(seed), F.lit(part), "step"), size)
-        wanted = slots(count, part).where(F.col("slot") < size).withColumn(
-            "rank", F.pmod(start + F.col("slot"), size) + 1)
+        start = F.pmod(F.xxhash64(F.lit(seed), F.lit(part), "step"), F.col("_size"))
+        wanted = slots(stage, count, part).withColumn("rank", F.pmod(start + F.col("slot"), F.col("_size")) + 1)
         return wanted.join(pool, "rank").select("step", "part", "slot", id_col)
 
     a = ranked("A", "A", "n_a")
     synthetic = ranked("B", "synthetic", "n_synthetic")
-    stage_b_rows = samples.where(F.col("stage") == "B")
     if weights is None:
-        weights = stage_b_rows.select(id_col, F.lit(1.0).alias("weight"))
-    size = scalar(stage_b_rows, F.count("*"))
-    asked = slots("n_b", "B").where(F.col("slot") < size).withColumn(
-        "draw", F.col("step") * 1_000_000 + F.col("slot")).withColumn("u", uniform(seed, "step", "slot"))
+        weights = samples.where(F.col("stage") == "B").select(id_col, F.lit(1.0).alias("weight"))
+    asked = slots("B", "n_b", "B").withColumn("draw", F.col("step") * 1_000_000 + F.col("slot")).withColumn(
+        "u", uniform(seed, "step", "slot"))
     drawn = weighted_draws(weights, id_col, asked.select("draw", "u"), seed=seed)
     b = asked.join(drawn, "draw").select("step", "part", "slot", id_col)
     return a.unionByName(synthetic).unionByName(b)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.functions.parse import is_json
 from clinprep.session import scratch_dir
 
 BAD_RECORD = "_bad_record"
@@ -71,18 +72,22 @@ def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None)
 def malformed_lines(spark: SparkSession, path: str) -> DataFrame:
     """``file, line_number, line`` of lines that are not valid JSON (blank lines are fine).
 
-    The number is the position within the file; reading ``wholetext`` per file keeps it
-    exact however the files are laid out, so this check is meant for record files of
-    ordinary size. For one very large file use ``malformed_in`` on a table of lines.
+    Large files stay split: a line knows its place within its split, and the splits before
+    it in the file, a short table, supply the offset.
     """
-    whole = spark.read.option("wholetext", True).text(path).withColumn("file", F.col("_metadata.file_path"))
-    lines = whole.select("file", F.posexplode(F.split("value", "\n")).alias("line_number", "line"))
-    return malformed_in(lines).withColumn("line_number", F.col("line_number") + 1)
+    lines = spark.read.text(path).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("id"), F.col("value").alias("line"))
+    splits = lines.groupBy("file", "block").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = splits.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
+    bad = malformed_in(lines).join(offsets, ["file", "block"])
+    return bad.select("file", (F.col("offset") + F.col("id") - F.col("first") + 1).alias("line_number"), "line")
 
 
 def malformed_in(lines: DataFrame, line: str = "line") -> DataFrame:
-    """Rows whose text is neither blank nor valid JSON."""
-    return lines.where((F.trim(line) != "") & F.try_parse_json(line).isNull())
+    """Rows whose text is neither blank nor one valid JSON value."""
+    return lines.where((F.trim(line) != "") & ~is_json(F.col(line)))
 
 
 # --- report corpus ------------------------------------------------------------
@@ -190,3 +195,12 @@ def round_trip(df: DataFrame, label: str, write, read) -> DataFrame:
     path = scratch_dir(df.sparkSession, label)
     write(df, path)
     return read(df.sparkSession, path)
+
+
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The frame written to shared scratch space as Parquet and read back.
+
+    Cuts the lineage of a frame that several later steps read, so it is computed once and
+    a lost executor costs no recomputation.
+    """
+    return round_trip(df, label, lambda d, p: d.write.parquet(p), lambda s, p: s.read.parquet(p))
