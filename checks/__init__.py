@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-GROUPS = ["ehr", "text", "labels", "correct", "corpus", "qc", "evaluate"]
+GROUPS = ["ehr", "text", "labels", "correct", "corpus", "qc", "evaluate", "sources"]
 
 
 def load_all() -> None:

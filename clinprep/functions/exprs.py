@@ -62,3 +62,8 @@ def micros(time: Column | str) -> Column:
 def let(value: Column, body) -> Column:
     """``body(value)`` with ``value`` computed once, for costly inputs used several times."""
     return F.get(F.transform(F.array(value), body), 0)
+
+
+def spread_nulls(key: Column, *spread) -> Column:
+    """A text join key in which null keys (which match nothing) do not all share one partition."""
+    return F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.xxhash64(*spread).cast("string")))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from clinprep import vocab
 from clinprep.functions import text
-from clinprep.functions.exprs import scalar, seeded_hash
+from clinprep.functions.exprs import scalar, seeded_hash, spread_nulls
 from clinprep.operators.scaling import (
     hot_aware_join, order_cutoff, seeded_rank, share_count,
 )
@@ -68,8 +68,9 @@ def manifest_candidates(studies: DataFrame, impressions: DataFrame, labels: Data
     )
     present = F.lit(True)
     if files is not None:
-        known = files.select(F.col("path").alias("image_path"), F.lit(True).alias("_present"))
-        joined = joined.join(known, "image_path", "left")
+        known = files.select(F.col("path").alias("_path"), F.lit(True).alias("_present"))
+        keyed = joined.withColumn("_path", spread_nulls(F.col("image_path"), "study_id"))
+        joined = keyed.join(known, "_path", "left").drop("_path")
         present = F.coalesce("_present", F.lit(False))
     view = text.view_of_path(F.col("image_path"))
     return joined.withColumn("image_id", text.image_id(F.col("image_path"))).withColumn("view", view).withColumn(

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.functions.exprs import spread_nulls
 from clinprep.functions.parse import is_json
 from clinprep.session import scratch_dir
 
@@ -165,17 +166,18 @@ def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def attach_sidecars(manifest: DataFrame, sidecars: DataFrame, path: str = "ehr_json_path",
-                    prefix: str = "evaluation/") -> DataFrame:
+                    prefix: str = "evaluation/", spread: str = "study_id") -> DataFrame:
     """Left join on the path as given, else on the path under the alternative prefix.
 
-    Each distinct path carries its candidate keys, the sidecar side is joined once, and the
-    first candidate that exists wins.
+    Rows without a path match nothing; their keys are spread so that they do not gather.
     """
-    options = manifest.select(path).distinct().select(path, F.posexplode(F.array(F.col(path), F.concat(F.lit(prefix), F.col(path)))).alias(
-        "_try", "_key")).where(F.col("_key").isNotNull())
-    found = options.join(sidecars.select(F.col("path").alias("_key"), "record"), "_key").groupBy(path).agg(
-        F.min_by("record", "_try").alias("record"))
-    return manifest.join(found, path, "left")
+    given = F.col(path)
+    keyed = manifest.withColumn("_key", spread_nulls(given, spread)).withColumn(
+        "_other", spread_nulls(F.concat(F.lit(prefix), given), spread))
+    first = sidecars.select(F.col("path").alias("_key"), F.col("record").alias("_first"))
+    second = sidecars.select(F.col("path").alias("_other"), F.col("record").alias("_second"))
+    return keyed.join(first, "_key", "left").join(second, "_other", "left").select(
+        *manifest.columns, F.coalesce("_first", "_second").alias("record"))
 
 
 # --- metric sinks -------------------------------------------------------------
