@@ -263,6 +263,10 @@ def _(spark, sf):
         F.create_map(*[c for n in vocab.ICD_CLASSES for c in (F.lit(n), F.lit(0))]).alias("icd"),
         lab("BNP").alias("bnp"), lab("CRP").alias("crp"), p["admission_type"].alias("admission_type"), p["O2_device"].alias("device"))
     out = labels.keyword_labels(base)
-    rows = [out.select("study_id", F.lit(kind).alias("kind"), F.explode(col).alias("label", "value"))
-            for kind, col in (("finding", "findings"), ("icd", "icd"))]
-    return rows[0].unionByName(rows[1])
+
+    def cells(kind, col):
+        return F.transform(F.map_entries(col), lambda e: F.struct(
+            F.lit(kind).alias("kind"), e["key"].alias("label"), e["value"].alias("value")))
+
+    rows = F.concat(cells("finding", "findings"), cells("icd", "icd"))
+    return out.select("study_id", F.explode_outer(rows).alias("r")).where("r IS NOT NULL").select("study_id", "r.*")

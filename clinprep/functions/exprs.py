@@ -20,6 +20,14 @@ def lookup(mapping: dict, key: Column, default: Column | None = None) -> Column:
     return found if default is None else F.coalesce(found, default)
 
 
+def decode(mapping: dict, key: Column, default: Column | None = None) -> Column:
+    """Like ``lookup`` as a ``CASE`` over the keys: compiled code, open to simplification.
+
+    Meant for a plain key column; the key expression is repeated per entry.
+    """
+    return first_match([(key == k, F.lit(v)) for k, v in mapping.items()], default)
+
+
 def first_match(cases, default: Column | None = None) -> Column:
     """``CASE WHEN`` over ``(condition, value)`` pairs in order."""
     cases = list(cases)
@@ -67,3 +75,13 @@ def let(value: Column, body) -> Column:
 def spread_nulls(key: Column, *spread) -> Column:
     """A text join key in which null keys (which match nothing) do not all share one partition."""
     return F.coalesce(key.cast("string"), F.concat(F.lit("~"), F.xxhash64(*spread).cast("string")))
+
+
+def vocabulary_join(df, rows: list[tuple], schema: str, key: str, how: str = "inner"):
+    """Join a fixed vocabulary (a few dozen literal rows) by broadcast.
+
+    As columns of a join the looked-up values are computed once per row; as ``CASE``
+    expressions the optimizer would copy them into every filter above.
+    """
+    table = df.sparkSession.createDataFrame(rows, schema)
+    return df.join(F.broadcast(table), key, how)

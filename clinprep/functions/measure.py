@@ -24,26 +24,30 @@ def no_number() -> Column:
 
 # --- extraction-time rules ----------------------------------------------------
 
-def extraction_lab_rule(lab: Column, value: Column, unit: Column) -> Column:
-    """``struct(keep, value, unit)`` after the unit sanity rules of extraction."""
-    def applies(rule):
+def _lab_rules(lab: Column, value: Column, unit: Column, wanted):
+    """``(condition, rule)`` pairs in order, for the rules ``wanted`` accepts."""
+    for rule in vocab.EXTRACTION_LAB_RULES:
         name, rule_unit, loose, below, _, _ = rule
-        hit = (lab == name) & ((F.lower(unit) if loose else unit) == rule_unit)
-        return hit & (value < below) if below is not None else hit
+        if wanted(rule):
+            hit = (lab == name) & ((F.lower(unit) if loose else unit) == rule_unit)
+            yield (hit & (value < below) if below is not None else hit), rule
+
+
+def extraction_lab_kept(lab: Column, value: Column, unit: Column) -> Column:
+    """False for readings whose unit makes no sense for the lab; text readings stay."""
+    dropping = [(cond, F.lit(rule[4] is not None)) for cond, rule in _lab_rules(lab, value, unit, lambda r: True)]
+    return value.isNull() | F.coalesce(first_match(dropping, F.lit(True)), F.lit(True))
 
-    cases = [
-        (
-            applies(rule),
-            F.struct(
-                F.lit(rule[4] is not None).alias("keep"),
-                (value * rule[4] if rule[4] is not None else no_number()).alias("value"),
-                (F.lit(rule[5]) if rule[5] else unit).alias("unit"),
-            ),
-        )
-        for rule in vocab.EXTRACTION_LAB_RULES
-    ]
-    unchanged = F.struct(F.lit(True).alias("keep"), value.alias("value"), unit.alias("unit"))
-    return F.when(value.isNull(), unchanged).otherwise(first_match(cases, unchanged))
+
+def extraction_lab_value(lab: Column, value: Column, unit: Column) -> Column:
+    return first_match([(cond, value * rule[4]) for cond, rule in _lab_rules(
+        lab, value, unit, lambda r: r[4] is not None)], value)
+
+
+def extraction_lab_unit(lab: Column, value: Column, unit: Column) -> Column:
+    fixes = [(cond & value.isNotNull(), F.lit(rule[5])) for cond, rule in _lab_rules(
+        lab, value, unit, lambda r: r[4] is not None)]
+    return F.coalesce(first_match(fixes, unit), F.lit("unknown"))
 
 
 def vital_plausible(vital: Column, value: Column) -> Column:
@@ -75,16 +79,14 @@ def _info(row) -> Column:
     return F.struct(*[F.lit(v).alias(n) for v, n in zip((canonical, unit, low, high), _INFO)])
 
 
-def canonical_lab(name: Column, match: str = "exact") -> Column:
-    """``struct(canonical_name, unit, low, high)`` or null for an unknown lab.
+def canonical_lab(low: Column, match: str = "exact") -> Column:
+    """``struct(canonical_name, unit, low, high)`` of a lower-cased name, null when unknown.
 
     ``match="contains"`` takes the first vocabulary row where either name holds the other.
     """
-    low = F.lower(name)
     if match == "exact":
         rows = {row[0].lower(): row for row in reversed(vocab.CANONICAL_LABS)}
-        cells = [c for key, row in rows.items() for c in (F.lit(key), _info(row))]
-        return F.try_element_at(F.create_map(*cells), low)
+        return first_match((low == key, _info(row)) for key, row in rows.items())
     return first_match(
         (F.lit(row[0].lower()).contains(low) | low.contains(row[0].lower()), _info(row))
         for row in vocab.CANONICAL_LABS
@@ -98,16 +100,14 @@ def extreme_reason(canonical: Column, value: Column) -> Column:
     )
 
 
-def convert_lab(name: Column, value: Column, unit: Column, target: Column,
+def convert_lab(low: Column, value: Column, unit: Column, target: Column,
                 relabel: bool = False) -> Column:
-    """``struct(value, unit, error, unresolved)`` after unit conversion.
+    """``struct(value, unit, error, unresolved)`` after unit conversion (``low``: lower-cased name).
 
     An impossible or meaningless reading gets an ``error``. When no rule knows the unit
     the reading keeps it and is marked unresolved; ``relabel=True`` gives it the target
     unit unchanged instead.
     """
-    low = F.lower(name)
-
     def result(val, new_unit, error=None, unresolved=False):
         error = no_text() if error is None else error
         return F.struct(val.alias("value"), new_unit.alias("unit"), error.alias("error"),

@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from clinprep import vocab
 from clinprep.functions.exprs import contains_any, first_match, let, lookup
 
-# everything a text strip or a whitespace collapse should treat as blank
-BLANK = r"[\s\x0B\x1C-\x1F\x85   -     　]"
-TRIM_SET = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85      　" + "".join(
-    chr(c) for c in range(0x2000, 0x200B)
-)
+# blanks of a text strip or a whitespace collapse: the first set is cheap to match, the
+# second is rare and only looked for where it occurs
+BLANKS = "[ \\t\\n\\x0B\\f\\r\\x1C\\x1D\\x1E\\x1F\\x85\\xA0]+"
+RARE_BLANKS = [chr(c) for c in (0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)]
+TRIM_SET = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0" + "".join(RARE_BLANKS)
 SECTION_MIN_CHARS = 10
 
 
@@ -20,12 +20,34 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(TRIM_SET))
 
 
-def clean_text(text: Column) -> Column:
-    """Drop de-identification marks, dictation, signature and date lines; collapse blanks."""
-    out = F.regexp_replace(text, r"(?d)\[\*\*.*?\*\*\]", "")
+def collapse_blanks(text: Column) -> Column:
+    """Every run of blanks as one space, none at the ends."""
+    def collapse(t):
+        ascii_only = F.octet_length(t) == F.length(t)
+        every = BLANKS[:-2] + "".join(RARE_BLANKS) + "]+"
+        return F.when(ascii_only | ~contains_any(t, RARE_BLANKS), F.regexp_replace(t, BLANKS, " ")).otherwise(
+            F.regexp_replace(t, every, " "))
+
+    return F.trim(let(text, collapse))
+
+
+def _drop(text: Column, marker: str | None, pattern: str) -> Column:
+    """Remove a pattern; texts without its marker are not searched."""
+    if marker is None:
+        return F.regexp_replace(text, pattern, "")
+    return let(text, lambda t: F.when(t.contains(marker), F.regexp_replace(t, pattern, "")).otherwise(t))
+
+
+def clean_text(text: Column, is_upper: bool = False) -> Column:
+    """Drop de-identification marks, dictation, signature and date lines; collapse blanks.
+
+    For text known to be upper-case a plain substring test decides whether a pattern can
+    match at all.
+    """
+    out = _drop(text, "[**", r"(?d)\[\*\*.*?\*\*\]")
     for lead in ("Dictated by", "Electronically signed by", "Date:"):
-        out = F.regexp_replace(out, rf"(?id){lead}.*?\.", "")
-    return F.trim(F.regexp_replace(out, BLANK + "+", " "))
+        out = _drop(out, lead.upper() if is_upper else None, rf"(?id){lead}.*?\.")
+    return collapse_blanks(out)
 
 
 def section(upper_text: Column, heading: str) -> Column:
@@ -45,7 +67,7 @@ def section(upper_text: Column, heading: str) -> Column:
 def extract_impression(report: Column) -> Column:
     """Cleaned impression, or the findings when there is none; null when both are too short."""
     body = let(F.upper(report), lambda t: F.coalesce(section(t, "IMPRESSION"), section(t, "FINDINGS")))
-    return clean_text(body)
+    return clean_text(body, is_upper=True)
 
 
 def redaction_marks(text: Column) -> Column:

@@ -10,12 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clinprep import vocab
 from clinprep.functions import measure
+from clinprep.functions.exprs import vocabulary_join
 
 
 def canonical_names(labs: DataFrame, match: str = "exact") -> DataFrame:
     """Add ``info`` (canonical name, unit, range); null for unknown labs."""
-    return labs.withColumn("info", measure.canonical_lab(F.col("lab_name"), match))
+    staged = labs.withColumn("_low", F.lower("lab_name"))
+    if match != "exact":
+        return staged.withColumn("info", measure.canonical_lab(F.col("_low"), match)).drop("_low")
+    rows = {row[0].lower(): (row[0].lower(), row[1:]) for row in reversed(vocab.CANONICAL_LABS)}
+    schema = "_low string, info struct<canonical_name:string,unit:string,low:double,high:double>"
+    return vocabulary_join(staged, list(rows.values()), schema, "_low", "left").drop("_low")
 
 
 def extreme_values(labs: DataFrame, match: str = "exact") -> DataFrame:
@@ -26,8 +33,9 @@ def extreme_values(labs: DataFrame, match: str = "exact") -> DataFrame:
 
 def converted_units(labs: DataFrame, match: str = "exact", relabel: bool = False) -> DataFrame:
     """Add ``converted`` (value, unit, error, unresolved) for labs of known type."""
-    return canonical_names(labs, match).withColumn("converted", measure.convert_lab(
-        F.col("lab_name"), F.col("value"), F.col("unit"), F.col("info.unit"), relabel))
+    named = canonical_names(labs, match).withColumn("_low", F.lower("lab_name"))
+    return named.withColumn("converted", measure.convert_lab(
+        F.col("_low"), F.col("value"), F.col("unit"), F.col("info.unit"), relabel)).drop("_low")
 
 
 def corrected_labs(labs: DataFrame, match: str = "exact", relabel: bool = False) -> DataFrame:
@@ -39,10 +47,15 @@ def corrected_labs(labs: DataFrame, match: str = "exact", relabel: bool = False)
 
 def canonical_labs(corrected: DataFrame, keys: list[str], ordinal: list[str]) -> DataFrame:
     """One kept reading per key and canonical lab: the last in record order."""
-    kept = corrected.where(~F.col("corrected.dropped")).withColumn(
-        "canonical_name", F.col("corrected.canonical_name"))
-    return kept.groupBy(*keys, "canonical_name").agg(
-        F.max_by(F.col("corrected"), F.struct(*ordinal)).alias("lab"))
+    # dropped readings have no order value, so they never win; filtering them first would
+    # make Spark evaluate all rules a second time inside the filter
+    order = F.when(~F.col("corrected.dropped"), F.struct(*ordinal))
+    return (
+        corrected.withColumn("canonical_name", F.col("corrected.canonical_name"))
+        .groupBy(*keys, "canonical_name")
+        .agg(F.max_by(F.col("corrected"), order).alias("lab"))
+        .where(F.col("lab").isNotNull())
+    )
 
 
 def corrected_vitals(vitals: DataFrame) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from clinprep import vocab
 from clinprep.functions import measure
-from clinprep.functions.exprs import literal_map, lookup, micros
+from clinprep.functions.exprs import decode, literal_map, micros, vocabulary_join
 from clinprep.operators.scaling import last_in_window, salted_join
 
 SECOND = 1_000_000  # positions are microseconds
@@ -47,9 +47,9 @@ def latest_admission(admissions: DataFrame) -> DataFrame:
 # --- item dictionaries --------------------------------------------------------
 
 def name_items(events: DataFrame, items: dict, out: str) -> DataFrame:
-    """Keep events whose item is in a fixed dictionary and add its name (no join needed)."""
-    return events.where(F.col("itemid").isin(list(items))).withColumn(
-        out, lookup(items, F.col("itemid").cast("int")))
+    """Keep events whose item is in a fixed dictionary and add its name."""
+    rows = [(int(k), v) for k, v in items.items()]
+    return vocabulary_join(events, rows, f"itemid long, {out} string", "itemid")
 
 
 def join_items(events: DataFrame, dictionary: DataFrame) -> DataFrame:
@@ -139,7 +139,7 @@ def merge_vital_sources(events: DataFrame, keys: list[str], tie: str,
     Within a source the latest reading counts (for the ICU optionally the oldest). Source,
     time and id form one sort key, so a single aggregation replaces three passes.
     """
-    priority = lookup(vocab.SOURCE_PRIORITY, F.col("source"))
+    priority = decode(vocab.SOURCE_PRIORITY, F.col("source"))
     oldest = (F.col("source") == "ICU") & F.lit(icu_pick == "oldest")
     time, ident = micros("charttime"), F.col(tie)
     order = F.struct(priority, F.when(oldest, time).otherwise(-time),
@@ -167,7 +167,7 @@ def numeric_or_text(events: DataFrame, raw: str = "value") -> DataFrame:
 
 def outpatient_vitals(omr: DataFrame) -> DataFrame:
     """Outpatient results by result name as vitals of source OMR."""
-    named = omr.withColumn("vital", lookup(vocab.OUTPATIENT_VITALS, F.col("result_name")))
+    named = omr.withColumn("vital", decode(vocab.OUTPATIENT_VITALS, F.col("result_name")))
     kept = named.where(F.col("vital").isNotNull() & F.col("result_value").isNotNull())
     return numeric_or_text(kept, "result_value").withColumn("source", F.lit("OMR")).withColumn(
         "unit", F.lit("unknown")).withColumn("charttime", F.col("chartdate").cast("timestamp"))
@@ -189,10 +189,11 @@ def derived_vitals(vitals: DataFrame, keys: list[str]) -> DataFrame:
 
 def checked_labs(labs: DataFrame) -> DataFrame:
     """Apply the unit rules of extraction; add the range text and the in-range flag."""
-    ruled = labs.withColumn("_r", measure.extraction_lab_rule(
-        F.col("lab"), F.col("valuenum"), F.col("valueuom"))).where("_r.keep")
-    out = ruled.withColumn("valuenum", F.col("_r.value")).withColumn(
-        "valueuom", F.coalesce(F.col("_r.unit"), F.lit("unknown"))).drop("_r")
+    lab, value, unit = F.col("lab"), F.col("valuenum"), F.col("valueuom")
+    kept = labs.where(measure.extraction_lab_kept(lab, value, unit))
+    out = kept.withColumns({
+        "valuenum": measure.extraction_lab_value(lab, value, unit),
+        "valueuom": measure.extraction_lab_unit(lab, value, unit)})
     if {"ref_range_lower", "ref_range_upper"} <= set(labs.columns):
         low, high = F.col("ref_range_lower"), F.col("ref_range_upper")
         has = low.isNotNull() & high.isNotNull() & F.col("valuenum").isNotNull()

@@ -31,10 +31,11 @@ def view_counts(records: DataFrame) -> DataFrame:
 
 def length_profile(records: DataFrame, text: str) -> DataFrame:
     """Mean, shortest and longest text in characters."""
-    size = F.length(text).cast("long")
-    return records.where(F.col(text).isNotNull()).agg(
-        F.count("*").alias("n"), F.avg(size).alias("mean_chars"),
-        F.min(size).alias("min_chars"), F.max(size).alias("max_chars"))
+    # the aggregates skip nulls themselves; a filter would evaluate a computed text twice
+    sizes = records.select(F.length(text).cast("long").alias("size"))
+    return sizes.agg(
+        F.count("size").alias("n"), F.avg("size").alias("mean_chars"),
+        F.min("size").alias("min_chars"), F.max("size").alias("max_chars"))
 
 
 def _named(metric: str, names: Column) -> Column:

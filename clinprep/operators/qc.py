@@ -31,16 +31,17 @@ def label_issues(labels: Column, low: Column, negative_values: tuple[int, ...] =
     ``negative_values`` are the values a clearly negated finding may have.
     """
     other = F.exists(F.map_entries(labels), lambda e: (e["key"] != "No Finding") & (e["value"] == 1))
-    cases = [((F.try_element_at(labels, F.lit("No Finding")) == 1) & other,
-              _issue("ERROR", "no_finding_with_positive", "No Finding"))]
+    found = [_collect(((F.try_element_at(labels, F.lit("No Finding")) == 1) & other,
+                       _issue("ERROR", "no_finding_with_positive", "No Finding")))]
     for name, pattern in vocab.QC_NEGATED.items():
         value = F.try_element_at(labels, F.lit(name))
-        negated = low.rlike("(?i)" + pattern)
-        cases.append((value.isNotNull() & ~value.isin(*negative_values) & negated,
-                      _issue("ERROR", "negated_but_not_negative", name)))
+        issues = F.array(_issue("ERROR", "negated_but_not_negative", name))
         if 0 not in negative_values:
-            cases.append(((value == 0) & negated, _issue("WARN", "negated_but_zero", name)))
-    return _collect(*cases)
+            issues = F.when(value == 0, F.concat(issues, F.array(_issue("WARN", "negated_but_zero", name)))).otherwise(issues)
+        # the text is searched once, and only where the value makes it matter
+        hit = value.isNotNull() & ~value.isin(*negative_values) & low.rlike("(?i)" + pattern)
+        found.append(F.when(hit, issues).otherwise(F.array()).cast(ISSUE))
+    return F.concat(*found)
 
 
 def vital_issues(name: Column, value: Column) -> Column:

@@ -214,12 +214,13 @@ def correct_lab_map(df: DataFrame, match: str = "exact", relabel: bool = False)
     def bound(v, name):
         return v[name] if name in fields else measure.no_number()
 
-    looked_up = F.transform(labs, lambda e: F.struct(
-        e["key"].alias("name"), e["value"]["value"].alias("value"), e["value"]["unit"].alias("unit"),
+    named = F.transform(labs, lambda e: F.struct(F.lower(e["key"]).alias("low"), e["key"].alias("key"), e["value"].alias("value")))
+    looked_up = F.transform(named, lambda e: F.struct(
+        e["key"].alias("name"), e["low"].alias("low_name"), e["value"]["value"].alias("value"), e["value"]["unit"].alias("unit"),
         bound(e["value"], "ref_low").alias("low"), bound(e["value"], "ref_high").alias("high"),
-        measure.canonical_lab(e["key"], match).alias("info")))
+        measure.canonical_lab(e["low"], match).alias("info")))
     converted = F.transform(looked_up, lambda e: F.struct(
-        e.alias("e"), measure.convert_lab(e["name"], e["value"], e["unit"], e["info"]["unit"], relabel).alias("c")))
+        e.alias("e"), measure.convert_lab(e["low_name"], e["value"], e["unit"], e["info"]["unit"], relabel).alias("c")))
     done = F.transform(converted, lambda x: measure.corrected_lab(
         x["e"]["name"], x["e"]["value"], x["e"]["unit"], x["e"]["info"], x["c"], x["e"]["low"], x["e"]["high"]))
     staged = df.withColumn("_done", done).withColumn(

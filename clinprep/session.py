@@ -22,6 +22,8 @@ def build_session(app: str = "clinprep", master: str | None = None, **conf) -> S
         "spark.sql.session.timeZone": "UTC",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
+        # the JVM does not compile methods above 8000 bytes; Spark then splits the rules up
+        "spark.sql.codegen.hugeMethodLimit": "8000",
         **conf,
     }
     for key, value in settings.items():

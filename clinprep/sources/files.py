@@ -101,8 +101,9 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     raw = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
            .option("pathGlobFilter", "*.txt").load(folder))
     name = F.substring_index("path", "/", -1)
-    # invalid bytes decode to the replacement mark, which is then removed
-    body = F.replace(F.decode("content", "UTF-8"), F.lit("�"), F.lit(""))
+    # invalid bytes become the replacement mark, which is then removed
+    valid = F.make_valid_utf8(F.col("content").cast("string"))
+    body = F.replace(valid, F.lit("\ufffd"), F.lit(""))
     return raw.select(F.regexp_replace(name, r"\.txt$", "").alias("study_id"), body.alias("report"),
                       F.col("path").alias("source_file"))
 
