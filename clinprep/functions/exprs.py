@@ -42,8 +42,13 @@ def any_of(conditions) -> Column:
 
 
 def contains_any(text: Column, words) -> Column:
-    """True when the text holds any of the words as a plain substring."""
-    return any_of([text.contains(w) for w in dict.fromkeys(words)])
+    """True when the text holds any of the words as a plain substring.
+
+    A word that holds another of the words adds nothing and is not searched for.
+    """
+    words = list(dict.fromkeys(words))
+    needed = [w for w in words if not any(o != w and o in w for o in words)]
+    return any_of([text.contains(w) for w in needed])
 
 
 def compare(value: Column, op: str, bound: float) -> Column:
