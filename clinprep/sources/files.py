@@ -127,10 +127,17 @@ def read_map_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_map_document(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON document ``{study: {label: value}}`` as ``study_id, labels``."""
-    whole = spark.read.option("wholetext", True).text(path)
-    parsed = F.from_json("value", "map<string,map<string,int>>")
-    return whole.select(F.explode(parsed).alias("study_id", "labels"))
+    """One indented JSON document ``{study: {label: value}}`` as ``study_id, labels``.
+
+    The closing brace of a study (two blanks deep) separates the records, so the document
+    is read in splits like any text file and never as a whole.
+    """
+    chunks = spark.read.option("lineSep", "\n  }").text(path)
+    entry = r'(?s)"([^"]+)"\s*:\s*\{(.*)'
+    named = chunks.select(F.regexp_extract("value", entry, 1).alias("study_id"),
+                          F.regexp_extract("value", entry, 2).alias("_body"))
+    labels = F.from_json(F.concat(F.lit("{"), F.col("_body"), F.lit("}")), "map<string,int>")
+    return named.where(F.col("study_id") != "").select("study_id", labels.alias("labels"))
 
 
 # --- evaluation manifest and sidecars -----------------------------------------

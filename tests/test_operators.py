@@ -313,6 +313,21 @@ def test_reports_are_read_whole_and_bad_bytes_dropped(spark, tmp_path):
     assert (r.study_id, r.report) == ("s5", "IMPRESSION: ok\nline two")
 
 
+def test_map_document_is_read_in_pieces(spark, tmp_path):
+    import json
+
+    doc = {str(i): {"Edema": i % 3 - 1, "Lung Opacity": 1} for i in range(50)}
+    (tmp_path / "d.json").write_text(json.dumps(doc, indent=2))
+    got = {r.study_id: r.labels for r in files.import_map_document(spark, str(tmp_path / "d.json")).collect()}
+    assert got == doc
+
+
+def test_sidecars_try_the_other_prefix(spark):
+    rows = spark.createDataFrame([(1, "a.json"), (2, "b.json"), (3, "c.json"), (4, None)], "study_id int, ehr_json_path string")
+    have = spark.createDataFrame([("a.json", "A"), ("evaluation/a.json", "x"), ("evaluation/b.json", "B")], "path string, record string")
+    assert {r.study_id: r.record for r in files.attach_sidecars(rows, have).collect()} == {1: "A", 2: "B", 3: None, 4: None}
+
+
 def test_vocabularies_are_complete():
     assert (len(vocab.FINDINGS), len(vocab.ICD_CLASSES), len(vocab.LAB_ITEMS)) == (12, 8, 27)
     assert len(vocab.ACUTE_CODES) == len(vocab.CHRONIC_CODES) == 8
