@@ -9,7 +9,6 @@ from checks.ehr import CONTEXT_CTES, CONTEXT_VIEWS, context
 from checks.records import RECORD_VIEWS, records
 from checks.registry import check
 from checks.text import IMPRESSION_SQL, impressions
-from clinprep.functions.exprs import seeded_hash
 from clinprep.operators import corpus, labels, profile
 from clinprep.sources.files import stored
 

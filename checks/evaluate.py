@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from checks.bindings import view
 from checks.registry import check
-from clinprep import vocab
 from clinprep.operators import evaluate as ev
 from clinprep.sources import files
 

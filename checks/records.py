@@ -49,7 +49,7 @@ RECORD_VIEWS = ("rec", "rec_vitals", "rec_labs")
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One nested record per document: text, labels, stage and (for most) patient data."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars").withColumnRenamed("doc_id", "doc_id")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
 
     def cell(name, **fields):
         return [F.lit(name), F.struct(*[v.alias(k) for k, v in fields.items()])]

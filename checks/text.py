@@ -8,7 +8,6 @@ from checks.bindings import FINDING_NAMES, view
 from checks.records import RECORD_VIEWS, records
 from checks.registry import check
 from clinprep import vocab
-from clinprep.functions import labels as lb
 from clinprep.functions import text
 from clinprep.operators import corpus, profile
 from clinprep.operators.records import compact_ehr, pick_ehr_fields, prompts, strip_audit

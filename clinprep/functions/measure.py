@@ -299,7 +299,3 @@ def icd_class(code: Column, confidence: Column | None = None, match: str = "pref
         return first_match((up.startswith(p), F.lit(c)) for p, c in vocab.ICD_PREFIX_CLASS)
     hit = first_match((code.contains(p), F.lit(c)) for p, c in vocab.ICD_FRAGMENT_CLASS)
     return hit if confidence is None else F.when(confidence > min_confidence, hit)
-
-
-def mentions(text: Column, words) -> Column:
-    return contains_any(F.lower(text), words)

@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinprep.functions.exprs import scalar
-
 
 def _report_rows():
     """All rows of a report; their number is bounded by the vocabularies."""
@@ -116,7 +114,3 @@ def positive_frequencies(samples: DataFrame, labels: str) -> DataFrame:
 def issue_summary(issues: DataFrame) -> DataFrame:
     """Quality-control issues per severity and rule."""
     return issues.groupBy("severity", "rule").agg(F.count("*").alias("n"))
-
-
-def share_of(df: DataFrame, condition: Column) -> Column:
-    return scalar(df, F.avg(condition.cast("double")))
