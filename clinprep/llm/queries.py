@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from clinprep.llm import mixing
+from clinprep.llm import decontaminate, mixing
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,30 @@ def query(name: str, sql: str | None = None):
 def op8_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix_sources(load(spark, sf_dir, "documents"), keep=["doc_id"])
     return mixed.drop("copies")
+
+
+@query("op2_decontaminate", r"""
+with words as (
+  select item_id::varchar as item, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+windows as (
+  select item, list_aggregate(w[i:i + 9], 'string_agg', ' ') as win
+  from (select item, w, unnest(range(1, greatest(2, len(w) - 8))) as i from words where len(w) > 0)),
+docs as (
+  select doc_id, coalesce(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+         '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'), cast([] as varchar[])) as w from documents),
+sizes as (select distinct len(string_split(win, ' ')) as k from windows),
+grams as (
+  select doc_id, i, k, list_aggregate(w[i:i + k - 1], 'string_agg', ' ') as win
+  from (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as i from docs, sizes where len(w) >= k)),
+hits as (select doc_id, i, k, item from grams join windows using (win)),
+per_word as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(i, i + k)) as p from hits) group by 1),
+per_item as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from hits group by 1)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items,
+       sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join per_word using (doc_id) left join per_item using (doc_id)""")
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.scan(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
