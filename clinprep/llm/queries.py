@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, language, mixing, secrets, tokens
+from clinprep.llm import decontaminate, language, mixing, packing, secrets, tokens
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -86,3 +86,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"), "n_layers", "n_oversized")
+
+
+@query("op7_pack_tokens")
+def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
