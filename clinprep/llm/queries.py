@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, language, mixing, packing, secrets, tokens
+from clinprep.llm import decontaminate, fingerprints, language, mixing, packing, secrets, tokens
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -91,3 +91,8 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_pack_tokens")
 def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+@query("op10_fingerprints")
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edit_trial(load(spark, sf_dir, "documents"))
