@@ -4,8 +4,8 @@
 string is the encoding of the string without its last token, plus that token; and a sequence
 is an encoding exactly if each pair of neighbours is. So while reading, the last token after
 one more character is the vocabulary piece ending there that forms a valid pair with the
-last token before it. That needs no more than the last tokens at the previous ``longest
-piece`` positions: a finite state. States are numbered as they are first met (the full
+last token before it. That needs the last tokens at the few previous places from where the
+characters read begin some piece: a finite state. States are numbered as they are first met (the full
 table would be far larger than what texts visit) and each transition is annotated with the
 change in the number of emitted tokens. A character outside the vocabulary is written as one
 token per UTF-8 byte and joins with nothing, and a space after a non-space begins a new
@@ -35,8 +35,9 @@ from pyspark.sql import types as T
 CHUNK = 1 << 15  # code points
 LIMIT = 4096
 SPACE = "▁"
-STATES = 100_000  # states kept by a worker before it starts over: some 70 MB
-WORDS = 300_000  # remembered stretches
+STATES = 250_000  # states kept by a worker before it starts over: some 100 MB
+WARM_UP = (2000, 4096)  # texts, and characters of each, that transitions are compiled for beforehand
+WORDS = 600_000  # remembered stretches
 
 
 class Vocabulary:
@@ -49,7 +50,8 @@ class Vocabulary:
         self.scores = {
             model.id_to_piece(i): model.get_score(i) for i in range(model.get_piece_size())
             if not (model.is_control(i) or model.is_byte(i) or model.is_unknown(i) or model.is_unused(i))}
-        self.longest = max(map(len, self.scores))
+        # what a later character may still turn into a piece
+        self.beginnings = {piece[:i] for piece in self.scores for i in range(len(piece))}
         self.characters = {c for piece in self.scores for c in piece}
 
     def merge(self, text: str) -> list[str]:
@@ -69,21 +71,39 @@ class Vocabulary:
 class Transducer:
     """``step[state][character]`` is the next state and the change in the number of tokens.
 
-    State 0 is the start. A state stands for the last tokens at the most recent positions,
-    each with the number of tokens up to there, relative to now.
+    State 0 is the start. A state stands for the recent characters that begin some piece, and
+    for each place among them the last token before it and the number of tokens up to it,
+    relative to now.
     """
 
+    START = ("", ("",), (0,))  # recent characters; token and count before each number of them
+
     def __init__(self, vocabulary: Vocabulary):
         self.vocabulary = vocabulary
         self.pairs: dict[tuple[str, str], bool] = {}
         self.remembered: dict[str, int] = {}
-        self.clear()
+        self.numbers = {self.START: 0}
+        self.states = [self.START]
+        self.step: list[dict[str, tuple[int, int]]] = [{}]
+
+    def parts(self) -> tuple[dict, dict]:
+        """All content as plain containers."""
+        return vars(self.vocabulary), {k: v for k, v in vars(self).items() if k != "vocabulary"}
+
+    @classmethod
+    def of_parts(cls, parts: tuple[dict, dict]) -> Transducer:
+        """A transducer over the same containers: what it compiles stays in them."""
+        made, vocabulary = cls.__new__(cls), Vocabulary.__new__(Vocabulary)
+        vars(vocabulary).update(parts[0])
+        vars(made).update(parts[1], vocabulary=vocabulary)
+        return made
 
     def clear(self) -> None:
-        start = ("", ("",), (0,))  # recent characters, last token at each position, counts
-        self.numbers = {start: 0}
-        self.states = [start]
-        self.step: list[dict[str, tuple[int, int]]] = [{}]
+        self.pairs.clear()
+        self.numbers.clear()
+        self.numbers[self.START] = 0
+        self.states[:] = [self.START]
+        self.step[:] = [{}]
 
     def valid(self, left: str, right: str) -> bool:
         known = self.pairs.get((left, right))
@@ -93,18 +113,24 @@ class Transducer:
 
     def compile(self, state: int, char: str) -> tuple[int, int]:
         """Add one transition."""
+        if char not in self.vocabulary.characters:
+            move = self.step[state][char] = 0, len(char.encode())
+            return move
         recent, tokens, counts = self.states[state]
         joined = recent + char
-        keep = self.vocabulary.longest - 1
-        for size in range(min(len(joined), self.vocabulary.longest), 0, -1):
+        for size in range(len(joined), 0, -1):
             token = joined[-size:]
             if token in self.vocabulary.scores or size == 1:
-                before = tokens[-size]
+                before = tokens[size - 1]
                 if not before or self.valid(before, token):
-                    change = counts[-size] + 1
+                    change = counts[size - 1] + 1
                     break
-        # positions longer ago than the longest piece can never matter again
-        new = (joined[-keep:], (*tokens, token)[-keep - 1:], (*[c - change for c in counts], 0)[-keep - 1:])
+        # a place matters only while the characters since then begin some piece
+        live = [size == 0 or joined[-size:] in self.vocabulary.beginnings for size in range(len(joined) + 1)]
+        longest = max(size for size, is_live in enumerate(live) if is_live)
+        new = (joined[len(joined) - longest:],
+               tuple(t if is_live else None for t, is_live in zip((token, *tokens), live[:longest + 1])),
+               tuple(c if is_live else 0 for c, is_live in zip((0, *(c - change for c in counts)), live[:longest + 1])))
         number = self.numbers.setdefault(new, len(self.states))
         if number == len(self.states):
             self.states.append(new)
@@ -113,38 +139,35 @@ class Transducer:
         return number, change
 
     def run(self, stretch: str) -> int:
-        """Tokens of a stretch that begins in the start state and has no return inside."""
-        state = total = 0
+        """Tokens of a stretch read from the start state."""
+        step, state, total = self.step, 0, 0
         for char in stretch:
-            move = self.step[state].get(char)
-            if move is None:
-                move = self.compile(state, char)
+            move = step[state].get(char) or self.compile(state, char)
             state = move[0]
             total += move[1]
         return total
 
     def count(self, stretch: str) -> int:
-        """As ``run``, for a stretch that may have characters outside the vocabulary."""
+        """As ``run``, remembering short stretches."""
         known = self.remembered.get(stretch)
         if known is None:
-            known = sum(self.run(part) if i % 2 == 0 else len(part.encode())
-                        for i, part in enumerate(self.foreign.split(stretch)))
             if len(self.states) > STATES:
                 self.clear()
-                self.pairs.clear()
+            known = self.run(stretch)
             if len(stretch) <= 64:
                 if len(self.remembered) > WORDS:
                     self.remembered.clear()
                 self.remembered[stretch] = known
         return known
 
-    @property
-    def foreign(self) -> re.Pattern:
-        pattern = self.__dict__.get("_foreign")
-        if pattern is None:
-            inside = "".join(map(re.escape, sorted(self.vocabulary.characters)))
-            pattern = self.__dict__["_foreign"] = re.compile(f"([^{inside}]+)")
-        return pattern
+
+def warmed_up(vocabulary: Vocabulary, texts: list[str]) -> Transducer:
+    """A transducer with the transitions that some texts need; others are added when met."""
+    transducer = Transducer(vocabulary)
+    for text in texts:
+        compose_all(transducer, [state_map(transducer, SPACE + text.replace(" ", SPACE), True)])
+    transducer.remembered.clear()
+    return transducer
 
 
 RETURN = re.compile(f"(?<=[^{SPACE}])(?={SPACE})")
@@ -232,8 +255,13 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text:
     map_names = ["returns", "head", "total", "tail"]
     map_kinds = [pa.bool_(), pa.string(), pa.int64(), pa.string()]
 
+    some = docs.select(F.substring(text, 1, WARM_UP[1])).limit(WARM_UP[0]).collect()
+    compiled = docs.sparkSession.sparkContext.broadcast(
+        warmed_up(Vocabulary(model_file), [r[0] or "" for r in some]).parts())
+
     def scan(batches):
-        transducer = Transducer(Vocabulary(model_file))
+        # a worker process keeps the value, and so what a task compiles, for its next tasks
+        transducer = Transducer.of_parts(compiled.value)
         for batch in batches:
             maps = []
             for part, at, of in zip(*(batch.column(c).to_pylist() for c in ("_body", "_chunk", "_of"))):
@@ -259,7 +287,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text:
             nonlocal transducer
             if of == 1:
                 return maps[0][2]
-            transducer = transducer or Transducer(Vocabulary(model_file))
+            transducer = transducer or Transducer.of_parts(compiled.value)
             return compose_all(transducer, [maps[i] for i in range(of)])
 
         for batch in batches:
