@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, fingerprints, language, mixing, packing, secrets, tokens
+from clinprep.llm import decontaminate, fingerprints, language, mixing, packing, secrets, substrings, tokens
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -96,3 +96,20 @@ def op7_pack_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edit_trial(load(spark, sf_dir, "documents"))
+
+
+@query("op5_substring_dedup", r"""
+with d as (select doc_id, coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), cast([] as varchar[])) as w from documents),
+win as (
+  select doc_id, i, list_aggregate(w[i:i + 34], 'string_agg', ' ') as k
+  from (select doc_id, w, unnest(range(1, len(w) - 33)) as i from d where len(w) >= 35)),
+often as (select k from win group by k having count(*) > 1),
+gone as (select doc_id, list(distinct p) as p from (
+  select doc_id, unnest(range(i, i + 35)) as p from win where k in (select k from often)) group by 1),
+j as (select doc_id, w, coalesce(p, cast([] as bigint[])) as p from d left join gone using (doc_id))
+select doc_id, len(w)::bigint as n_words, len(p)::bigint as n_removed,
+  sha256(coalesce((select string_agg(w[x], ' ' order by x) from (select unnest(range(1, len(w) + 1)) as x) where not list_contains(p, x)), '')) as kept_sha256
+from j""")
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup_substrings(load(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
