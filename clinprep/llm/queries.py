@@ -74,6 +74,7 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "lang_pred", "score", "rejected")
 
 
+#: Base spans only; the layers that the operator adds are beyond SQL.
 @query("op3_secret_scan")
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(load(spark, sf_dir, "documents"))
@@ -83,8 +84,10 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.array_join(F.transform(spans, lambda s: F.concat_ws(
             ":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
-    counts = [F.size(F.filter(plain, lambda s, k=kind: s["kind"] == k)).cast("long").alias(f"n_{kind}") for kind in secrets.KINDS]
-    return found.select("doc_id", *counts, F.sha2(joined(plain), 256).alias("base_sha256"),
+    def count(kind):
+        return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(plain), 256).alias("base_sha256"),
                         joined(F.col("spans")).alias("spans"), "n_layers", "n_oversized")
 
 
