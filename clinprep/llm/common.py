@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from clinprep.sources.files import stored
 
-__all__ = ["BLANK_FREE", "arrow_map", "ascii_words", "frame_key", "load", "scalar", "stored", "word_counts"]
+__all__ = ["BLANK_FREE", "RollingHash", "arrow_map", "arrow_schema", "ascii_words", "in_batches", "load", "mix64",
+           "scalar", "sorted_groups", "stored", "word_counts"]
 
 #: A run of anything but ASCII white space, in Java's regular expressions.
 BLANK_FREE = r"[^\x20\x09-\x0D]+"
@@ -63,11 +64,6 @@ def arrow_schema(schema: str) -> pa.Schema:
     return pa.schema([(name, kind(of)) for name, of in fields])
 
 
-def frame_key(*columns: str) -> Column:
-    """64-bit hash of some columns for spreading rows; nulls are allowed."""
-    return F.xxhash64(*columns)
-
-
 def scalar(df: DataFrame):
     """The single value of a one-row, one-column aggregate."""
     return df.first()[0]
@@ -115,3 +111,29 @@ class RollingHash:
 
 
 _BYTE_VALUES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[tuple[tuple, list[tuple]]]:
+    """``(key, rows)`` of input that is sorted by its first ``keys`` columns; only one group is held."""
+    key, rows = None, []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if row[:keys] != key:
+                if rows:
+                    yield key, rows
+                key, rows = row[:keys], []
+            rows.append(row[keys:])
+    if rows:
+        yield key, rows
+
+
+def in_batches(rows: Iterator[tuple], schema: pa.Schema, size: int = 2000) -> Iterator[pa.RecordBatch]:
+    """Rows as Arrow batches."""
+    waiting = []
+    for row in rows:
+        waiting.append(row)
+        if len(waiting) == size:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*waiting), schema.types)], schema=schema)
+            waiting = []
+    if waiting:
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*waiting), schema.types)], schema=schema)

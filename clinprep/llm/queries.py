@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, fingerprints, language, mixing, packing, secrets, substrings, tokens
+from clinprep.llm import decontaminate, fingerprints, jaccard, language, mixing, packing, secrets, substrings, tokens
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -116,3 +116,8 @@ from j""")
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substrings.dedup_substrings(load(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op6_jaccard_join")
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
