@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, fingerprints, jaccard, language, mixing, packing, secrets, substrings, tokens
+from clinprep.llm import decontaminate, fingerprints, jaccard, language, lines, mixing, packing, secrets, substrings, tokens
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -121,3 +121,8 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op6_jaccard_join")
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(load(spark, sf_dir, "documents"))
+
+
+@query("op1_line_dedup")
+def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.line_report(load(spark, sf_dir, "documents"))
