@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinprep.llm.common import RollingHash, arrow_schema, ascii_words, in_batches, mix64, sorted_groups, stored
+from clinprep.llm.common import RollingHash, arrow_schema, ascii_words, in_batches, mix64, scalar, sorted_groups, stored
 from clinprep.llm.components import components
 
 SHINGLE = 5
@@ -49,6 +49,7 @@ BLOCK = 1024
 DEPTH = 6
 SHRINKS = 0.7  # a bucket of more than this share of its parent is dense
 STEP_BYTES = 1 << 20
+SMALL_TABLE = 500_000  # documents with copies up to which their ids are broadcast: about 25 MB
 
 _MULTIPLIERS = mix64(np.arange(1, COORDINATES + 1, dtype=np.uint64)) | np.uint64(1)
 
@@ -163,7 +164,10 @@ def similar(sets: list[np.ndarray], threshold: float) -> np.ndarray:
 
 
 def document_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFrame:
-    """``id, n_shingles, key, values``: key and minwise values are null without words."""
+    """``id, version, n_shingles, key, values``: key and minwise values are null without words.
+
+    ``version`` is a hash of the text.
+    """
     import pyarrow as pa
 
     def run(batches):
@@ -174,14 +178,14 @@ def document_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFra
                 some = [s for s in sets if len(s)]
                 rows = iter(minwise(some)) if some else iter(())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0)[a:a + 1000], pa.array([len(s) for s in sets], pa.int64()),
+                    batch.column(0)[a:a + 1000], batch.column(2)[a:a + 1000], pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([set_key(s) if len(s) else None for s in sets], pa.binary()),
                     pa.array([next(rows).tobytes() if len(s) else None for s in sets], pa.binary())],
-                    names=["id", "n_shingles", "key", "values"])
+                    names=["id", "version", "n_shingles", "key", "values"])
 
     kind = docs.schema[id_col].dataType
-    return docs.select(id_col, text).mapInArrow(run, T.StructType([
-        T.StructField("id", kind), T.StructField("n_shingles", T.LongType()),
+    return docs.select(id_col, text, F.xxhash64(text)).mapInArrow(run, T.StructType([
+        T.StructField("id", kind), T.StructField("version", T.LongType()), T.StructField("n_shingles", T.LongType()),
         T.StructField("key", T.BinaryType()), T.StructField("values", T.BinaryType())]))
 
 
@@ -304,6 +308,16 @@ def compare(groups: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
     return dealt.repartition(*order).sortWithinPartitions(*order, "key").mapInArrow(links, schema)
 
 
+def _joined(docs: DataFrame, id_col: str, text: str, size: int, threshold: float, recall: float) -> tuple:
+    """All documents with their sets' keys, the nodes, the links found, and the root of each linked node."""
+    runs = ceil(log(1 - recall) / log(1 - chance(threshold, threshold, 3)))
+    every = stored(document_sets(docs, id_col, text, size), "sets")
+    nodes = stored(every.where("key is not null").groupBy("key").agg(
+        F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("values").alias("values")), "nodes")
+    found = stored(compare(candidate_groups(nodes, threshold, runs), docs, nodes, id_col, text, size, threshold), "links")
+    return every, nodes, found, components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE,
                     threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """``id, n_shingles, class_id, n_links, n_copies`` for every row.
@@ -311,12 +325,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     ``class_id`` is the smallest id of the class; ``n_links`` counts linked sets other than
     the own one, ``n_copies`` the documents with the own set.
     """
-    runs = ceil(log(1 - recall) / log(1 - chance(threshold, threshold, 3)))
-    every = stored(document_sets(docs, id_col, text, size), "sets")
-    nodes = stored(every.where("key is not null").groupBy("key").agg(
-        F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("values").alias("values")), "nodes")
-    found = stored(compare(candidate_groups(nodes, threshold, runs), docs, nodes, id_col, text, size, threshold), "links")
-    roots = components(found.select(F.col("key").alias("a"), F.col("root").alias("b")))
+    every, nodes, found, roots = _joined(docs, id_col, text, size, threshold, recall)
     counts = found.groupBy("key").agg(F.sum("n_links").alias("n_links"))
     placed = nodes.select("key", "id", "n_copies").join(roots.withColumnRenamed("node", "key"), "key", "left").withColumn(
         "root", F.coalesce("root", "key"))
@@ -326,3 +335,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return every.join(classes, "key", "left").select(
         F.col("id").alias(id_col), "n_shingles", F.when(F.col("key").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_copies", F.lit(1)).cast("long").alias("n_copies"))
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text: str = "text", size: int = SHINGLE,
+                threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
+    """The documents that remain if one of each class stays (that of the smallest id), all columns as they were.
+
+    Documents without words all stay. A row repeated as a whole counts as a copy.
+    """
+    every, _, _, roots = _joined(docs, id_col, text, size, threshold, recall)
+    placed = every.where("key is not null").join(roots.withColumnRenamed("node", "key"), "key", "left").select(
+        F.coalesce("root", "key").alias("root"), F.struct(F.col("id").isNull().alias("absent"), "id", "version").alias("at"))
+    stays = placed.groupBy("root").agg(F.min("at").alias("stays"), F.count("*").alias("n"))
+    marked = stored(placed.join(stays, "root").where("n > 1").select(
+        F.col("at.id").alias("__id"), F.col("at.version").alias("__version"), (F.col("at") == F.col("stays")).alias("__stays"))
+        .groupBy("__id", "__version").agg(F.max("__stays").alias("__stays"), F.count("*").alias("__n")), "copies")
+    if scalar(marked.select(F.count("*"))) <= SMALL_TABLE:
+        marked = F.broadcast(marked)
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), F.col(id_col).alias("__own"), F.xxhash64(text).alias("__text"))
+    found = rows.join(marked, rows["__own"].eqNullSafe(marked["__id"]) & (rows["__text"] == marked["__version"]), "left")
+    found = found.where(F.coalesce("__stays", F.lit(True)))
+    once = found.where(F.coalesce("__n", F.lit(1)) == 1).select("__row")
+    # the same row given several times: any one of them
+    again = found.where("__n > 1").groupBy("__id", "__version").agg(F.first("__row").alias("__row")).select("__row")
+    return once.unionByName(again).select("__row.*")

@@ -72,7 +72,20 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
                 weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED,
                 keep: list[str] | None = None) -> DataFrame:
     """All documents with ``size, source_size, target, copies, taken`` (of ``keep`` columns, else all)."""
-    keep = docs.columns if keep is None else keep
+    mixed = _mixed(docs, id_col, text, source, weights, share, most, seed, docs.columns if keep is None else keep)
+    return mixed.select("__row.*", F.col("__size").alias("size"), F.col("__total").alias("source_size"),
+                        F.col("__target").alias("target"), F.col("__copies").alias("copies"),
+                        (F.col("__copies") * F.col("__size")).alias("taken"))
+
+
+def mixed_copies(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source",
+                 weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = SEED) -> DataFrame:
+    """The documents of the mix, each as often as it is taken, all columns as they were."""
+    mixed = _mixed(docs, id_col, text, source, weights, share, most, seed, docs.columns).where(F.col("__copies") > 0)
+    return mixed.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))).select("__row.*")
+
+
+def _mixed(docs, id_col, text, source, weights, share, most, seed, keep) -> DataFrame:
     length = F.length(F.bin("__size"))
     sized = docs.withColumn("__size", word_counts(text)).select(
         F.struct(*keep).alias("__row"), F.col(id_col).alias("__id"), F.col(source).alias("__source"), "__size",
@@ -112,18 +125,10 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text: str = "text", sou
         .withColumn("__rate", rate)
         # rounding of rate times rank could add a boundary that the interval is too short for
         .withColumn("__copies", F.least(crossed, F.ceil("__rate")).cast("long"))
-        .select("__row.*", F.col("__size").alias("size"), F.col("__total").alias("source_size"),
-                F.col("__target").alias("target"), F.col("__copies").alias("copies"),
-                (F.col("__copies") * F.col("__size")).alias("taken"))
+        .select("__row", "__size", "__total", "__target", "__copies")
     )
 
 
-def repeated(mixed: DataFrame, columns: list[str]) -> DataFrame:
-    """The documents of a mix, each as often as it was taken."""
-    return mixed.where(F.col("copies") > 0).withColumn(
-        "__times", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*columns)
-
-
 def oracle(seed: int = SEED) -> str:
     """The mix of table ``documents`` in SQL, with the weights and limits of this module's defaults."""
     return rf"""
