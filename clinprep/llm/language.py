@@ -37,6 +37,8 @@ MIN_MARGIN = 0.002
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
 WORD = re.compile(r"[^\W\d_]+")
+#: Digits that follow each piece: with them even a single word is coded, where alone it would be stored as it is.
+TAIL = b" " + b" ".join(b"%d %d" % (i * 7919 % 9973, i) for i in range(12))
 
 
 def held_out(id_col: str) -> Column:
@@ -101,7 +103,7 @@ def classify(body: bytes, packers: list[tuple[str, object]], piece: int = PIECE)
     """Language and margin of a normalised text."""
     if not body or not packers:
         return UNKNOWN, 0.0
-    pieces = [body[i:i + piece] for i in range(0, len(body), piece)]
+    pieces = [body[i:i + piece] + TAIL for i in range(0, len(body), piece)]
     sizes = sorted((sum(len(packer.compress(p)) for p in pieces), name) for name, packer in packers)
     if len(sizes) == 1:
         return sizes[0][1], 1.0
