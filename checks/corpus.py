@@ -156,14 +156,22 @@ def _(spark, sf):
     return corpus.shuffled(view(spark, sf, "samples"), "sample_id").select("sample_id", "stage")
 
 
-@check("W5_demo_sample", views=("samples",), sql="""
-    WITH r AS (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY md5('42:' || sample_id::VARCHAR), sample_id) AS n FROM samples)
-    SELECT sample_id, stage, 'demo_' || lower(stage) || '_' || lpad(n::VARCHAR, 3, '0') AS demo_id,
-           CASE WHEN stage = 'B' THEN 'demo_ehr/demo_b_' || lpad(n::VARCHAR, 3, '0') || '_ehr.json' END AS ehr_json_path FROM r WHERE n <= 40""")
+DEMO_SQL = """
+    WITH r AS (SELECT sample_id, stage, row_number() OVER (PARTITION BY stage ORDER BY md5('42:' || sample_id::VARCHAR), sample_id) AS n FROM samples)
+    SELECT sample_id, stage, 'demo_' || lower(stage) || '_' || printf('%03d', n) AS demo_id,
+           CASE WHEN stage = 'B' THEN 'demo_ehr/demo_b_' || printf('%03d', n) || '_ehr.json' END AS ehr_json_path FROM r WHERE n <= {n}"""
+
+
+@check("W5_demo_sample", views=("samples",), sql=DEMO_SQL.format(n=40))
 def _(spark, sf):
     return corpus.demo_sample(view(spark, sf, "samples"), "sample_id").select("sample_id", "stage", "demo_id", "ehr_json_path")
 
 
+@check("W5_demo_sample_large", views=("samples",), sql=DEMO_SQL.format(n=2000))
+def _(spark, sf):
+    return corpus.demo_sample(view(spark, sf, "samples"), "sample_id", n_per_stage=2000).select("sample_id", "stage", "demo_id", "ehr_json_path")
+
+
 @check("W7_strip_minimal", views=RECORD_VIEWS, sql="SELECT study_id, age, sex FROM rec WHERE age IS NOT NULL")
 def _(spark, sf):
     out = records(spark, sf).where("patient_data IS NOT NULL").withColumn("p", corpus.strip_patient(F.col("patient_data")))
@@ -266,7 +274,13 @@ def _(spark, sf):
     return corpus.rare_label_weights(base, "labels", "icd").select("sample_id", F.round("weight", 6).alias("weight"))
 
 
-@check("W12_weighted_draws")
+# each draw falls into the span of one item on the cumulative weights
+@check("W12_weighted_draws", views=("samples",), sql=f"""
+    WITH {WEIGHTED}, {FREQ}, {WEIGHTS}, {LABEL_WEIGHTS},
+    o AS (SELECT sample_id, r / (SELECT sum(r) FROM raw) AS w, md5('42:' || sample_id::VARCHAR) AS h FROM raw),
+    c AS (SELECT sample_id, sum(w) OVER (ORDER BY h, sample_id ROWS UNBOUNDED PRECEDING) AS high FROM o),
+    d AS (SELECT sample_id AS draw, ('0x' || substr(md5('42:' || sample_id::VARCHAR), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE AS u FROM samples)
+    SELECT d.draw, c.sample_id FROM d ASOF JOIN c ON d.u < c.high""")
 def _(spark, sf):
     items = row_weights(spark, sf).select("sample_id", "weight")
     # as many draws as there are samples: one per row of the table
@@ -294,7 +308,7 @@ SCHEDULE_SQL = """
 
 
 def _steps(spark, sf):
-    return view(spark, sf, "samples").count() // 32
+    return view(spark, sf, "samples").select(F.expr("count(*) div 32")).scalar()
 
 
 @check("W13_schedule", views=("samples",), sql=SCHEDULE_SQL.format(

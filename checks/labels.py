@@ -12,6 +12,8 @@ from clinprep import vocab
 from clinprep.functions import labels as lb
 from clinprep.operators import labels, profile
 from clinprep.operators import records as rec
+from clinprep.session import scratch_dir
+from clinprep.sources import files
 
 
 def finding_maps(spark, sf):
@@ -63,13 +65,35 @@ def _(spark, sf):
     return labels.out_of_domain(rows)
 
 
-@check("S4_map_document", views=("label_rows",), sql="SELECT study_id, label, value FROM label_rows")
+@check("S4_map_table", views=("label_rows",), sql="SELECT study_id, label, value FROM label_rows")
 def _(spark, sf):
-    from clinprep.session import scratch_dir
-    from clinprep.sources.files import read_map_table, write_map_table
     path = scratch_dir(spark, "maps")
-    write_map_table(labels.label_maps(view(spark, sf, "label_rows")), path)
-    return labels.explode_labels(read_map_table(spark, path))
+    files.write_map_table(labels.label_maps(view(spark, sf, "label_rows")), path)
+    return labels.explode_labels(files.read_map_table(spark, path))
+
+
+def _map_document(spark, sf, gap: str, between: str):
+    """The label maps written as one JSON document, and read again from it."""
+    path = scratch_dir(spark, "document")
+    maps = labels.label_maps(view(spark, sf, "label_rows")).select(
+        F.col("study_id"), F.to_json(F.transform_values("labels", lambda _, v: v.cast("string"))).alias("body"))
+    body = F.regexp_replace(F.regexp_replace("body", r'":"(-?[0-9]+)"', rf'":{gap}$1'), ",", "," + between)
+    line = F.concat(F.lit('"'), F.col("study_id").cast("string"), F.lit(f'":{gap}'), body)
+    # one file: the opening brace, a study for each row, the closing brace
+    whole = maps.select(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "," + between).alias("all"))
+    whole.select(F.concat(F.lit("{" + between), "all", F.lit(between + "}")).alias("value")).coalesce(1).write.text(path)
+    read = files.import_map_document(spark, path).withColumn("study_id", F.col("study_id").cast("long"))
+    return labels.explode_labels(read)
+
+
+@check("S4_map_document", views=("label_rows",), sql="SELECT study_id, label, value FROM label_rows")
+def _(spark, sf):
+    return _map_document(spark, sf, "", "")
+
+
+@check("S4_map_document_indented", views=("label_rows",), sql="SELECT study_id, label, value FROM label_rows")
+def _(spark, sf):
+    return _map_document(spark, sf, " ", "\n    ")
 
 
 @check("A11_label_distribution", views=("finding_rows",), sql="""

@@ -24,10 +24,13 @@ def _(spark, sf):
     admissions = view(spark, sf, "admissions").select(
         "subject_id", "hadm_id", F.col("admittime").cast("timestamp"), F.col("dischtime").cast("timestamp"), "admission_type",
         F.lit("EMERGENCY, \"ROOM\"").alias("admission_location"))
+    # real exports have other columns in front and between, and their own order
+    admissions = admissions.select(F.lit(7).alias("row_id"), "dischtime", "subject_id", F.lit("x").alias("insurance"), "admittime", "hadm_id",
+                                   "admission_location", "admission_type")
     admissions.write.options(**gz).csv(f"{folder}/admissions.csv.gz")
     # a cell that is not a number must become null and leave the rest of the row alone
     age = F.when(F.col("subject_id") % 9 == 0, F.lit("n/a")).otherwise(F.col("anchor_age").cast("string"))
-    view(spark, sf, "patients").withColumn("anchor_age", age).write.options(**gz).csv(f"{folder}/patients.csv.gz")
+    view(spark, sf, "patients").withColumn("anchor_age", age).select("anchor_age", F.lit(2180).alias("anchor_year"), "gender", "subject_id").write.options(**gz).csv(f"{folder}/patients.csv.gz")
     got = files.load_warehouse(spark, folder, schemas.WAREHOUSE)
     a = got["admissions"]
     return a.join(got["patients"], "subject_id").select(
@@ -52,14 +55,17 @@ def _round_trip(spark, sf):
     return files.read_jsonl(spark, path, schemas.sample_record())
 
 
-@check("S3_report_corpus", views=("reports",), sql="SELECT report, true AS stem_is_key FROM reports")
+@check("S3_report_corpus", views=("reports",), sql="SELECT report, true AS stem_is_key, 1::BIGINT AS n_of_key FROM reports")
 def _(spark, sf):
     path = scratch_dir(spark, "reports")
     # one text file per report
     view(spark, sf, "reports").select("report").repartition(8).write.option("maxRecordsPerFile", 1).text(f"{path}/p10")
     got = files.read_reports(spark, path)
     stem = F.concat("study_id", F.lit(".txt")) == F.substring_index("source_file", "/", -1)
-    return got.select(F.regexp_replace("report", r"\n\z", "").alias("report"), stem.alias("stem_is_key"))
+    # the key names one report
+    keys = got.groupBy("study_id").agg(F.count("*").alias("n_of_key"))
+    return got.withColumn("stem_is_key", stem).join(keys, "study_id").select(
+        F.regexp_replace("report", r"\n\z", "").alias("report"), "stem_is_key", "n_of_key")
 
 
 @check("S5_jsonl_sink", views=RECORD_VIEWS, sql="SELECT study_id, stage, CASE WHEN study_id % 4 = 0 THEN 'val' ELSE 'train' END AS split FROM rec")
@@ -82,6 +88,7 @@ def _(spark, sf):
         F.col("study_id").cast("string"), F.lit("p/x.jpg").alias("image_path"), F.lit("A").alias("stage"), F.lit(None).cast("string").alias("ehr_json_path"),
         F.lit('SAID "SO",\nTWICE').alias("ground_truth_impression"), F.concat(F.lit("{"), "body", F.lit("}")).alias("ground_truth_chexpert"),
         icd.alias("ground_truth_icd"), F.lit("1").alias("subject_id"))
+    out = out.select(F.lit("n").alias("note"), *reversed(out.columns))
     out.write.option("header", True).option("quote", '"').option("escape", '"').csv(path)
     back = files.read_eval_manifest(spark, path)
     return back.where(F.col("ground_truth_impression") == 'SAID "SO",\nTWICE').select(

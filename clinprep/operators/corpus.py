@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from clinprep import vocab
 from clinprep.functions import text
-from clinprep.functions.exprs import scalar, seeded_hash, spread_nulls
+from clinprep.functions.exprs import literal_map, scalar, seeded_hash, spread_nulls
 from clinprep.operators.scaling import (
     hot_aware_join, order_cutoff, seeded_rank, share_count,
 )
+from clinprep.sources.files import stored
 
 # --- manifest -----------------------------------------------------------------
 
@@ -164,7 +167,7 @@ def with_split(samples: DataFrame, group: str = "subject_id", share: float = voc
     """
     groups = samples.select(group).distinct()
     cutoff = order_cutoff(groups, group, seed, share_count(groups, share))
-    chosen = F.coalesce(seeded_hash(seed, group) <= cutoff, F.lit(False))
+    chosen = F.coalesce(seeded_hash(seed, group) <= F.lit(cutoff), F.lit(False))
     return samples.withColumn("split", F.when(chosen, "val").otherwise("train"))
 
 
@@ -181,7 +184,7 @@ def demo_sample(samples: DataFrame, id_col: str, n_per_stage: int = 40, seed: in
     """
     order = Window.partitionBy("stage").orderBy(seeded_hash(seed, id_col), id_col)
     picked = samples.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_per_stage)
-    name = F.concat(F.lit("demo_"), F.lower("stage"), F.lit("_"), F.lpad(F.col("_n").cast("string"), 3, "0"))
+    name = F.concat(F.lit("demo_"), F.lower("stage"), F.lit("_"), F.format_string("%03d", "_n"))
     sidecar = F.when(F.col("stage") == "B", F.concat(F.lit("demo_ehr/"), name, F.lit("_ehr.json")))
     return picked.withColumn("demo_id", name).withColumn("ehr_json_path", sidecar).drop("_n")
 
@@ -218,22 +221,24 @@ def epoch_mix(samples: DataFrame, id_col: str, low_ehr: Column, seed: int, epoch
 
     Synthetic rows come from the low-EHR rows when there are enough, else from all of B.
     ``part`` says where a row came from; its patient data is stripped by the caller.
+    The counts and two cut-offs are single values, so the mix itself is one scan without a shuffle.
     """
     seed = seed + epoch
-    a = samples.where(F.col("stage") == "A").withColumn("part", F.lit("A"))
-    b = samples.where(F.col("stage") == "B").withColumn("_low", F.coalesce(low_ehr, F.lit(False)))
-    n_a, n_b = scalar(a, F.count("*")), scalar(b, F.count("*"))
-    enough = scalar(b, F.count_if("_low")) >= n_a
-    pool = b.where(F.col("_low") | ~enough)
-    n_synthetic = F.least(scalar(pool, F.count("*")), n_a)
-    n_keep = F.greatest(F.lit(1).cast("long"), F.floor(n_b * F.lit(share_b) + F.lit(1e-9)).cast("long"))
+    low = F.coalesce(low_ehr, F.lit(False))
+    in_a, in_b = F.col("stage") == "A", F.col("stage") == "B"
+    n_a, n_b, n_low = samples.agg(F.count_if(in_a), F.count_if(in_b), F.count_if(in_b & low)).first()
+    in_pool = in_b & low if n_low >= n_a else in_b
+    n_synthetic = min(n_low if n_low >= n_a else n_b, n_a)
+    n_keep = max(1, floor(n_b * share_b + 1e-9))
 
-    def first(df, key, count):
-        return df.where(seeded_hash(key, id_col) <= order_cutoff(df, id_col, key, count)).drop("_low")
+    def first(pool: Column, key: str, count: int) -> Column:
+        cutoff = order_cutoff(samples.where(pool), id_col, key, count)
+        return F.coalesce(pool & (seeded_hash(key, id_col) <= F.lit(cutoff)), F.lit(False))
 
-    synthetic = first(pool, f"{seed}s", n_synthetic).withColumn("stage", F.lit("A")).withColumn("part", F.lit("synthetic"))
-    kept = first(b, f"{seed}b", n_keep).withColumn("part", F.lit("B"))
-    return a.unionByName(synthetic).unionByName(kept)
+    parts = F.array_compact(F.array(
+        F.when(in_a, "A"), F.when(first(in_pool, f"{seed}s", n_synthetic), "synthetic"), F.when(first(in_b, f"{seed}b", n_keep), "B")))
+    mixed = samples.withColumn("part", F.explode(parts))
+    return mixed.withColumn("stage", F.when(F.col("part") == "synthetic", F.lit("A")).otherwise(F.col("stage")))
 
 
 # --- weights ------------------------------------------------------------------
@@ -246,29 +251,27 @@ def class_weights(frequencies: DataFrame, boost: float, name: str = "name", freq
         "weight", F.when(F.col(freq) < top * 0.1, weight * boost).otherwise(weight))
 
 
-def row_weights(samples: DataFrame, classes: list[tuple[Column, DataFrame]]) -> DataFrame:
+def row_weights(samples: DataFrame, classes: list[tuple[Column, DataFrame]], max_classes: int = 10_000) -> DataFrame:
     """Product of the weights of a row's classes, normalized to sum 1.
 
-    ``classes`` pairs an array of class names with a weight table; the table, bounded by
-    its vocabulary, becomes one map value, so the rows are not joined.
+    ``classes`` pairs an array of class names with a weight table. A table of at most
+    ``max_classes`` names (checked) becomes one map value, so the rows are not joined. The
+    weights are stored once; the sum is taken from what is stored.
     """
-    staged, maps = samples, []
-    for i, (_, table) in enumerate(classes):
-        as_map = table.select(F.map_from_entries(F.collect_list(F.struct("name", "weight")))).scalar()
-        maps.append(f"_weights_{i}")
-        staged = staged.withColumn(maps[-1], as_map)
+    staged, weight = samples, F.lit(1.0)
+    for i, (names, table) in enumerate(classes):
+        known = {r.name: r.weight for r in table.select("name", "weight").limit(max_classes + 1).collect()}
+        if len(known) > max_classes:
+            raise ValueError(f"more than {max_classes} classes have weights")
+        # a map column beside the rows, so the literal is not repeated inside the fold
+        staged = staged.withColumn(f"_weights_{i}", literal_map(known) if known else F.lit(None).cast("map<string,double>"))
 
-    def product(names, known):
-        def step(total, name):
-            return total * F.coalesce(F.try_element_at(F.col(known), name), F.lit(1.0))
-        return F.aggregate(names, F.lit(1.0), step)
+        def step(total, name, column=f"_weights_{i}"):
+            return total * F.coalesce(F.try_element_at(F.col(column), name), F.lit(1.0))
 
-    weight = F.lit(1.0)
-    for (names, _), known in zip(classes, maps):
-        weight = weight * product(names, known)
-    weighted = staged.withColumn("raw_weight", weight).drop(*maps)
-    total = scalar(weighted, F.sum("raw_weight"))
-    return weighted.withColumn("weight", F.col("raw_weight") / total)
+        weight = weight * F.aggregate(names, F.lit(1.0), lambda total, name: step(total, name))
+    weighted = stored(staged.withColumn("raw_weight", weight).drop(*[f"_weights_{i}" for i in range(len(classes))]), "weights")
+    return weighted.withColumn("weight", F.col("raw_weight") / F.lit(weighted.agg(F.sum("raw_weight")).first()[0]))
 
 
 def rare_label_weights(samples: DataFrame, labels: str, icd: str, boost: float = vocab.RARE_BOOST) -> DataFrame:
@@ -297,21 +300,23 @@ def cumulative_weight(items: DataFrame, id_col: str, seed: int = 42) -> DataFram
         "_order", "_bucket", "_before", "_upto")
 
 
-def weighted_draws(items: DataFrame, id_col: str, draws: DataFrame, cells: int = 65536,
+def weighted_draws(items: DataFrame, id_col: str, draws: DataFrame, cells: int | None = None,
                    seed: int = 42) -> DataFrame:
     """One item per draw, with replacement, in proportion to ``weight``.
 
-    ``draws`` holds ``draw`` (unique) and ``u`` in [0, 1). The unit interval is cut into
-    cells; an item marks every cell it reaches into, and one ordered pass per cell carries
+    ``draws`` holds ``draw`` (unique, of any type) and ``u`` in [0, 1). The unit interval is cut into
+    ``cells``, by default one for every 64 items and 16 at least; an item marks every cell it reaches into, and one ordered pass per cell carries
     the item that covers each draw. No item-draw pairs are formed.
     """
-    spans = cumulative_weight(items.select(id_col, "weight"), id_col, seed)
+    items = stored(items.select(id_col, "weight"), "items")
+    cells = cells or max(16, items.count() // 64)
+    spans = cumulative_weight(items, id_col, seed)
     top = F.lit(cells - 1)
     first = F.least(F.greatest(F.floor(F.col("low") * cells), F.lit(0)), top)
     last = F.least(F.floor(F.col("high") * cells), top)
     marks = spans.withColumn("_cell", F.explode(F.sequence(first, last))).select(
         "_cell", F.greatest(F.col("low"), F.col("_cell") / cells).alias("_pos"),
-        F.lit(0).alias("_kind"), F.col(id_col).alias("_item"), F.lit(None).cast("long").alias("draw"))
+        F.lit(0).alias("_kind"), F.col(id_col).alias("_item"), F.lit(None).cast(draws.schema["draw"].dataType).alias("draw"))
     asked = draws.select(
         F.least(F.floor(F.col("u") * cells), top).alias("_cell"), F.col("u").alias("_pos"),
         F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_item"].dataType).alias("_item"), "draw")
@@ -345,15 +350,20 @@ def stepped_ratios(progress: Column) -> tuple[Column, Column]:
     return a, s
 
 
-def schedule(spark: SparkSession, total_steps: int, batch_size: int, split: float = 0.5,
+def schedule(spark: SparkSession, total_steps: int | Column, batch_size: int, split: float = 0.5,
              early: tuple[float, float] | None = (0.5, 0.2)) -> DataFrame:
-    """Rows per step and part; fractions are cut off and stage B takes the remainder."""
-    progress = F.col("step") / total_steps
+    """Rows per step and part; fractions are cut off and stage B takes the remainder.
+
+    ``total_steps`` is a number, or a scalar subquery such as one on the number of samples.
+    """
+    total = F.lit(total_steps) if isinstance(total_steps, int) else total_steps
+    progress = F.col("step") / F.col("total")
     a, s = mix_ratios(progress, split, early) if early is not None else stepped_ratios(progress)
-    steps = spark.range(total_steps).select(F.col("id").alias("step"))
+    counted = spark.range(1).select(total.cast("long").alias("total")).where("total > 0")
+    steps = counted.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("step"))
     whole = steps.withColumn("n_a", F.floor(a * batch_size).cast("long")).withColumn(
         "n_synthetic", F.floor(s * batch_size).cast("long"))
-    return whole.withColumn("n_b", F.lit(batch_size) - F.col("n_a") - F.col("n_synthetic"))
+    return whole.withColumn("n_b", F.lit(batch_size) - F.col("n_a") - F.col("n_synthetic")).drop("total")
 
 
 def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame | None = None,
@@ -382,8 +392,7 @@ def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame
     synthetic = ranked("B", "synthetic", "n_synthetic")
     if weights is None:
         weights = samples.where(F.col("stage") == "B").select(id_col, F.lit(1.0).alias("weight"))
-    asked = slots("B", "n_b", "B").withColumn("draw", F.col("step") * 1_000_000 + F.col("slot")).withColumn(
-        "u", uniform(seed, "step", "slot"))
-    drawn = weighted_draws(weights, id_col, asked.select("draw", "u"), seed=seed)
-    b = asked.join(drawn, "draw").select("step", "part", "slot", id_col)
+    asked = slots("B", "n_b", "B").select(F.struct("step", "slot").alias("draw"), uniform(seed, "step", "slot").alias("u"))
+    drawn = weighted_draws(weights, id_col, asked, seed=seed)
+    b = drawn.select("draw.step", F.lit("B").alias("part"), "draw.slot", id_col)
     return a.unionByName(synthetic).unionByName(b)

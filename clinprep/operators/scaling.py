@@ -5,13 +5,15 @@ None of them drops, caps or samples rows, and none puts an unbounded group in on
 
 from __future__ import annotations
 
+from math import floor
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinprep.functions.exprs import seeded_hash
 
-SALTS = 16
-RANK_DIGITS = 3  # leading hex digits of the md5 order: 4096 buckets
+SALTS = 16  # default of salted_join; pass more for clusters of more than some hundred cores
+RANK_DIGITS = 3  # leading hex digits of the md5 order: 4096 buckets, each sorted alone
 
 
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str],
@@ -52,14 +54,23 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int, by: list[str] | None = No
     )
 
 
-def order_cutoff(df: DataFrame, id_col: str, seed, count: Column) -> Column:
-    """Scalar: the md5 order value of the ``count``-th id; null when ``count`` is 0.
+def order_cutoff(df: DataFrame, id_col: str, seed, count: int) -> str | None:
+    """The md5 order value of the ``count``-th id; None when ``count`` is 0 or there are fewer.
 
     ``seeded_hash(seed, id) <= cutoff`` then selects exactly ``count`` ids, row by row and
-    without joining the selection back.
+    without joining the selection back. Ids are counted per bucket of leading digits, and only
+    those of the bucket that holds the ``count``-th are sorted.
     """
-    ranked = seeded_rank(df.select(id_col), id_col, seed)
-    return ranked.where(F.col("rank") == count).select(F.max(seeded_hash(seed, id_col))).scalar()
+    ordered = df.select(seeded_hash(seed, id_col).alias("_order"), id_col)
+    digits = F.substring("_order", 1, RANK_DIGITS)
+    upto = Window.orderBy("_bucket")
+    counts = ordered.groupBy(digits.alias("_bucket")).agg(F.count("*").alias("_n"))
+    place = counts.withColumn("_upto", F.sum("_n").over(upto)).where(
+        (F.col("_upto") >= count) & (F.col("_upto") - F.col("_n") < count)).select("_bucket", count - (F.col("_upto") - F.col("_n"))).first()
+    if count <= 0 or place is None:
+        return None
+    within = ordered.where(digits == place[0]).select("_order", F.row_number().over(Window.orderBy("_order", id_col)).alias("_rank"))
+    return within.where(F.col("_rank") == place[1]).first()[0]
 
 
 def hot_aware_join(many: DataFrame, one: DataFrame, key: str, rows: Column, spread: list[str],
@@ -87,9 +98,9 @@ def hot_aware_join(many: DataFrame, one: DataFrame, key: str, rows: Column, spre
     )
 
 
-def share_count(df: DataFrame, share: float) -> Column:
-    """``floor(share * n)`` of the frame as a scalar subquery (nudged against binary error)."""
-    return df.select(F.floor(F.count("*") * F.lit(share) + F.lit(1e-9)).cast("long")).scalar()
+def share_count(df: DataFrame, share: float) -> int:
+    """``floor(share * n)`` of the frame (nudged against binary error)."""
+    return floor(share * df.count() + 1e-9)
 
 
 def last_in_window(queries: DataFrame, facts: DataFrame, by: list[str], query_pos: Column,

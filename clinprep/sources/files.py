@@ -15,17 +15,23 @@ BAD_RECORD = "_bad_record"
 
 # --- warehouse tables ---------------------------------------------------------
 
-def read_csv_table(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def read_csv_table(spark: SparkSession, path: str, schema: T.StructType, **options) -> DataFrame:
     """A warehouse CSV (plain or gzip) as text columns, each cast where its value allows.
 
-    A cell that does not fit its type becomes null instead of failing the load, which is
-    the text fallback and the typed load in one pass. Gzip files cannot be split: persist
-    the result with ``store_table`` before using it more than once.
+    Columns are found by the names in the header, in any order and among others; a missing
+    one, or files of one folder with different headers, is an error. A cell that does not fit
+    its type becomes null instead of failing the load, which is the text fallback and the
+    typed load in one pass. Gzip files cannot be split: persist the result with
+    ``store_table`` before using it more than once.
     """
-    texts = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
-    raw = spark.read.schema(texts).csv(path, header=True, mode="PERMISSIVE")
+    header = spark.read.options(header=True, **options).csv(path).columns
+    missing = [f.name for f in schema.fields if f.name not in header]
+    if missing:
+        raise ValueError(f"{path} lacks columns {missing}; its header has {header}")
+    texts = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    raw = spark.read.schema(texts).options(header=True, mode="PERMISSIVE", enforceSchema=False, **options).csv(path)
     return raw.select(*[
-        F.col(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name).try_cast(f.dataType).alias(f.name)
+        F.col(f"`{f.name}`").try_cast(f.dataType).alias(f.name) if not isinstance(f.dataType, T.StringType) else F.col(f"`{f.name}`")
         for f in schema.fields])
 
 
@@ -60,9 +66,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
 
 # --- JSON lines ---------------------------------------------------------------
 
-def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """JSON lines with a given schema; blank lines are skipped, bad lines end up null."""
-    return spark.read.schema(schema).json(path)
+def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, bad_records: bool = False) -> DataFrame:
+    """JSON lines with a given schema; blank lines are skipped, and so are malformed ones.
+
+    ``bad_records`` keeps malformed lines as rows whose only value is the line, in column
+    ``BAD_RECORD``, for the counts of a correction run.
+    """
+    kept = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
+    rows = spark.read.schema(kept).option("columnNameOfCorruptRecord", BAD_RECORD).json(path)
+    return rows if bad_records else rows.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -127,17 +139,21 @@ def read_map_table(spark: SparkSession, path: str) -> DataFrame:
 
 
 def import_map_document(spark: SparkSession, path: str) -> DataFrame:
-    """One indented JSON document ``{study: {label: value}}`` as ``study_id, labels``.
+    """One JSON document ``{study: {label: value}}``, in any layout, as ``study_id, labels``.
 
-    The closing brace of a study (two blanks deep) separates the records, so the document
-    is read in splits like any text file and never as a whole.
+    A closing brace ends a study, so the document is read in splits like any text file and
+    never as a whole. Text that is neither a study nor the document's own braces is an error.
     """
-    chunks = spark.read.option("lineSep", "\n  }").text(path)
-    entry = r'(?s)"([^"]+)"\s*:\s*\{(.*)'
-    named = chunks.select(F.regexp_extract("value", entry, 1).alias("study_id"),
-                          F.regexp_extract("value", entry, 2).alias("_body"))
-    labels = F.from_json(F.concat(F.lit("{"), F.col("_body"), F.lit("}")), "map<string,int>")
-    return named.where(F.col("study_id") != "").select("study_id", labels.alias("labels"))
+    chunks = spark.read.option("lineSep", "}").text(path).where(~F.col("value").rlike(r"^[\s,]*$"))
+    entry = r'(?s)^[\s,]*\{?\s*"((?:[^"\\]|\\.)*)"\s*:\s*(\{[^{]*)$'
+    body = F.concat(F.regexp_extract("value", entry, 2), F.lit("}"))
+    values = F.when(is_json(body), F.from_json(body, "map<string,double>"))
+    empty = F.col("value").rlike(r"^\s*\{\s*$")  # a document without studies
+    labels = F.transform_values(values, lambda _, v: v.cast("int"))
+    wrong = F.raise_error(F.concat(F.lit("not a study of a label document: "), F.substring("value", 1, 200)))
+    return chunks.where(~empty).select(
+        F.regexp_extract("value", entry, 1).alias("study_id"),
+        F.when(F.col("value").rlike(entry) & values.isNotNull(), labels).otherwise(wrong.cast("map<string,int>")).alias("labels"))
 
 
 # --- evaluation manifest and sidecars -----------------------------------------
@@ -152,10 +168,12 @@ def quasi_json(col: Column, schema: str) -> Column:
 
 
 def read_eval_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation manifest CSV with its two quasi-JSON columns parsed."""
+    """Evaluation manifest CSV, columns by header name, with its two quasi-JSON columns parsed.
+
+    Quoted cells may hold line breaks, so one file is one task; a manifest is a small file.
+    """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_FIELDS])
-    raw = spark.read.schema(schema).csv(path, header=True, quote='"', escape='"', multiLine=True)
-    return parse_manifest(raw)
+    return parse_manifest(read_csv_table(spark, path, schema, quote='"', escape='"', multiLine=True))
 
 
 def parse_manifest(raw: DataFrame) -> DataFrame:
@@ -190,8 +208,9 @@ def attach_sidecars(manifest: DataFrame, sidecars: DataFrame, path: str = "ehr_j
 
 # --- metric sinks -------------------------------------------------------------
 
-def write_metrics_wide(metrics: DataFrame, path: str) -> None:
-    metrics.coalesce(1).write.mode("overwrite").csv(path, header=True)
+def write_metrics_wide(metrics: DataFrame, path: str, single_file: bool = True) -> None:
+    """Metrics as CSV: aggregates as one file; set ``single_file=False`` for rows per sample."""
+    (metrics.coalesce(1) if single_file else metrics).write.mode("overwrite").csv(path, header=True)
 
 
 def long_metrics(wide: DataFrame) -> DataFrame:
