@@ -152,6 +152,15 @@ DUCK_FORM["votes"] = f"""
     FROM {{documents}} d, unnest([{_NAMES}]) WITH ORDINALITY AS t(label, i), unnest([0, 1, 2]) AS r(run)"""
 
 
+# truth with labels missing, and predictions with labels, and whole studies, missing
+for _form in (SPARK_FORM, DUCK_FORM):
+    _form["truth_rows"] = """
+    SELECT study_id, stage, label, value AS truth FROM {votes} v WHERE run = 0 AND (study_id + length(label)) % 11 <> 0"""
+    _form["pred_rows"] = """
+    SELECT study_id, run, label, value FROM {votes} v
+    WHERE run > 0 AND (study_id * 3 + run) % 7 <> 0 AND (study_id + length(label)) % 5 <> 0"""
+
+
 def _text(name: str, spark: bool) -> str:
     forms = SPARK_FORM if spark else DUCK_FORM
     return forms.get(name) or VIEWS[name]

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.bindings import view
 from checks.registry import check
+from clinprep import vocab
 from clinprep.operators import evaluate as ev
 from clinprep.sources import files
 
@@ -33,16 +34,18 @@ def _(spark, sf):
     return out.select("study_id", "turn", "impression", F.try_element_at("findings", F.lit("Edema")).alias("edema"))
 
 
+# one in four studies has values that are no numbers, one in eleven repeats a key
 OBJECT = """SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN 'A' ELSE 'B' END AS stage,
     concat('Answer: ', CASE WHEN conv_id % 5 = 0 THEN 'none' ELSE concat('{{"impression": "', CASE WHEN conv_id % 3 = 0 THEN '' ELSE concat(' said ', CAST(turn AS {t})) END,
-    '", "chexpert": {{"Edema": ', CAST(turn % 3 - 1 AS {t}), '}}, "icd": {{"Pneumonia": ', CAST(turn AS {t}), CASE WHEN conv_id % 7 = 0 THEN ',' ELSE '' END, '}}}} tail }} {{') END, text) AS output
+    '", "chexpert": {{"Edema": ', CASE WHEN conv_id % 11 = 0 THEN '7, "Edema": ' ELSE '' END, CAST(turn % 3 - 1 AS {t}),
+    ', "Fracture": ', CASE CAST(conv_id % 4 AS INT) WHEN 0 THEN '"yes"' WHEN 1 THEN 'true' WHEN 2 THEN 'NaN' ELSE '"1"' END, '}}, "icd": {{"Pneumonia": ', CAST(turn AS {t}), CASE WHEN conv_id % 7 = 0 THEN ',' ELSE '' END, '}}}} tail }} {{') END, text) AS output
     FROM {c}"""
 
 
 @check("V2_parse_object", sql=f"""
     WITH o AS ({OBJECT.format(t='VARCHAR', c='conversations')}), v AS (SELECT *, conv_id % 5 <> 0 AND conv_id % 7 <> 0 AS valid FROM o)
     SELECT conv_id, turn, valid, CASE WHEN valid AND conv_id % 3 <> 0 THEN 'said ' || turn::VARCHAR ELSE trim(output, ' ' || chr(10)) END AS impression,
-           CAST(CASE WHEN valid THEN sign(turn % 3 - 1) ELSE 0 END AS INT) AS edema, 0 AS fracture,
+           CAST(CASE WHEN valid THEN sign(turn % 3 - 1) ELSE 0 END AS INT) AS edema, CAST(CASE WHEN valid AND conv_id % 4 = 1 THEN 1 ELSE 0 END AS INT) AS fracture,
            CAST(CASE WHEN valid AND stage = 'B' AND turn > 0 THEN 1 ELSE 0 END AS INT) AS pneumonia FROM v""")
 def _(spark, sf):
     texts = spark.sql(OBJECT.format(t="STRING", c=f"parquet.`{sf}/conversations.parquet`"))
@@ -74,7 +77,7 @@ def _(spark, sf):
 # --- text scores --------------------------------------------------------------
 
 WORDS = "list_filter(string_split(regexp_replace(lower({0}), '[^a-z0-9]+', ' ', 'g'), ' '), lambda x: x <> '')"
-TOKENS = r"list_filter(regexp_split_to_array({0}, '\s+'), lambda x: x <> '')"
+TOKENS = r"list_filter(regexp_split_to_array({0}, '[\s\x{{1c}}-\x{{1f}}\x{{85}}\x{{a0}}]+'), lambda x: x <> '')"
 
 
 def _grams(orders):
@@ -108,9 +111,18 @@ def _(spark, sf):
     return out.agg(F.round(F.avg("rouge1"), 5).alias("rouge1"), F.round(F.avg("rouge2"), 5).alias("rouge2"))
 
 
-@check("V6_rouge_l")
+# the last row of the table of common subsequence lengths, folded word by word
+@check("V6_rouge_l", views=("pairs",), sql=f"""
+    WITH w AS (SELECT conv_id, turn, {WORDS.format('reference')} AS r, {WORDS.format('prediction')} AS p FROM pairs),
+    l AS (SELECT conv_id, turn, len(r) AS nr, len(p) AS np, CASE WHEN len(r) = 0 OR len(p) = 0 THEN 0 ELSE list_reduce(
+            list_prepend(list_transform(range(0, len(p) + 1), lambda k: 0::BIGINT), list_transform(r, lambda x: [hash(x) % 9007199254740993])),
+            lambda row, x: list_reduce(list_prepend([0::BIGINT], list_transform(range(1, len(p) + 1), lambda k: [k])),
+              lambda done, k: list_append(done, greatest(done[len(done)], row[k[1] + 1], CASE WHEN hash(p[k[1]]) % 9007199254740993 = x[1] THEN row[k[1]] + 1 ELSE 0 END)))
+          )[-1] END AS hit FROM w)
+    SELECT conv_id, turn, round(CASE WHEN hit > 0 THEN 2.0::DOUBLE * hit / (nr + np) ELSE 0 END, 6) AS rougeL FROM l""")
 def _(spark, sf):
-    return ev.rouge_l(view(spark, sf, "pairs"), ["conv_id", "turn"])
+    out = ev.rouge_l(view(spark, sf, "pairs"), ["conv_id", "turn"])
+    return out.select("conv_id", "turn", F.round("rougeL", 6).alias("rougeL"))
 
 
 def _bleu_sql(lower):
@@ -137,75 +149,98 @@ def _(spark, sf):
 
 # --- label metrics ------------------------------------------------------------
 
-def runs(spark, sf):
-    """Run 0 is the truth, runs 1 and 2 are predictions."""
-    v = view(spark, sf, "votes")
-    truth = v.where("run = 0").select("study_id", "label", F.col("value").alias("truth"))
-    return ev.attach_truth(v.where("run > 0"), truth, ["study_id", "label"]).withColumnRenamed("value", "pred")
+NAMES = ["No Finding", "Edema", "Pneumonia", "Pneumothorax", "Pleural Effusion", "Fracture", "Support Devices", "Lung Opacity"]
+# the same rows read as diagnoses: one condition for each finding name
+CONDITIONS = {"No Finding": "pneumonia", "Edema": "pleural_effusion", "Pneumonia": "pneumothorax", "Pneumothorax": "pulmonary_embolism",
+              "Pleural Effusion": "chf_exacerbation", "Fracture": "pulmonary_edema", "Support Devices": "rib_fracture", "Lung Opacity": "lung_mass"}
+VOTE_VIEWS = ("votes", "truth_rows", "pred_rows")
 
 
-TRUTH = """t AS (SELECT p.study_id, p.stage, p.run, p.label, a.value AS truth, p.value AS pred FROM votes p JOIN votes a
-                 ON p.study_id = a.study_id AND p.label = a.label AND a.run = 0 WHERE p.run > 0)"""
+def runs(spark, sf, names=NAMES, eligible=False, rename=None):
+    """Truth beside the predictions of both runs."""
+    truth, pred = view(spark, sf, "truth_rows"), view(spark, sf, "pred_rows")
+    if rename:
+        label = F.create_map(*[F.lit(x) for pair in rename.items() for x in pair])[F.col("label")]
+        truth, pred = truth.withColumn("label", label), pred.withColumn("label", label)
+    return ev.attach_truth(truth, pred, names, eligible=eligible)
+
+
+TRUTH = f"""n AS (SELECT unnest({NAMES}) AS label), r AS (SELECT unnest([1, 2])::INT AS run),
+    y AS (SELECT DISTINCT study_id, stage FROM truth_rows), z AS (SELECT DISTINCT study_id, run FROM pred_rows),
+    t AS (SELECT y.study_id, y.stage, r.run, n.label, a.truth, p.value AS pred, z.run IS NOT NULL AS predicted
+          FROM y CROSS JOIN r CROSS JOIN n LEFT JOIN truth_rows a ON a.study_id = y.study_id AND a.label = n.label
+          LEFT JOIN pred_rows p ON p.study_id = y.study_id AND p.run = r.run AND p.label = n.label
+          LEFT JOIN z ON z.study_id = y.study_id AND z.run = r.run)"""
 PRF = """round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp)::DOUBLE ELSE 0 END, 6) AS {0}precision, round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn)::DOUBLE ELSE 0 END, 6) AS {0}recall,
          round(CASE WHEN tp > 0 THEN 2 * tp / (2 * tp + fp + fn)::DOUBLE ELSE 0 END, 6) AS {0}f1"""
-COUNTS = """count(*) FILTER (truth = 1 AND pred = 1) AS tp, count(*) FILTER (truth <> 1 AND pred = 1) AS fp, count(*) FILTER (truth = 1 AND pred <> 1) AS fn"""
+COUNTS = """count(*) FILTER (coalesce(truth, 0) = 1 AND coalesce(pred, 0) = 1) AS tp, count(*) FILTER (coalesce(truth, 0) <> 1 AND coalesce(pred, 0) = 1) AS fp,
+         count(*) FILTER (coalesce(truth, 0) = 1 AND coalesce(pred, 0) <> 1) AS fn"""
 
 
 def rounded(df, keep, digits=6):
     return df.select(*keep, *[F.round(c, digits).alias(c) for c in df.columns if c not in keep])
 
 
-@check("J10_attach_truth", views=("votes",), sql=f"WITH {TRUTH} SELECT study_id, stage, run, label, truth, pred FROM t")
+@check("J10_attach_truth", views=VOTE_VIEWS, sql=f"WITH {TRUTH} SELECT study_id, stage, run, label, truth, pred FROM t")
 def _(spark, sf):
-    return runs(spark, sf).select("study_id", "stage", "run", "label", "truth", "pred")
+    return runs(spark, sf)
 
 
 MICRO_SQL = f"""
-    WITH {TRUTH}, s AS (SELECT 'stage' || stage AS scope, truth, pred FROM t WHERE run = 1 UNION ALL SELECT 'overall', truth, pred FROM t WHERE run = 1),
-    c AS (SELECT scope, {COUNTS} FROM s GROUP BY 1) SELECT scope, {PRF.format('micro_')} FROM c"""
+    WITH {TRUTH}, e AS (SELECT * FROM t WHERE predicted),
+    s AS (SELECT run, 'stage' || stage AS scope, truth, pred FROM e UNION ALL SELECT run, 'overall', truth, pred FROM e),
+    c AS (SELECT run, scope, {COUNTS} FROM s GROUP BY 1, 2) SELECT run, scope, {PRF.format('micro_')} FROM c"""
 
 
-@check("V8_micro_scores", views=("votes",), sql=MICRO_SQL)
+@check("V8_micro_scores", views=VOTE_VIEWS, sql=MICRO_SQL)
 def _(spark, sf):
-    return rounded(ev.micro_scores(runs(spark, sf).where("run = 1")), ["scope"])
+    return rounded(ev.micro_scores(runs(spark, sf, eligible=True), ["run"]), ["run", "scope"])
 
 
 MACRO = f"""
-    WITH {TRUTH}, c AS (SELECT label, {COUNTS} FROM t WHERE run = 1 AND {{where}} GROUP BY 1), s AS (SELECT label, {PRF.format('')} FROM c)"""
+    WITH {TRUTH}, c AS (SELECT run, label, {COUNTS} FROM t WHERE {{where}} GROUP BY 1, 2), s AS (SELECT run, label, {PRF.format('')} FROM c)"""
 
 
-@check("V9_finding_macro_f1", views=("votes",), sql=MACRO.format(where="truth <> -1") + " SELECT label, precision, recall, f1 FROM s")
+@check("V9_finding_macro_f1", views=VOTE_VIEWS, sql=MACRO.format(where="truth <> -1") + " SELECT run, label, precision, recall, f1 FROM s")
 def _(spark, sf):
-    return rounded(ev.label_scores(runs(spark, sf).where("run = 1"), skip_uncertain=True), ["label"])
+    # findings as words, as the reports of a run give them
+    def word(c):
+        return ev.word_value(F.when(F.col(c) == 1, "Positive").when(F.col(c) == 0, "Negative").when(F.col(c) == -1, "Uncertain"))
+    rows = runs(spark, sf).withColumn("truth", word("truth")).withColumn("pred", word("pred"))
+    return rounded(ev.label_scores(rows, ["run"], skip_uncertain=True), ["run", "label"])
 
 
-@check("V10_icd_macro_f1", views=("votes",), sql=MACRO.format(where="true") + """
-    SELECT round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1 FROM s""")
+@check("V10_icd_macro_f1", views=VOTE_VIEWS, sql=MACRO.format(where="true") + """
+    SELECT run, round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1 FROM s GROUP BY 1""")
 def _(spark, sf):
-    return rounded(ev.macro_scores(ev.label_scores(runs(spark, sf).where("run = 1"))), [], 5)
+    rows = runs(spark, sf, vocab.ICD_CONDITIONS, rename=CONDITIONS)
+    return rounded(ev.macro_scores(ev.label_scores(rows, ["run"]), ["run"]), ["run"], 5)
+
+
+ACCURACY = "avg(CASE WHEN coalesce(truth, 0) = coalesce(pred, 0) THEN 1.0::DOUBLE ELSE 0 END)"
 
 
-@check("V11_sample_accuracy", views=("votes",), sql=f"""
-    WITH {TRUTH} SELECT study_id, round(avg(CASE WHEN truth = pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS accuracy, count(*) AS n_labels FROM t WHERE run = 1 GROUP BY 1""")
+@check("V11_sample_accuracy", views=VOTE_VIEWS, sql=f"""
+    WITH {TRUTH} SELECT study_id, run, round({ACCURACY}, 6) AS accuracy, count(*) AS n_labels FROM t GROUP BY 1, 2""")
 def _(spark, sf):
-    return rounded(ev.sample_accuracy(runs(spark, sf).where("run = 1"), ["study_id"]), ["study_id", "n_labels"])
+    return rounded(ev.sample_accuracy(runs(spark, sf), ["study_id", "run"]), ["study_id", "run", "n_labels"])
 
 
-@check("V11_class_hits", views=("votes",), sql=f"""
-    WITH {TRUTH} SELECT label, round(avg(CASE WHEN truth = pred THEN 1.0::DOUBLE ELSE 0 END), 6) AS hit_rate FROM t WHERE run = 1 GROUP BY 1""")
+@check("V11_class_hits", views=VOTE_VIEWS, sql=f"""
+    WITH {TRUTH} SELECT run, label, round({ACCURACY}, 6) AS hit_rate FROM t GROUP BY 1, 2""")
 def _(spark, sf):
-    return rounded(ev.class_hits(runs(spark, sf).where("run = 1")), ["label"])
+    return rounded(ev.class_hits(runs(spark, sf), ["run"]), ["run", "label"])
 
 
-@check("V12_metric_summary", views=("votes",), sql=f"""
-    WITH {TRUTH}, a AS (SELECT study_id, stage, avg(CASE WHEN truth = pred THEN 1.0::DOUBLE ELSE 0 END) AS accuracy, study_id % 9 <> 0 AS ok FROM t WHERE run = 1 GROUP BY 1, 2),
+@check("V12_metric_summary", views=VOTE_VIEWS, sql=f"""
+    WITH {TRUTH}, a AS (SELECT study_id, run, stage, {ACCURACY} AS accuracy, study_id % 9 <> 0 AS ok FROM t GROUP BY 1, 2, 3),
     s AS (SELECT 'overall' AS scope, * FROM a UNION ALL SELECT 'stage_' || lower(stage), * FROM a)
-    SELECT scope, count(*) AS total_samples, count(*) FILTER (ok) AS successful_samples, count(*) FILTER (NOT ok) AS failed_samples,
-           round(avg(accuracy) FILTER (ok), 6) AS accuracy, round(stddev_pop(accuracy) FILTER (ok), 6) AS accuracy_std FROM s GROUP BY 1""")
+    SELECT run, scope, count(*) AS total_samples, count(*) FILTER (ok) AS successful_samples, count(*) FILTER (NOT ok) AS failed_samples,
+           round(avg(accuracy) FILTER (ok), 6) AS accuracy, round(stddev_pop(accuracy) FILTER (ok), 6) AS accuracy_std FROM s GROUP BY 1, 2""")
 def _(spark, sf):
-    scored = ev.sample_accuracy(runs(spark, sf).where("run = 1"), ["study_id", "stage"])
-    out = ev.metric_summary(scored.withColumn("success", F.col("study_id") % 9 != 0), ["accuracy"])
-    return rounded(out, ["scope", "total_samples", "successful_samples", "failed_samples"])
+    scored = ev.sample_accuracy(runs(spark, sf), ["study_id", "stage", "run"])
+    out = ev.metric_summary(scored.withColumn("success", F.col("study_id") % 9 != 0), ["accuracy"], by=["run"])
+    return rounded(out, ["run", "scope", "total_samples", "successful_samples", "failed_samples"])
 
 
 AB = f"""
@@ -216,7 +251,7 @@ AB = f"""
           FROM s a JOIN s b ON a.label = b.label AND a.run = 1 AND b.run = 2)"""
 
 
-@check("V13_compare_runs", views=("votes",), sql=AB + """
+@check("V13_compare_runs", views=VOTE_VIEWS, sql=AB + """
     SELECT label, round(f1_off, 6) AS f1_off, round(f1_on, 6) AS f1_on, round(precision_off, 6) AS precision_off, round(precision_on, 6) AS precision_on,
            round(recall_off, 6) AS recall_off, round(recall_on, 6) AS recall_on, round(f1_on - f1_off, 6) AS delta_f1 FROM j""")
 def _(spark, sf):
@@ -229,7 +264,7 @@ MACRO_AB = AB + """
            round(avg(f1_on) - avg(f1_off), 6) AS macro_f1_delta FROM j"""
 
 
-@check("V13_compare_macro", views=("votes",), sql=MACRO_AB)
+@check("V13_compare_macro", views=VOTE_VIEWS, sql=MACRO_AB)
 def _(spark, sf):
     return rounded(ev.compare_macro(ev.compare_runs(runs(spark, sf), 1, 2)), [])
 
@@ -243,15 +278,15 @@ def _(spark, sf):
 
 # --- metric sinks -------------------------------------------------------------
 
-@check("S6_metrics_csv", views=("votes",), sql=MICRO_SQL)
+@check("S6_metrics_csv", views=VOTE_VIEWS, sql=MICRO_SQL)
 def _(spark, sf):
-    metrics = rounded(ev.micro_scores(runs(spark, sf).where("run = 1")), ["scope"])
+    metrics = rounded(ev.micro_scores(runs(spark, sf, eligible=True), ["run"]), ["run", "scope"])
     schema = metrics.schema
     return files.round_trip(metrics, "metrics", files.write_metrics_wide,
                             lambda s, p: files.read_csv_table(s, p, schema))
 
 
-@check("S6_metrics_long", views=("votes",), sql=f"""
+@check("S6_metrics_long", views=VOTE_VIEWS, sql=f"""
     SELECT metric, value FROM (UNPIVOT ({MACRO_AB}) ON COLUMNS(*) INTO NAME metric VALUE value) u""")
 def _(spark, sf):
     return files.long_metrics(rounded(ev.compare_macro(ev.compare_runs(runs(spark, sf), 1, 2)), []))

@@ -10,6 +10,7 @@ from checks.registry import check
 from checks.text import IMPRESSION_SQL, impressions
 from clinprep import vocab
 from clinprep.functions import labels as lb
+from clinprep.functions.parse import typed_map
 from clinprep.operators import labels, profile
 from clinprep.operators import records as rec
 from clinprep.session import scratch_dir
@@ -202,42 +203,46 @@ def _(spark, sf):
 
 # --- L10-L12 ------------------------------------------------------------------
 
-@check("L10_finding_votes", views=("votes",), sql="""
-    SELECT study_id, label, CAST(CASE WHEN sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(count(*) * 0.34::DOUBLE)) THEN 1
-           WHEN sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(count(*) * 0.34::DOUBLE)) THEN -1 ELSE 0 END AS INT) AS value
-    FROM votes GROUP BY 1, 2""")
+# some runs leave labels out
+KEPT = "(study_id + length(label) + run) % 4 <> 0"
+VOTED = f"""k AS (SELECT study_id, run, label, value FROM votes WHERE {KEPT} AND {{where}}), n AS (SELECT study_id, count(DISTINCT run) AS n FROM k GROUP BY 1)"""
+TALLY = """SELECT k.study_id, label, CAST(CASE WHEN sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(any_value(n) * 0.34::DOUBLE)) THEN 1
+           {negative} ELSE 0 END AS INT) AS value FROM k JOIN n ON k.study_id = n.study_id GROUP BY 1, 2"""
+NEGATIVE = "WHEN sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(any_value(n) * 0.34::DOUBLE)) THEN -1"
+
+
+@check("L10_finding_votes", views=("votes",), sql=f"WITH {VOTED.format(where='true')} {TALLY.format(negative=NEGATIVE)}")
 def _(spark, sf):
-    return labels.aggregate_votes(view(spark, sf, "votes").drop("stage"))
+    return labels.aggregate_votes(view(spark, sf, "votes").where(KEPT).drop("stage"))
 
 
-@check("L10_icd_votes", views=("votes",), sql="""
-    SELECT study_id, label, CAST(CASE WHEN sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(count(*) * 0.34::DOUBLE)) THEN 1 ELSE 0 END AS INT) AS value
-    FROM votes GROUP BY 1, 2""")
+@check("L10_icd_votes", views=("votes",), sql=f"WITH {VOTED.format(where='true')} {TALLY.format(negative='')}")
 def _(spark, sf):
-    return labels.aggregate_votes(view(spark, sf, "votes").drop("stage"), negative_share=None)
+    return labels.aggregate_votes(view(spark, sf, "votes").where(KEPT).drop("stage"), negative_share=None)
 
 
-@check("L10_vote_fallback", views=("votes", "finding_rows"), sql="""
-    WITH v AS (SELECT * FROM votes WHERE stage = 'A')
-    SELECT study_id, label, CAST(CASE WHEN sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(count(*) * 0.34::DOUBLE)) THEN 1
-           WHEN sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(count(*) * 0.34::DOUBLE)) THEN -1 ELSE 0 END AS INT) AS value
-    FROM v GROUP BY 1, 2
-    UNION ALL SELECT study_id, label, value FROM finding_rows WHERE study_id NOT IN (SELECT study_id FROM v)""")
+@check("L10_vote_fallback", views=("votes", "finding_rows"), sql=f"""
+    WITH {VOTED.format(where="stage = 'A'")} {TALLY.format(negative=NEGATIVE)}
+    UNION ALL SELECT study_id, label, value FROM finding_rows WHERE study_id NOT IN (SELECT study_id FROM k)""")
 def _(spark, sf):
-    voted = labels.aggregate_votes(view(spark, sf, "votes").where("stage = 'A'").drop("stage"))
+    voted = labels.aggregate_votes(view(spark, sf, "votes").where(f"{KEPT} AND stage = 'A'").drop("stage"))
     rows = view(spark, sf, "finding_rows")
     return labels.votes_or_fallback(rows.select("study_id").distinct(), voted, rows)
 
 
-@check("L11_vote_values", views=("pairs",), sql=r"""
-    SELECT conv_id, turn, CAST(CASE WHEN try_cast(w AS DOUBLE) > 0 THEN 1 WHEN try_cast(w AS DOUBLE) < 0 THEN -1 ELSE 0 END AS INT) AS vote,
-           CAST(CASE WHEN try_cast(w AS DOUBLE) > 0 THEN 1 ELSE 0 END AS INT) AS icd_vote
-    FROM (SELECT conv_id, turn, CASE CAST(conv_id % 4 AS INT) WHEN 0 THEN '-' || turn::VARCHAR || '.5' WHEN 1 THEN turn::VARCHAR WHEN 2 THEN NULL ELSE prediction END AS w FROM pairs) x""")
+# votes as JSON values: numbers and booleans count, text and NaN do not
+@check("L11_vote_values", views=("pairs",), sql="""
+    SELECT conv_id, turn, CAST(CASE CAST(conv_id % 6 AS INT) WHEN 0 THEN -1 WHEN 1 THEN sign(turn) WHEN 2 THEN 1 ELSE 0 END AS INT) AS vote,
+           CAST(CASE CAST(conv_id % 6 AS INT) WHEN 1 THEN sign(turn) WHEN 2 THEN 1 ELSE 0 END AS INT) AS icd_vote,
+           CAST(sign(turn - 1) AS INT) AS number_vote, 0 AS text_vote FROM pairs""")
 def _(spark, sf):
-    raw = F.when(F.col("conv_id") % 4 == 0, F.concat(F.lit("-"), F.col("turn").cast("string"), F.lit(".5"))).when(
-        F.col("conv_id") % 4 == 1, F.col("turn").cast("string")).when(F.col("conv_id") % 4 == 3, F.col("prediction"))
+    kind = F.col("conv_id") % 6
+    raw = F.when(kind == 0, F.concat(F.lit("-"), F.col("turn").cast("string"), F.lit(".5"))).when(kind == 1, F.col("turn").cast("string")).when(
+        kind == 2, "true").when(kind == 3, '"yes"').when(kind == 4, '"1"').otherwise("NaN")
+    value = typed_map(F.concat(F.lit('{"v": '), raw, F.lit("}")))["v"]
     return view(spark, sf, "pairs").select(
-        "conv_id", "turn", lb.vote_value(raw).alias("vote"), lb.vote_value(raw, False).alias("icd_vote"))
+        "conv_id", "turn", lb.variant_vote(value).alias("vote"), lb.variant_vote(value, False).alias("icd_vote"),
+        lb.vote_value(F.col("turn") - 1).alias("number_vote"), lb.vote_value(F.lit("1")).alias("text_vote"))
 
 
 def _keyword_sql():

@@ -27,7 +27,7 @@ NEGATED = "CASE label " + " ".join(
     UNION ALL SELECT study_id, 'WARN', 'negated_but_zero', label FROM n WHERE negated AND value = 0""")
 def _(spark, sf):
     staged = with_text(spark, sf).withColumn("low", F.lower(F.coalesce("impression", F.lit(""))))
-    staged = staged.withColumn("issues", qc.label_issues(F.col("labels"), F.col("low")))
+    staged = staged.withColumn("issues", qc.label_issues(F.col("labels"), F.col("low"), negative_values=(-1,)))
     return qc.issue_rows(staged, ["study_id"])
 
 

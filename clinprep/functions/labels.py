@@ -30,11 +30,21 @@ def label_value(raw: Column) -> Column:
 
 
 def vote_value(raw: Column, allow_negative: bool = True) -> Column:
-    """Sign of a vote: 1, -1 (when allowed) or 0; anything not a number is 0."""
-    number = F.coalesce(raw.cast("string").try_cast("double"),
-                        raw.cast("string").try_cast("boolean").cast("double"), F.lit(0.0))
+    """Sign of a vote: 1, -1 (when allowed) or 0. Only numbers and booleans vote; text is 0."""
+    number = F.when(~F.typeof(raw).isin("string", "varchar", "char"), raw.cast("string").try_cast("double"))
+    truth = F.when(F.typeof(raw) == "boolean", raw.cast("string").try_cast("boolean").cast("double"))
+    return _sign(F.coalesce(truth, number), allow_negative)
+
+
+def variant_vote(raw: Column, allow_negative: bool = True) -> Column:
+    """The same for a JSON value that has kept its type; "1", "yes" and NaN are 0."""
+    is_number = F.schema_of_variant(raw).rlike("^(BIGINT|DECIMAL|DOUBLE|FLOAT|BOOLEAN)")
+    return _sign(F.when(is_number, F.try_variant_get(raw, "$", "double")), allow_negative)
+
+
+def _sign(number: Column, allow_negative: bool) -> Column:
     negative = F.lit(-1) if allow_negative else F.lit(0)
-    return F.when(number > 0, 1).when(number < 0, negative).otherwise(0)
+    return F.when(F.isnan(number), 0).when(number > 0, 1).when(number < 0, negative).otherwise(0)
 
 
 def _get(labels: Column, name: str) -> Column:

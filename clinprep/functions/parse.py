@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from clinprep.functions.exprs import let
 from clinprep.functions.text import strip
 
 JSON_MAP = "map<string,string>"
@@ -34,14 +35,34 @@ def block(text: Column, pattern: str) -> Column:
 
 
 def json_map(body: Column) -> Column:
-    """The JSON object as a map of text values; null when it is not valid JSON."""
-    return F.when(is_json_object(body), F.from_json(body, JSON_MAP))
+    """The JSON object as a map of text values; null when it is not valid JSON. Of repeated keys the last counts."""
+    return F.when(is_json_object(body), last_of_key(F.from_json(body, JSON_MAP)))
+
+
+def typed_map(body: Column) -> Column:
+    """A JSON object as a map of variant values, which keep their JSON types."""
+    return last_of_key(F.from_json(body, "map<string,variant>"))
+
+
+def last_of_key(parsed: Column) -> Column:
+    """A parsed object in which repeated keys keep their last value."""
+    def unique(m: Column) -> Column:
+        entries = F.map_entries(m)
+        later = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(F.map_keys(m), i + 2, F.size(m)), e["key"]))
+        return F.when(F.size(F.array_distinct(F.map_keys(m))) < F.size(m), F.map_from_entries(later)).otherwise(m)
+
+    return let(parsed, unique)
 
 
 def is_json(text: Column) -> Column:
-    """Exactly one valid JSON value. Inside brackets, trailing text cannot be overlooked."""
-    wrapped = F.try_parse_json(F.concat(F.lit("["), text, F.lit("]")))
-    return F.coalesce(F.size(wrapped.cast("array<variant>")) == 1, F.lit(False))
+    """Exactly one valid JSON value; as in common parsers keys may repeat and numbers may be NaN or infinite.
+
+    Inside an array and as a member of an object, trailing text cannot be overlooked.
+    """
+    plain = F.regexp_replace(text, r"([:\[,]\s*)(?:NaN|-?Infinity)(?=\s*[,}\]])", "$1 0")
+    one = F.json_array_length(F.concat(F.lit("["), plain, F.lit("]"))) == 1
+    member = F.from_json(F.concat(F.lit('{"v":'), plain, F.lit("}")), JSON_MAP).isNotNull()
+    return F.coalesce(one & member, F.lit(False))
 
 
 def is_json_object(body: Column) -> Column:
@@ -57,23 +78,6 @@ def impression_of(text: Column, variant: str = "plain") -> Column:
     return F.coalesce(body, F.lit(""))
 
 
-def findings_of(text: Column, variant: str = "plain") -> Column:
-    return json_map(block(text, FINDING_BLOCK[variant]))
-
-
-def icd_of(text: Column, variant: str = "plain") -> Column:
-    return json_map(block(text, ICD_BLOCK[variant]))
-
-
-def valid_blocks(text: Column, variant: str = "strict") -> Column:
-    """True when every block the text has is valid JSON."""
-    def fine(patterns):
-        body = block(text, patterns[variant])
-        return body.isNull() | is_json_object(body)
-
-    return fine(FINDING_BLOCK) & fine(ICD_BLOCK)
-
-
 def brace_pieces(text: Column) -> Column:
     """The text from its first ``{`` on, cut after every brace."""
     return F.when(F.contains(text, F.lit("{")),

@@ -11,15 +11,43 @@ from pyspark.sql.types import IntegerType
 
 from clinprep import vocab
 from clinprep.functions import parse
-from clinprep.functions.labels import vote_value
-from clinprep.functions.text import strip
+from clinprep.functions.labels import variant_vote
+from clinprep.functions.text import collapse_blanks, strip
 
 # --- predictions --------------------------------------------------------------
 
 
-def attach_truth(predictions: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
-    """Predictions beside the ground truth of the same study."""
-    return truth.join(predictions, keys)
+def attach_truth(truth: DataFrame, predictions: DataFrame, names: list[str], runs: list | None = None,
+                 eligible: bool = False, pred: str = "value") -> DataFrame:
+    """``study_id, stage, run, label, truth, pred`` for each study with truth, each run and each name.
+
+    ``truth`` is long (``study_id, stage, label, truth``), ``predictions`` too (``study_id,
+    run, label, value``). Both are brought to one map per study first, bounded by ``names``, so
+    a label or a whole study without a prediction stays, with a null ``pred``. ``eligible``
+    keeps only studies with some label on both sides. Without ``runs`` those of the
+    predictions are taken.
+    """
+    def as_map(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
+        known = rows.where(F.col("label").isin(names)).groupBy(*keys, "label").agg(F.max(value).alias("_v"))
+        return known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "_v"))).alias(out))
+
+    if runs is None:
+        runs = sorted(r.run for r in predictions.select("run").distinct().limit(1000).collect())
+    studies = truth.groupBy("study_id").agg(F.min("stage").alias("stage")).join(
+        as_map(truth, ["study_id"], "truth", "_truth"), "study_id", "left")
+    wanted = studies.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))
+    both = wanted.join(as_map(predictions, ["study_id", "run"], pred, "_pred"), ["study_id", "run"], "inner" if eligible else "left")
+    if eligible:
+        both = both.where(F.size("_truth") > 0)
+    label = F.explode(F.array(*[F.lit(n) for n in names])).alias("label")
+    return both.select("study_id", "stage", "run", label, "_truth", "_pred").select(
+        "study_id", "stage", "run", "label", F.try_element_at("_truth", F.col("label")).alias("truth"),
+        F.try_element_at("_pred", F.col("label")).alias("pred"))
+
+
+def word_value(raw: Column) -> Column:
+    """A finding given as a word: 1, 0 or -1; -1 for any other word or none."""
+    return F.coalesce(F.when(raw == "Positive", 1).when(raw == "Negative", 0), F.lit(-1))
 
 
 def parse_blocks(df: DataFrame, text: str = "output", variant: str = "plain") -> DataFrame:
@@ -48,10 +76,9 @@ def parse_object(df: DataFrame, text: str = "output", stage: str = "stage") -> D
     Text without a valid block becomes the impression; stage A has no ICD values.
     """
     staged = first_object(df, text, "_object").withColumn("valid", parse.is_json_object(F.col("_object")))
-    staged = staged.withColumn("_top", F.when(F.col("valid"), F.from_json("_object", parse.JSON_MAP)))
+    staged = staged.withColumn("_top", F.when(F.col("valid"), parse.last_of_key(F.from_json("_object", parse.JSON_MAP))))
     for key in ("chexpert", "icd"):
-        staged = staged.withColumn(f"_{key}", F.from_json(
-            F.try_element_at("_top", F.lit(key)), parse.JSON_MAP))
+        staged = staged.withColumn(f"_{key}", parse.typed_map(F.try_element_at("_top", F.lit(key))))
     said = strip(F.coalesce(
         F.nullif(F.try_element_at("_top", F.lit("impression")), F.lit("")),
         F.try_element_at("_top", F.lit("Impression")), F.lit("")))
@@ -59,7 +86,7 @@ def parse_object(df: DataFrame, text: str = "output", stage: str = "stage") -> D
     def filled(payload, names, allow_negative, on):
         cells = []
         for n in names:
-            vote = vote_value(F.try_element_at(F.col(payload), F.lit(n)), allow_negative)
+            vote = variant_vote(F.try_element_at(F.col(payload), F.lit(n)), allow_negative)
             cells += [F.lit(n), F.when(on, vote).otherwise(0)]
         return F.create_map(*cells)
 
@@ -100,8 +127,8 @@ def words(text: Column) -> Column:
 
 def tokens(text: Column, lower: bool = False) -> Column:
     """Blank-separated tokens (BLEU)."""
-    base = F.lower(text) if lower else text
-    return F.filter(F.split(base, r"\s+"), lambda w: w != "")
+    base = collapse_blanks(F.lower(text) if lower else text)
+    return F.filter(F.split(base, " "), lambda w: w != "")
 
 
 def _grams(col: str, n: int) -> Column:
@@ -204,11 +231,6 @@ def rouge_l(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return scored.select(*keys, _f1(F.col("_lcs"), F.size("_r"), F.size("_p")).alias("rougeL"))
 
 
-def text_scores(pairs: DataFrame, keys: list[str]) -> DataFrame:
-    """All text scores per pair."""
-    return rouge_n(pairs, keys).join(rouge_l(pairs, keys), keys).join(bleu(pairs, keys), keys)
-
-
 # --- label metrics ------------------------------------------------------------
 
 def _safe(a: Column, b: Column) -> Column:
@@ -220,6 +242,8 @@ def _prf(tp: Column, fp: Column, fn: Column) -> tuple[Column, Column, Column]:
 
 
 def _confusion(truth: Column, pred: Column) -> list[Column]:
+    """Counts of hits and errors; a missing value is negative."""
+    truth, pred = F.coalesce(truth, F.lit(0)), F.coalesce(pred, F.lit(0))
     return [
         F.count_if((truth == 1) & (pred == 1)).alias("tp"),
         F.count_if((truth != 1) & (pred == 1)).alias("fp"),
@@ -227,18 +251,19 @@ def _confusion(truth: Column, pred: Column) -> list[Column]:
     ]
 
 
-def micro_scores(rows: DataFrame, stage: str = "stage") -> DataFrame:
-    """Micro precision, recall and F1 overall and per stage.
+def micro_scores(rows: DataFrame, by: list[str] | None = None, stage: str = "stage") -> DataFrame:
+    """Micro precision, recall and F1 overall and per stage (and per ``by``, such as the run or block).
 
-    ``rows`` are long (``truth``, ``pred`` per study and label) and hold only studies with
-    both sides present. Each stage is counted once; the overall line is the sum of stages.
+    ``rows`` are those of ``attach_truth(..., eligible=True)``. Each stage is counted once;
+    the overall line is the sum of stages.
     """
-    counts = rows.groupBy(stage).agg(*_confusion(F.col("truth"), F.col("pred")))
+    by = by or []
+    counts = rows.groupBy(*by, stage).agg(*_confusion(F.col("truth"), F.col("pred")))
     scopes = F.array(F.lit("overall"), F.concat(F.lit("stage"), F.col(stage)))
-    total = counts.select(F.explode(scopes).alias("scope"), "tp", "fp", "fn").groupBy("scope").agg(
+    total = counts.select(*by, F.explode(scopes).alias("scope"), "tp", "fp", "fn").groupBy(*by, "scope").agg(
         *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
-    return total.select("scope", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"))
+    return total.select(*by, "scope", p.alias("micro_precision"), r.alias("micro_recall"), f.alias("micro_f1"))
 
 
 def label_scores(rows: DataFrame, by: list[str] | None = None, labels: list[str] | None = None,
@@ -250,8 +275,7 @@ def label_scores(rows: DataFrame, by: list[str] | None = None, labels: list[str]
     keep = rows if labels is None else rows.where(F.col("label").isin(labels))
     if skip_uncertain:
         keep = keep.where(F.coalesce(F.col("truth"), F.lit(-1)) != -1)
-    counts = keep.groupBy(*(by or []), "label").agg(*_confusion(
-        F.coalesce("truth", F.lit(0)), F.coalesce("pred", F.lit(0))))
+    counts = keep.groupBy(*(by or []), "label").agg(*_confusion(F.col("truth"), F.col("pred")))
     p, r, f = _prf(F.col("tp"), F.col("fp"), F.col("fn"))
     return counts.select(*(by or []), "label", p.alias("precision"), r.alias("recall"), f.alias("f1"))
 
@@ -268,25 +292,27 @@ def sample_accuracy(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n_labels"))
 
 
-def class_hits(rows: DataFrame) -> DataFrame:
-    """Share of studies a label was right for."""
+def class_hits(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """Share of studies a label was right for (per ``by``)."""
     hit = (F.coalesce("truth", F.lit(0)) == F.coalesce("pred", F.lit(0))).cast("double")
-    return rows.groupBy("label").agg(F.avg(hit).alias("hit_rate"))
+    return rows.groupBy(*(by or []), "label").agg(F.avg(hit).alias("hit_rate"))
 
 
-def metric_summary(scored: DataFrame, metrics: list[str], stage: str = "stage", success: str = "success") -> DataFrame:
-    """Mean and population deviation of each metric overall and per stage, with sample counts.
+def metric_summary(scored: DataFrame, metrics: list[str], stage: str = "stage", success: str = "success",
+                   by: list[str] | None = None) -> DataFrame:
+    """Mean and population deviation of each metric overall and per stage (and per ``by``), with sample counts.
 
     The scope is an array on the row, so one aggregation serves all scopes.
     """
     scopes = F.array(F.lit("overall"), F.concat(F.lit("stage_"), F.lower(stage)))
-    rows = scored.select(F.explode(scopes).alias("scope"), F.col(success).alias("ok"), *metrics)
+    by = by or []
+    rows = scored.select(*by, F.explode(scopes).alias("scope"), F.col(success).alias("ok"), *metrics)
     cols = [F.count("*").alias("total_samples"), F.count_if("ok").alias("successful_samples"),
             F.count_if(~F.col("ok")).alias("failed_samples")]
     for m in metrics:
         value = F.when(F.col("ok"), F.col(m))
         cols += [F.avg(value).alias(m), F.stddev_pop(value).alias(f"{m}_std")]
-    return rows.groupBy("scope").agg(*cols)
+    return rows.groupBy(*by, "scope").agg(*cols)
 
 
 # --- comparisons --------------------------------------------------------------

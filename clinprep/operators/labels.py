@@ -31,8 +31,12 @@ def missing_ids(wide: DataFrame, id_col: str = "study_id") -> Column:
 
 
 def label_maps(rows: DataFrame) -> DataFrame:
-    """One ``map<label, value>`` per study; the array is bounded by the label vocabulary."""
-    return rows.groupBy("study_id").agg(
+    """One ``map<label, value>`` per study; the array is bounded by the label vocabulary.
+
+    Of repeated rows of a label the largest value counts.
+    """
+    once = rows.groupBy("study_id", "label").agg(F.max("value").alias("value"))
+    return once.groupBy("study_id").agg(
         F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("labels"))
 
 
@@ -50,14 +54,15 @@ def aggregate_votes(votes: DataFrame, positive_share: float = vocab.VOTE_SHARE,
                     negative_share: float | None = vocab.VOTE_SHARE) -> DataFrame:
     """One value per study and label from the votes of all runs.
 
-    Every run votes on every label. Enough positive votes give 1, else enough negative
-    votes -1, else 0. ``negative_share=None`` is the ICD form: 0 or 1 only.
+    Enough positive votes give 1, else enough negative votes -1, else 0. Enough is a share of
+    the runs of the study, so a run that leaves a label out counts as a vote for neither.
+    ``negative_share=None`` is the ICD form: 0 or 1 only.
     """
     keys = [c for c in ("study_id", "stage", "label") if c in votes.columns]
+    runs = votes.groupBy("study_id").agg(F.count_distinct("run").alias("n"))
     value = lb.vote_value(F.col("value"), negative_share is not None)
     tally = votes.select(*keys, value.alias("v")).groupBy(*keys).agg(
-        F.count("*").alias("n"), F.count_if(F.col("v") > 0).alias("positive"),
-        F.count_if(F.col("v") < 0).alias("negative"))
+        F.count_if(F.col("v") > 0).alias("positive"), F.count_if(F.col("v") < 0).alias("negative")).join(runs, "study_id")
 
     def needed(share):
         return F.greatest(F.lit(1).cast("long"), F.ceil(F.col("n") * F.lit(share)))

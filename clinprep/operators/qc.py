@@ -25,10 +25,11 @@ def _collect(*cases) -> Column:
     return F.array_compact(F.array(*[F.when(c, issue) for c, issue in cases])).cast(ISSUE)
 
 
-def label_issues(labels: Column, low: Column, negative_values: tuple[int, ...] = (-1,)) -> Column:
+def label_issues(labels: Column, low: Column, negative_values: tuple[int, ...] = vocab.NEGATIVES) -> Column:
     """Labels against the (lower-cased) text.
 
-    ``negative_values`` are the values a clearly negated finding may have.
+    ``negative_values`` are the values a clearly negated finding may have: by default the
+    one that label reconciliation writes and the older -1.
     """
     other = F.exists(F.map_entries(labels), lambda e: (e["key"] != "No Finding") & (e["value"] == 1))
     found = [_collect(((F.try_element_at(labels, F.lit("No Finding")) == 1) & other,

@@ -130,7 +130,7 @@ def strip_audit(df: DataFrame, *columns: str) -> DataFrame:
 # --- labels and text ----------------------------------------------------------
 
 def reconcile_labels(df: DataFrame, labels: str = "chexpert_labels", report: str = "impression",
-                     negative_value: int = 0) -> DataFrame:
+                     negative_value: int = vocab.CLEAR_NEGATIVE) -> DataFrame:
     """Bring label maps in line with the report text.
 
     Conflicting No Finding, devices named in the text, denied fractures, clear negatives,
