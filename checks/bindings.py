@@ -61,6 +61,21 @@ VIEWS = {
     "studies": """
         SELECT event_id AS study_id, user_id AS subject_id, ts AS study_time
         FROM {events} WHERE event_type = 'signup'""",
+    # a third of the studies without a time; outpatient results by date, some of them text
+    "context_studies": """
+        SELECT event_id AS study_id, user_id AS subject_id, CASE WHEN event_id % 3 <> 1 THEN ts END AS study_time
+        FROM {events} WHERE event_type = 'signup'""",
+    "omr": """
+        SELECT event_id, user_id AS subject_id, CASE CAST(event_id % 5 AS INT) WHEN 0 THEN 'Weight' WHEN 1 THEN 'Height'
+               WHEN 2 THEN 'Systolic Blood Pressure' WHEN 3 THEN 'Diastolic Blood Pressure' ELSE 'eGFR' END AS result_name,
+               CASE WHEN event_id % 13 = 0 THEN 'refused' ELSE CAST(CAST(round(value) AS BIGINT) + 1 AS STRING) END AS result_value,
+               CAST(ts AS DATE) AS chartdate
+        FROM {events} WHERE event_type <> 'signup'""",
+    # some stays have no discharge
+    "open_admissions": """
+        SELECT hadm_id, subject_id, CAST(admittime AS TIMESTAMP) + INTERVAL '8500' DAY AS admittime,
+               CASE WHEN hadm_id % 4 <> 0 THEN CAST(dischtime AS TIMESTAMP) + INTERVAL '8500' DAY END AS dischtime, admission_type
+        FROM {admissions}""",
     "chartevents": """
         SELECT event_id, user_id AS subject_id,
                CASE event_type WHEN 'error' THEN 'heart_rate' WHEN 'click' THEN 'o2_saturation'

@@ -345,33 +345,54 @@ def _(spark, sf):
 
 # --- context ------------------------------------------------------------------
 
+VITAL_NAMES = [*CHART_NAMES, "weight", "height", "systolic_bp", "diastolic_bp"]
+
+
 def context(spark, sf):
-    """A9 over studies: vitals and oxygen at study time, labs and flags of the latest admission."""
+    """A9 over studies with and without a time, admissions with and without a discharge."""
+    charted = view(spark, sf, "chartevents").where("source <> 'OMR'").withColumn("unit", F.lit("unknown")).withColumn("value_text", F.lit(None).cast("string"))
+    clinic = ehr.outpatient_vitals(view(spark, sf, "omr")).select(
+        "event_id", "subject_id", "vital", "source", "valuenum", "charttime", "unit", "value_text")
     return build_context(
-        view(spark, sf, "studies"), view(spark, sf, "patients"), view(spark, sf, "admissions"),
-        view(spark, sf, "chartevents").withColumn("unit", F.lit("unknown")), named_labs(spark, sf),
-        _oxygen_events(spark, sf), view(spark, sf, "diagnoses"), CHART_NAMES, LAB_IDS)
+        view(spark, sf, "context_studies"), view(spark, sf, "patients"), view(spark, sf, "open_admissions"),
+        charted.unionByName(clinic), named_labs(spark, sf), _oxygen_events(spark, sf), view(spark, sf, "diagnoses"),
+        VITAL_NAMES, list(LAB_ITEMS.values()), LAB_IDS, as_of=F.lit("2024-03-20").cast("timestamp_ntz"))
 
 
-CONTEXT_VIEWS = ("studies", "patients", "admissions", "chartevents", "labevents", "lab_items", "diagnoses")
+CONTEXT_VIEWS = ("context_studies", "patients", "admissions", "open_admissions", "chartevents", "omr", "labevents", "lab_items", "diagnoses")
+# each measurement beside each study of its subject, kept by the window of its kind
 CONTEXT_CTES = f"""
-    named AS ({NAMED_LABS}), checked AS ({CHECKED_LABS}), last AS ({LAST_ADMISSION}),
-    base AS (SELECT s.study_id, s.subject_id, s.study_time, p.gender AS sex, p.anchor_age AS age, a.hadm_id, a.admission_type
-             FROM studies s JOIN patients p ON s.subject_id = p.subject_id LEFT JOIN last a ON s.subject_id = a.subject_id),
-    vit AS (SELECT * FROM (SELECT b.study_id, c.vital, c.valuenum, c.source,
+    named AS ({NAMED_LABS}), checked AS ({CHECKED_LABS}), last AS ({LAST_ADMISSION.replace("FROM admissions", "FROM open_admissions")}),
+    base AS (SELECT s.study_id, s.subject_id, s.study_time, p.gender AS sex, p.anchor_age AS age, a.hadm_id, a.admission_type, a.admittime, a.dischtime
+             FROM context_studies s JOIN patients p ON s.subject_id = p.subject_id LEFT JOIN last a ON s.subject_id = a.subject_id),
+    v AS (SELECT event_id, subject_id, vital, source, valuenum, NULL AS txt, charttime FROM chartevents WHERE source = 'Ward' OR (source = 'ICU' AND {PLAUSIBLE})
+          UNION ALL SELECT event_id, subject_id, CASE result_name WHEN 'Weight' THEN 'weight' WHEN 'Height' THEN 'height' WHEN 'Systolic Blood Pressure' THEN 'systolic_bp'
+                ELSE 'diastolic_bp' END, 'OMR', try_cast(result_value AS DOUBLE), CASE WHEN try_cast(result_value AS DOUBLE) IS NULL THEN result_value END, chartdate::TIMESTAMP
+          FROM omr WHERE result_name <> 'eGFR'),
+    vit AS (SELECT * FROM (SELECT b.study_id, c.vital, c.valuenum, c.txt, c.source,
                 row_number() OVER (PARTITION BY b.study_id, c.vital ORDER BY CASE c.source WHEN 'ICU' THEN 0 WHEN 'Ward' THEN 1 ELSE 2 END, c.charttime DESC, c.event_id DESC) AS rn
-            FROM base b JOIN chartevents c ON b.subject_id = c.subject_id AND c.charttime BETWEEN b.study_time - INTERVAL 7 DAY AND b.study_time
-            WHERE c.source <> 'ICU' OR ({PLAUSIBLE})) x WHERE rn = 1),
+            FROM base b JOIN v c ON b.subject_id = c.subject_id AND CASE
+                WHEN c.source = 'OMR' THEN CASE WHEN b.study_time IS NOT NULL THEN c.charttime::DATE BETWEEN (b.study_time - INTERVAL 7 DAY)::DATE AND b.study_time::DATE
+                    WHEN b.admittime IS NOT NULL THEN c.charttime::DATE >= b.admittime::DATE ELSE true END
+                WHEN b.study_time IS NOT NULL THEN c.charttime BETWEEN b.study_time - INTERVAL 7 DAY AND b.study_time
+                WHEN b.admittime IS NOT NULL THEN c.charttime >= b.admittime - INTERVAL 30 DAY AND (b.dischtime IS NULL OR c.charttime <= b.dischtime + INTERVAL 7 DAY)
+                ELSE c.charttime >= TIMESTAMP '2024-03-20' - INTERVAL 90 DAY END) x WHERE rn = 1),
+    wide AS (SELECT study_id, max(valuenum) FILTER (vital = 'weight') AS w, max(valuenum) FILTER (vital = 'height') AS h,
+                max(valuenum) FILTER (vital = 'systolic_bp') AS s, max(valuenum) FILTER (vital = 'diastolic_bp') AS d FROM vit GROUP BY 1),
     o AS ({OXYGEN}),
     oxy AS (SELECT b.study_id, arg_max(o.o2_device, (o.charttime, o.event_id)) AS o2_device FROM base b JOIN o ON b.subject_id = o.subject_id
-            AND o.charttime BETWEEN b.study_time - INTERVAL 24 HOUR AND b.study_time GROUP BY 1),
-    lab AS (SELECT * FROM (SELECT c.subject_id, c.lab, c.valuenum, c.valueuom, row_number() OVER (PARTITION BY c.subject_id, c.lab
+            AND CASE WHEN b.study_time IS NOT NULL THEN o.charttime BETWEEN b.study_time - INTERVAL 24 HOUR AND b.study_time
+                     WHEN b.admittime IS NOT NULL THEN o.charttime >= b.admittime ELSE true END GROUP BY 1),
+    lab AS (SELECT * FROM (SELECT b.study_id, c.lab, c.valuenum, c.valueuom, row_number() OVER (PARTITION BY b.study_id, c.lab
                 ORDER BY c.charttime DESC, c.l_orderkey DESC, c.l_linenumber DESC, c.l_partkey DESC, c.l_suppkey DESC) AS rn
-            FROM checked c JOIN last a ON c.subject_id = a.subject_id WHERE c.charttime BETWEEN a.admittime AND a.dischtime) x WHERE rn = 1),
+            FROM checked c JOIN base b ON c.subject_id = b.subject_id AND CASE WHEN b.study_time IS NOT NULL THEN c.charttime BETWEEN b.study_time - INTERVAL 48 HOUR AND b.study_time
+                     WHEN b.admittime IS NOT NULL THEN c.charttime >= b.admittime ELSE true END) x WHERE rn = 1),
     g AS (SELECT * FROM (VALUES {GROUP_ROWS}) AS t(condition, prefix)),
     flag AS (SELECT DISTINCT d.hadm_id, g.condition FROM diagnoses d JOIN g ON starts_with(replace(d.icd_code, '.', ''), replace(g.prefix, '.', ''))),
-    rows_ AS (SELECT study_id, 'vital' AS kind, vital AS name, valuenum AS value, source AS note FROM vit
-             UNION ALL SELECT b.study_id, 'lab', l.lab, l.valuenum, l.valueuom FROM base b JOIN lab l ON b.subject_id = l.subject_id
+    rows_ AS (SELECT study_id, 'vital' AS kind, vital AS name, valuenum AS value, coalesce(source || '/' || txt, source) AS note FROM vit
+             UNION ALL SELECT study_id, 'vital', 'bmi', round(w / ((h * CASE WHEN h < 3 THEN 2.54 ELSE 1 END / 100) ^ 2), 1), 'calculated' FROM wide WHERE w IS NOT NULL AND h > 0
+             UNION ALL SELECT study_id, 'vital', 'blood_pressure', NULL, 'combined/' || s::BIGINT || '/' || d::BIGINT FROM wide WHERE s IS NOT NULL AND d IS NOT NULL
+             UNION ALL SELECT study_id, 'lab', lab, valuenum, valueuom FROM lab
              UNION ALL SELECT study_id, 'oxygen', o2_device, NULL, NULL FROM oxy
              UNION ALL SELECT b.study_id, 'flag', f.condition, NULL, NULL FROM base b JOIN flag f ON b.hadm_id = f.hadm_id)"""
 
@@ -389,7 +410,7 @@ def _(spark, sf):
         return F.struct(F.lit(kind).alias("kind"), name.alias("name"), value.alias("value"), note.alias("note"))
 
     rows = F.concat(
-        F.transform(F.map_entries(e["Vitals"]), lambda v: cell("vital", v["key"], v["value"]["valuenum"], v["value"]["source"])),
+        F.transform(F.map_entries(e["Vitals"]), lambda v: cell("vital", v["key"], v["value"]["valuenum"], F.concat_ws("/", v["value"]["source"], v["value"]["value_text"]))),
         F.transform(F.map_entries(e["Labs"]), lambda v: cell("lab", v["key"], v["value"]["value"], v["value"]["unit"])),
         F.when(e["O2_device"].isNotNull(), F.array(cell("oxygen", e["O2_device"]))).otherwise(F.array().cast("array<struct<kind:string,name:string,value:double,note:string>>")),
         F.transform(F.filter(F.map_entries("icd_json"), lambda v: v["value"]), lambda v: cell("flag", v["key"])),

@@ -72,14 +72,15 @@ def in_admission(events: DataFrame, admissions: DataFrame, before_days: int = 0,
                  after_days: int | None = 0) -> DataFrame:
     """Events inside the window of their subject's latest admission.
 
-    ``after_days=None`` leaves the end open. Inclusive on both sides.
+    ``after_days=None``, or a null discharge, leaves the end open. Inclusive on both sides.
     """
     last = latest_admission(admissions)
     joined = salted_join(events, last, "subject_id", ["charttime"])
     start = F.col("admittime") - F.expr(f"INTERVAL {before_days} DAYS")
     inside = F.col("charttime") >= start
     if after_days is not None:
-        inside = inside & (F.col("charttime") <= F.col("dischtime") + F.expr(f"INTERVAL {after_days} DAYS"))
+        inside = inside & (F.col("dischtime").isNull() | (
+            F.col("charttime") <= F.col("dischtime") + F.expr(f"INTERVAL {after_days} DAYS")))
     return joined.where(inside)
 
 
@@ -245,42 +246,6 @@ def chronic_conditions() -> Column:
 
 # --- context ------------------------------------------------------------------
 
-def nested_context(studies: DataFrame, vitals: DataFrame, labs: DataFrame,
-                   oxygen: DataFrame, flags: DataFrame) -> DataFrame:
-    """Roll long measurements up to one nested record per study.
-
-    Each input is keyed by ``study_id`` and already holds one row per study and name, so
-    the collected arrays are bounded by the vocabularies; every side is reduced before the
-    joins.
-    """
-    vital_cols = [c for c in ("valuenum", "value_text", "unit", "charttime", "source") if c in vitals.columns]
-    vital_map = vitals.groupBy("study_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("vital", F.struct(*vital_cols)))).alias("Vitals"))
-    lab_cols = [c for c in labs.columns if c not in ("study_id", "lab")]
-    lab_map = labs.groupBy("study_id").agg(F.map_from_entries(F.collect_list(
-        F.struct("lab", F.struct(*lab_cols)))).alias("Labs"))
-    names = [*vocab.ACUTE_CODES, *vocab.CHRONIC_CODES]
-    icd = flags.select("study_id", literal_flags(names).alias("icd_json"),
-                       chronic_conditions().alias("Chronic_conditions"))
-    empty_vitals = F.create_map().cast(vital_map.schema["Vitals"].dataType)
-    empty_labs = F.create_map().cast(lab_map.schema["Labs"].dataType)
-    return (
-        studies.join(vital_map, "study_id", "left").join(lab_map, "study_id", "left")
-        .join(oxygen, "study_id", "left").join(icd, "study_id", "left")
-        .select(
-            "study_id", "subject_id",
-            F.struct(
-                F.col("age").alias("Age"), F.col("sex").alias("Sex"), "hadm_id", "admission_type",
-                F.coalesce("Vitals", empty_vitals).alias("Vitals"),
-                F.coalesce("Labs", empty_labs).alias("Labs"),
-                F.col("o2_device").alias("O2_device"),
-                F.coalesce("Chronic_conditions", F.array().cast("array<string>")).alias("Chronic_conditions"),
-            ).alias("ehr_json"),
-            F.coalesce("icd_json", literal_map({n: False for n in names})).alias("icd_json"),
-        )
-    )
-
-
 def literal_flags(names) -> Column:
     return F.create_map(*[c for n in names for c in (F.lit(n), F.col(n))])
 
@@ -290,8 +255,3 @@ def literal_flags(names) -> Column:
 def hours_from_study(event_time: Column, study_time: Column) -> Column:
     """Signed hours from the study to the event (negative: before the study)."""
     return (micros(event_time) - micros(study_time)) / F.lit(float(HOUR))
-
-
-def default_offset(kind: str) -> Column:
-    """The fixed placeholder offset, for records that carry no event time."""
-    return F.lit(vocab.VITAL_DELTA_HOURS if kind == "vital" else vocab.LAB_DELTA_HOURS)
