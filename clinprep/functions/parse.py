@@ -61,7 +61,7 @@ def is_json(text: Column) -> Column:
     """
     plain = F.regexp_replace(text, r"([:\[,]\s*)(?:NaN|-?Infinity)(?=\s*[,}\]])", "$1 0")
     one = F.json_array_length(F.concat(F.lit("["), plain, F.lit("]"))) == 1
-    member = F.from_json(F.concat(F.lit('{"v":'), plain, F.lit("}")), JSON_MAP).isNotNull()
+    member = F.from_json(F.concat(F.lit('{"v":'), plain, F.lit("}")), JSON_MAP, {"allowSingleQuotes": "false"}).isNotNull()
     return F.coalesce(one & member, F.lit(False))
 
 
