@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from clinprep.sources.files import stored
 
-__all__ = ["BLANK_FREE", "RollingHash", "arrow_map", "arrow_schema", "ascii_words", "in_batches", "load", "mix64",
+__all__ = ["BLANK_FREE", "RollingHash", "arrow_map", "arrow_schema", "ascii_words", "in_batches", "in_small_batches", "load", "mix64",
            "scalar", "sorted_groups", "stored", "word_counts"]
 
 #: A run of anything but ASCII white space, in Java's regular expressions.
@@ -26,6 +26,18 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """The frame; Python workers of its session get at most some megabytes at once from now on.
+
+    Spark's default of 10,000 rows makes batches of whole texts that take hundreds of megabytes
+    in an executor, off its heap and in its workers.
+    """
+    conf = df.sparkSession.conf
+    conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    return df
+
+
 def word_counts(text: str) -> Column:
     """Number of blank-free runs of a text column; 0 for null."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(BLANK_FREE)), F.lit(0)).cast("long")
@@ -49,7 +61,7 @@ def arrow_map(df: DataFrame, columns: list[str], schema: str,
                 kinds = kinds or arrow_schema(schema)
                 yield pa.RecordBatch.from_pydict(work(*[c.to_pylist() for c in batch.columns]), schema=kinds)
 
-    return df.select(*columns).mapInArrow(run, schema)
+    return in_small_batches(df.select(*columns)).mapInArrow(run, schema)
 
 
 def arrow_schema(schema: str) -> pa.Schema:

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinprep.llm.common import arrow_map, ascii_words, stored
+from clinprep.llm.common import arrow_map, ascii_words, in_small_batches, stored
 
 WINDOW = 10
 MAX_WINDOWS = 200_000  # windows in one automaton: about 2 million nodes
@@ -150,5 +150,5 @@ def _scan_block(out: DataFrame, windows: DataFrame, last_pass: bool) -> DataFram
     for name in names:
         one = T.StringType() if name == "items" else T.LongType()
         schema.add(name, one if name == "n_words" else T.ArrayType(one))
-    return out.select("_row", "_text", "n_words", "hit_from", "hit_to", "items").mapInArrow(
+    return in_small_batches(out.select("_row", "_text", "n_words", "hit_from", "hit_to", "items")).mapInArrow(
         run, schema)

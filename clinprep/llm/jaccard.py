@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinprep.llm.common import RollingHash, arrow_schema, ascii_words, in_batches, mix64, scalar, sorted_groups, stored
+from clinprep.llm.common import RollingHash, arrow_schema, ascii_words, in_batches, in_small_batches, mix64, scalar, sorted_groups, stored
 from clinprep.llm.components import components
 
 SHINGLE = 5
@@ -184,7 +184,7 @@ def document_sets(docs: DataFrame, id_col: str, text: str, size: int) -> DataFra
                     names=["id", "version", "n_shingles", "key", "values"])
 
     kind = docs.schema[id_col].dataType
-    return docs.select(id_col, text, F.xxhash64(text)).mapInArrow(run, T.StructType([
+    return in_small_batches(docs.select(id_col, text, F.xxhash64(text))).mapInArrow(run, T.StructType([
         T.StructField("id", kind), T.StructField("version", T.LongType()), T.StructField("n_shingles", T.LongType()),
         T.StructField("key", T.BinaryType()), T.StructField("values", T.BinaryType())]))
 

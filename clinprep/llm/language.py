@@ -30,6 +30,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.llm.common import in_small_batches
+
 PER_LANGUAGE = 400
 DICTIONARY = 96 << 10
 PIECE = 8 << 10
@@ -138,4 +140,4 @@ def _identified(docs, dictionaries, text, keep, min_margin) -> DataFrame:
                 names=["_row", "lang_pred", "score"])
 
     schema = T.StructType([rows.schema["_row"], T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return rows.mapInArrow(run, schema).withColumn("rejected", F.col("score") < min_margin)
+    return in_small_batches(rows).mapInArrow(run, schema).withColumn("rejected", F.col("score") < min_margin)

@@ -29,8 +29,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from clinprep.llm.common import in_small_batches
+
 CAPACITY = 4096
-GROUP_TOKENS = 8 << 20  # tokens that a task packs together
+GROUP_TOKENS = 4 << 20  # tokens that a task packs together
 ROWS_OUT = 256
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
@@ -179,7 +181,7 @@ def pack_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", tex
         if group:
             yield from rows()
 
-    return docs.select(id_col, text).mapInArrow(run, T.StructType([
+    return in_small_batches(docs.select(id_col, text)).mapInArrow(run, T.StructType([
         T.StructField("row_id", T.LongType()), T.StructField("n_tokens", T.LongType()),
         T.StructField("cu_seqlens", T.ArrayType(T.IntegerType())), T.StructField("doc_ids", T.ArrayType(docs.schema[id_col].dataType)),
         T.StructField("starts", T.ArrayType(T.LongType())), T.StructField("input_ids", T.BinaryType()),

@@ -34,6 +34,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.llm.common import in_small_batches
+
 MAX_LAYER = 32 << 20
 KINDS = ("assign", "access", "hex")
 
@@ -236,6 +238,6 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text: str = "text") ->
                  pa.array([f[2] for f in found], pa.int64())], names=[id_col, "spans", "n_layers", "n_oversized"])
 
     kind = T.StructType([T.StructField("kind", T.StringType())] + [T.StructField(c, T.LongType()) for c in ("start", "end", "depth")])
-    return docs.select(id_col, F.col(text).alias("_text")).mapInArrow(run, T.StructType([
+    return in_small_batches(docs.select(id_col, F.col(text).alias("_text"))).mapInArrow(run, T.StructType([
         docs.schema[id_col], T.StructField("spans", T.ArrayType(kind)),
         T.StructField("n_layers", T.LongType()), T.StructField("n_oversized", T.LongType())]))

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from clinprep.llm.common import RollingHash, scalar, stored
+from clinprep.llm.common import RollingHash, in_small_batches, scalar, stored
 from clinprep.session import scratch_dir
 
 WINDOW = 35
@@ -79,7 +79,7 @@ def pack_words(docs: DataFrame, id_col: str, text: str, window: int, batch_bytes
         if ids:
             yield packed()
 
-    return docs.select(id_col, text).mapInArrow(run, T.StructType([
+    return in_small_batches(docs.select(id_col, text)).mapInArrow(run, T.StructType([
         T.StructField("batch", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)),
         T.StructField("sizes", T.ArrayType(T.IntegerType())), T.StructField("words", T.BinaryType()),
         T.StructField("windows", T.LongType())]))

@@ -32,6 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from clinprep.llm.common import in_small_batches
+
 CHUNK = 1 << 15  # code points
 LIMIT = 4096
 SPACE = "▁"
@@ -277,7 +279,7 @@ def count_tokens(docs: DataFrame, model_file: str, id_col: str = "doc_id", text:
     schema = T.StructType([chunks.schema[c] for c in carried])
     for name, kind in zip(map_names, (T.BooleanType(), T.StringType(), T.LongType(), T.StringType())):
         schema.add(name, kind)
-    mapped = chunks.mapInArrow(scan, schema)
+    mapped = in_small_batches(chunks).mapInArrow(scan, schema)
 
     def gather(batches):
         """Rows of a document stand together, by chunk; a repeated row has each chunk as often."""
