@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from checks.bindings import view
@@ -24,7 +25,7 @@ def _(spark, sf):
     return corpus.study_metadata(left, right)
 
 
-# every third study has no report text, files exist for studies not divisible by 7
+# every eleventh study has no report text, files exist for studies not divisible by 7
 MANIFEST_SQL = f"""
     WITH {IMPRESSION_SQL}, lab AS (SELECT DISTINCT study_id FROM label_rows),
     img AS (SELECT study_id, replace(path, '.dcm', '.jpg') AS image_path FROM inventory WHERE study_id % 17 <> 0),
@@ -88,7 +89,7 @@ def _files(spark, sf):
 
 GROUPS = f"""{CONTEXT_CTES}, k AS (
     SELECT b.study_id, b.subject_id, concat_ws('|', b.subject_id::VARCHAR, coalesce(b.hadm_id::VARCHAR, ''), b.age::VARCHAR, b.sex,
-           (SELECT coalesce(string_agg(r.kind || r.name || coalesce(r.value::VARCHAR, '') || coalesce(r.note, ''), ';' ORDER BY r.kind, r.name), '') FROM rows_ r
+           (SELECT coalesce(string_agg(r.kind || r.name || coalesce(r.value::VARCHAR, '') || coalesce(r.note, '') || coalesce(r.at::VARCHAR, ''), ';' ORDER BY r.kind, r.name), '') FROM rows_ r
             WHERE r.study_id = b.study_id AND (r.kind IN ('vital', 'lab')))) AS key FROM base b)"""
 
 
@@ -98,7 +99,8 @@ def _(spark, sf):
     return corpus.representative_map(stored(context(spark, sf), "context"), by="subject")
 
 
-@check("W1_context_dedup_full")
+@check("W1_context_dedup_full", views=CONTEXT_VIEWS, sql=f"""
+    WITH {GROUPS} SELECT study_id, min(study_id) OVER (PARTITION BY key) AS representative, count(*) OVER (PARTITION BY key) AS n_same FROM k""")
 def _(spark, sf):
     return corpus.representative_map(stored(context(spark, sf), "context"))
 
@@ -151,9 +153,16 @@ def _(spark, sf):
     return seeded_rank(both, "sample_id", 42, out="position").select("sample_id", "stage", "position")
 
 
-@check("W4_shuffled_order")
+@check("W4_shuffled_order", views=("samples",), sql="""
+    SELECT sample_id, stage, row_number() OVER (ORDER BY md5('42:' || sample_id::VARCHAR), sample_id) AS position FROM samples""")
 def _(spark, sf):
-    return corpus.shuffled(view(spark, sf, "samples"), "sample_id").select("sample_id", "stage")
+    # where a row stands: its place in its part of the sorted output, after the parts before
+    order = corpus.shuffled(view(spark, sf, "samples"), "sample_id").select("sample_id", "stage", F.monotonically_increasing_id().alias("id"))
+    placed = stored(order, "order").withColumn("part", F.shiftright("id", 33))
+    parts = placed.groupBy("part").agg(F.min("id").alias("first"), F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = parts.select("part", "first", before.alias("before"))
+    return placed.join(F.broadcast(offsets), "part").select("sample_id", "stage", (F.col("before") + F.col("id") - F.col("first") + 1).alias("position"))
 
 
 DEMO_SQL = """

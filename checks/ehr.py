@@ -369,7 +369,7 @@ CONTEXT_CTES = f"""
           UNION ALL SELECT event_id, subject_id, CASE result_name WHEN 'Weight' THEN 'weight' WHEN 'Height' THEN 'height' WHEN 'Systolic Blood Pressure' THEN 'systolic_bp'
                 ELSE 'diastolic_bp' END, 'OMR', try_cast(result_value AS DOUBLE), CASE WHEN try_cast(result_value AS DOUBLE) IS NULL THEN result_value END, chartdate::TIMESTAMP
           FROM omr WHERE result_name <> 'eGFR'),
-    vit AS (SELECT * FROM (SELECT b.study_id, c.vital, c.valuenum, c.txt, c.source,
+    vit AS (SELECT * FROM (SELECT b.study_id, c.vital, c.valuenum, c.txt, c.source, c.charttime,
                 row_number() OVER (PARTITION BY b.study_id, c.vital ORDER BY CASE c.source WHEN 'ICU' THEN 0 WHEN 'Ward' THEN 1 ELSE 2 END, c.charttime DESC, c.event_id DESC) AS rn
             FROM base b JOIN v c ON b.subject_id = c.subject_id AND CASE
                 WHEN c.source = 'OMR' THEN CASE WHEN b.study_time IS NOT NULL THEN c.charttime::DATE BETWEEN (b.study_time - INTERVAL 7 DAY)::DATE AND b.study_time::DATE
@@ -383,18 +383,18 @@ CONTEXT_CTES = f"""
     oxy AS (SELECT b.study_id, arg_max(o.o2_device, (o.charttime, o.event_id)) AS o2_device FROM base b JOIN o ON b.subject_id = o.subject_id
             AND CASE WHEN b.study_time IS NOT NULL THEN o.charttime BETWEEN b.study_time - INTERVAL 24 HOUR AND b.study_time
                      WHEN b.admittime IS NOT NULL THEN o.charttime >= b.admittime ELSE true END GROUP BY 1),
-    lab AS (SELECT * FROM (SELECT b.study_id, c.lab, c.valuenum, c.valueuom, row_number() OVER (PARTITION BY b.study_id, c.lab
+    lab AS (SELECT * FROM (SELECT b.study_id, c.lab, c.valuenum, c.valueuom, c.charttime, row_number() OVER (PARTITION BY b.study_id, c.lab
                 ORDER BY c.charttime DESC, c.l_orderkey DESC, c.l_linenumber DESC, c.l_partkey DESC, c.l_suppkey DESC) AS rn
             FROM checked c JOIN base b ON c.subject_id = b.subject_id AND CASE WHEN b.study_time IS NOT NULL THEN c.charttime BETWEEN b.study_time - INTERVAL 48 HOUR AND b.study_time
                      WHEN b.admittime IS NOT NULL THEN c.charttime >= b.admittime ELSE true END) x WHERE rn = 1),
     g AS (SELECT * FROM (VALUES {GROUP_ROWS}) AS t(condition, prefix)),
     flag AS (SELECT DISTINCT d.hadm_id, g.condition FROM diagnoses d JOIN g ON starts_with(replace(d.icd_code, '.', ''), replace(g.prefix, '.', ''))),
-    rows_ AS (SELECT study_id, 'vital' AS kind, vital AS name, valuenum AS value, coalesce(source || '/' || txt, source) AS note FROM vit
-             UNION ALL SELECT study_id, 'vital', 'bmi', round(w / ((h * CASE WHEN h < 3 THEN 2.54 ELSE 1 END / 100) ^ 2), 1), 'calculated' FROM wide WHERE w IS NOT NULL AND h > 0
-             UNION ALL SELECT study_id, 'vital', 'blood_pressure', NULL, 'combined/' || s::BIGINT || '/' || d::BIGINT FROM wide WHERE s IS NOT NULL AND d IS NOT NULL
-             UNION ALL SELECT study_id, 'lab', lab, valuenum, valueuom FROM lab
-             UNION ALL SELECT study_id, 'oxygen', o2_device, NULL, NULL FROM oxy
-             UNION ALL SELECT b.study_id, 'flag', f.condition, NULL, NULL FROM base b JOIN flag f ON b.hadm_id = f.hadm_id)"""
+    rows_ AS (SELECT study_id, 'vital' AS kind, vital AS name, valuenum AS value, coalesce(source || '/' || txt, source) AS note, charttime AS at FROM vit
+             UNION ALL SELECT study_id, 'vital', 'bmi', round(w / ((h * CASE WHEN h < 3 THEN 2.54 ELSE 1 END / 100) ^ 2), 1), 'calculated', NULL FROM wide WHERE w IS NOT NULL AND h > 0
+             UNION ALL SELECT study_id, 'vital', 'blood_pressure', NULL, 'combined/' || s::BIGINT || '/' || d::BIGINT, NULL FROM wide WHERE s IS NOT NULL AND d IS NOT NULL
+             UNION ALL SELECT study_id, 'lab', lab, valuenum, valueuom, charttime FROM lab
+             UNION ALL SELECT study_id, 'oxygen', o2_device, NULL, NULL, NULL FROM oxy
+             UNION ALL SELECT b.study_id, 'flag', f.condition, NULL, NULL, NULL FROM base b JOIN flag f ON b.hadm_id = f.hadm_id)"""
 
 
 @check("A9_nested_context", views=CONTEXT_VIEWS, sql=f"""

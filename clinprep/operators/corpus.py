@@ -23,8 +23,11 @@ def study_metadata(manifest: DataFrame, studies: DataFrame) -> DataFrame:
     clash = (set(manifest.columns) & set(studies.columns)) - {"study_id"}
     right = studies.select("study_id", *[
         F.col(c).alias(f"{c}_y" if c in clash else c) for c in studies.columns if c != "study_id"])
-    left = manifest.withColumn("study_id", F.col("study_id").try_cast("long"))
-    return left.join(right.withColumn("study_id", F.col("study_id").try_cast("long")), "study_id", "left")
+    numeric = F.col("study_id").try_cast("long")
+    # ids that are no numbers match nothing; their rows are dealt out by what they say
+    left = manifest.withColumn("_key", spread_nulls(numeric, "study_id", *[c for c in manifest.columns if c != "study_id"])).withColumn("study_id", numeric)
+    known = right.withColumn("_key", F.col("study_id").try_cast("long").cast("string")).where("_key is not null").drop("study_id")
+    return left.join(known, "_key", "left").drop("_key")
 
 
 def first_record(records: DataFrame, key: str, ordinal: str) -> DataFrame:

@@ -12,23 +12,37 @@ from pyspark.sql import functions as F
 
 from clinprep.functions.exprs import seeded_hash
 
-SALTS = 16  # default of salted_join; pass more for clusters of more than some hundred cores
+SALTS = 64  # parts of a hot key; pass more for clusters of more than some thousand cores
+HOT_SHARE, HOT_ROWS = 0.01, 10_000  # a key with more than this share of the rows, and so many rows, is hot
 RANK_DIGITS = 3  # leading hex digits of the md5 order: 4096 buckets, each sorted alone
 
 
+def hot_keys(many: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
+    """Keys with more than ``share`` of the rows, and ``least`` rows: fewer than ``1 / share`` values."""
+    counts = many.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n"))
+    top = [(r[0], r[1]) for r in counts.where(F.col("_n") >= least).orderBy(F.desc("_n")).limit(int(1 / share)).collect()]
+    total = many.count() if top else 0
+    return [k for k, n in top if n > share * total]
+
+
 def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str],
                 how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """Join ``many`` to ``one`` (unique on ``key``) with the rows of a hot key spread out.
-
-    The small side is repeated ``salts`` times, so the rows of one key land in several
-    partitions, and a later aggregation on ``key`` keeps its own exchange with partial
-    aggregation in front of it (a plain join on ``key`` would let that exchange be
-    skipped and pull a hot key into one task). ``spread`` names the columns that tell the
-    rows of one key apart; the salt is a hash of them, so a recomputed task repeats it.
+    """Join ``many`` to ``one`` (unique on ``key``) with the rows of hot keys spread out.
+
+    The hot keys are measured first. Only their rows are spread, and only their rows of the
+    unique side repeated ``salts`` times; without hot keys this is a plain join. Spreading also
+    keeps a later aggregation on the key from being computed where the join left the rows: it
+    gets its own exchange with partial aggregation in front. ``spread`` names the columns
+    that tell the rows of one key apart; the salt is a hash of them, so a recomputed task
+    repeats it. Null keys match nothing and are spread too.
     """
-    salt = F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")
+    hot = hot_keys(many, key)
+    if not hot:
+        return many.join(one, key, how)
+    is_hot = F.col(key).isin(hot)
+    salt = F.when(is_hot | F.col(key).isNull(), F.pmod(F.xxhash64(*spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
     left = many.withColumn("_salt", salt)
-    right = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    right = one.withColumn("_salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 

@@ -25,6 +25,7 @@ from clinprep import vocab
 from clinprep.functions import measure
 from clinprep.functions.exprs import micros
 from clinprep.operators import ehr
+from clinprep.operators.scaling import salted_join
 
 DERIVED_UNITS = {"bmi": "kg/m²", "blood_pressure": "mmHg"}
 _LONGEST = (vocab.VITAL_LOOKBACK_DAYS + 1) * ehr.DAY  # a day more: outpatient windows go by date
@@ -97,7 +98,7 @@ def facts_of_admission(subjects: DataFrame, facts: DataFrame, slots: list[str],
               .when(F.col("kind") == "dated", admit.isNull() | (seen >= F.date_trunc("day", admit)))
               .otherwise(admit.isNull() | (seen >= admit)))
     # reduced per instant before anything is gathered by subject
-    kept = facts.join(subjects, "subject_id").where(inside).groupBy("subject_id", "slot", "charttime").agg(F.max_by("fact", "tie").alias("fact"))
+    kept = salted_join(facts, subjects, "subject_id", ["slot", "charttime", "tie"]).where(inside).groupBy("subject_id", "slot", "charttime").agg(F.max_by("fact", "tie").alias("fact"))
     return kept.groupBy("subject_id").agg(*[
         F.max_by(F.when(F.col("slot") == s, F.col("fact")), F.when(F.col("slot") == s, F.col("charttime"))).alias(f"s{i}")
         for i, s in enumerate(slots)])
