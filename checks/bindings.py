@@ -139,7 +139,7 @@ VIEWS = {
                CASE WHEN conv_id % 4 = 0 THEN ',}}' ELSE '}}' END,
                CASE WHEN conv_id % 3 = 0 THEN '' WHEN conv_id % 3 = 1 THEN concat(chr(10), chr(10), '3) ICD: {{"Pneumonia": 1}}')
                     ELSE concat(chr(10), chr(10), '3) ICD: {{oops}}') END) AS output
-        FROM {conversations} WHERE role = 'assistant'""",
+        FROM {conversations}""",
 }
 # one row per finding beside every document: a row generator, written per dialect
 FINDING_NAMES = [

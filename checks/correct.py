@@ -11,6 +11,8 @@ from clinprep import vocab
 from clinprep.operators import correct, profile
 from clinprep.operators import records as rec
 from clinprep.plans import passes
+from clinprep.session import scratch_dir
+from clinprep.sources import files
 
 LAB_IDS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
 _CANON = ", ".join(f"({i}, '{n}', '{c}', '{u}', {lo}::DOUBLE, {hi}::DOUBLE)" for i, (n, c, u, lo, hi) in enumerate(vocab.CANONICAL_LABS))
@@ -117,18 +119,18 @@ def _(spark, sf):
 
 # records with readings under both temperature names and kilograms, derived from the record view
 def metric_records(spark, sf):
-    base = records(spark, sf).where("patient_data IS NOT NULL")
+    base = records(spark, sf)
     v = F.col("patient_data.Vitals")
 
     def cell(name, value, unit):
         return F.create_map(F.lit(name), F.struct(value.alias("value"), F.lit(unit).alias("unit")))
 
-    f = F.try_element_at(v, F.lit("temperature_f"))["value"]
     kg = F.try_element_at(v, F.lit("weight"))["value"]
     whole = F.map_concat(F.map_filter(v, lambda k, _: k != "weight"),
                          cell("weight", kg, "kg"), cell("bmi", F.lit(1.0), "x"),
                          cell("temperature_c", F.col("study_id") % 5 + 34.0, "C"))
-    return base.where(F.size(v) > 0).withColumn("patient_data", F.col("patient_data").withField("Vitals", whole)).where(f.isNotNull())
+    changed = F.when(F.size(v) > 0, F.col("patient_data").withField("Vitals", whole)).otherwise(F.col("patient_data"))
+    return base.withColumn("patient_data", changed)
 
 
 REC_WIDE = """w AS (SELECT study_id, max(value) FILTER (vital = 'temperature_f') AS f, max(value) FILTER (vital = 'height') AS cm,
@@ -136,17 +138,19 @@ REC_WIDE = """w AS (SELECT study_id, max(value) FILTER (vital = 'temperature_f')
 
 
 @check("C9_bmi", views=RECORD_VIEWS, sql=f"""
-    WITH {REC_WIDE} SELECT study_id, round(kg / ((cm * 0.01::DOUBLE) * (cm * 0.01::DOUBLE)), 6) AS bmi, false AS old_kept FROM w""")
+    WITH {REC_WIDE} SELECT r.study_id, round(kg / ((cm * 0.01::DOUBLE) * (cm * 0.01::DOUBLE)), 6) AS bmi, false AS old_kept
+    FROM rec r LEFT JOIN w ON r.study_id = w.study_id""")
 def _(spark, sf):
     out = rec.correct_vital_map(metric_records(spark, sf))
     v = F.col("patient_data.Vitals")
     return out.select("study_id", F.round(F.try_element_at(v, F.lit("BMI"))["value"], 6).alias("bmi"),
-                      F.map_contains_key(v, "bmi").alias("old_kept"))
+                      F.coalesce(F.map_contains_key(v, "bmi"), F.lit(False)).alias("old_kept"))
 
 
 @check("C10_temperature_consistency", views=RECORD_VIEWS, sql=f"""
     WITH {REC_WIDE}, t AS (SELECT *, study_id % 5 + 34.0::DOUBLE AS c, (f - 32) * 5 / 9 AS e FROM w)
-    SELECT study_id, round(CASE WHEN abs(c - e) > 0.5 AND f BETWEEN 95 AND 105 THEN e ELSE c END, 6) AS temperature_c FROM t""")
+    SELECT r.study_id, round(CASE WHEN abs(c - e) > 0.5 AND f BETWEEN 95 AND 105 THEN e ELSE c END, 6) AS temperature_c
+    FROM rec r LEFT JOIN t ON r.study_id = t.study_id""")
 def _(spark, sf):
     out = rec.correct_vital_map(metric_records(spark, sf))
     return out.select("study_id", F.round(F.try_element_at(
@@ -242,12 +246,13 @@ SUSPECT = """(lab = 'BNP' AND value = 100000) OR (lab = 'BUN' AND value = 200) O
 
 @check("C19_quality_flags", views=RECORD_VIEWS, sql=f"""
     WITH s AS (SELECT study_id, bool_or({SUSPECT}) AS suspect FROM rec_labs GROUP BY 1)
-    SELECT r.study_id, r.age IS NOT NULL AS has_ehr_data, coalesce(s.suspect, false) AS has_suspect_values, r.stage
+    SELECT r.study_id, r.age IS NOT NULL AS has_ehr_data, coalesce(s.suspect, false) AS has_suspect_values, r.stage, r.study_id % 3 = 1 AS has_icd_labels
     FROM rec r LEFT JOIN s ON r.study_id = s.study_id""")
 def _(spark, sf):
-    out = rec.quality_flags(rec.flag_ranges(records(spark, sf)))
+    icd = F.when(F.col("study_id") % 3 == 1, F.create_map(F.lit("Pneumonia"), F.lit(0)))
+    out = rec.quality_flags(rec.flag_ranges(records(spark, sf).withColumn("icd_labels", icd)))
     q = F.col("data_quality")
-    return out.select("study_id", q["has_ehr_data"].alias("has_ehr_data"), q["has_suspect_values"].alias("has_suspect_values"), q["stage"].alias("stage"))
+    return out.select("study_id", q["has_icd_labels"].alias("has_icd_labels"), q["has_ehr_data"].alias("has_ehr_data"), q["has_suspect_values"].alias("has_suspect_values"), q["stage"].alias("stage"))
 
 
 @check("A16_split_summary", views=RECORD_VIEWS, sql=f"""
@@ -268,15 +273,28 @@ A15_SQL = """
     SELECT count(*) AS total_records, 0::BIGINT AS corrected_labs, coalesce(sum(cv), 0)::BIGINT AS corrected_vitals,
            count(*) FILTER (age IS NOT NULL AND o2 IN ('nc: 2', 'bipap: 40')) AS corrected_o2_devices,
            count(*) FILTER (stage = 'B' AND NOT (hadm_id IS NOT NULL AND age IS NOT NULL AND n_labs + n_vitals > 0)) AS stage_fixes,
-           coalesce(sum(dl), 0)::BIGINT AS dropped_labs, coalesce(sum(dv), 0)::BIGINT AS dropped_vitals
+           coalesce(sum(dl), 0)::BIGINT AS dropped_labs, coalesce(sum(dv), 0)::BIGINT AS dropped_vitals,
+           count(*) FILTER (coalesce(dl, 0) + coalesce(dv, 0) + coalesce(cv, 0) > 0 OR (age IS NOT NULL AND o2 IN ('nc: 2', 'bipap: 40'))) AS corrected_records {more}
     FROM rec r LEFT JOIN l ON r.study_id = l.study_id LEFT JOIN v ON r.study_id = v.study_id"""
 
 
-@check("A15_pass_statistics", views=RECORD_VIEWS, sql=A15_SQL)
+@check("A15_pass_statistics", views=RECORD_VIEWS, sql=A15_SQL.format(more=""))
 def _(spark, sf):
     return passes.first_pass_statistics(passes.first_pass(records(spark, sf))).drop("label_fixes")
 
 
+# one line in nine is cut short, one in ten is blank
+@check("A15_file_statistics", views=RECORD_VIEWS, sql=A15_SQL.format(more=""", (SELECT count(*) FROM rec WHERE study_id % 9 = 4) AS errors,
+           (SELECT count(*) FROM rec WHERE study_id % 9 = 4) AS dropped_records""") + " WHERE r.study_id % 9 <> 4")
+def _(spark, sf):
+    path = scratch_dir(spark, "records")
+    line = F.to_json(F.struct("*"))
+    cut = F.when(F.col("study_id") % 9 == 4, F.substring(line, 1, 40)).otherwise(line)
+    records(spark, sf).select(F.concat(cut, F.when(F.col("study_id") % 10 == 0, "\n").otherwise("")).alias("value")).write.text(path)
+    read = files.read_jsonl(spark, path, records(spark, sf).schema, bad_records=True)
+    return passes.file_pass_statistics(read).drop("label_fixes")
+
+
 @check("C20_first_pass")
 def _(spark, sf):
     out = passes.finish_first_pass(passes.first_pass(records(spark, sf)))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from clinprep.functions import text
 from clinprep.operators import records as r
+from clinprep.sources.files import BAD_RECORD
 
 
 def first_pass(samples: DataFrame, negative_value: int = 0, match: str = "exact",
@@ -63,9 +64,25 @@ def first_pass_statistics(corrected: DataFrame) -> DataFrame:
         F.count_if(F.col("stage_before") != F.col("stage")).alias("stage_fixes"),
         total(F.col("n_labs_dropped")).alias("dropped_labs"),
         total(F.col("n_vitals_dropped")).alias("dropped_vitals"),
+        F.count_if((count_true(p["Labs"]) + count_true(p["Vitals"]) + F.coalesce(p["O2_device"]["corrected"], F.lit(False)).cast("int")
+                    + F.coalesce("n_labs_dropped", F.lit(0)) + F.coalesce("n_vitals_dropped", F.lit(0))) > 0).alias("corrected_records"),
     )
 
 
+def file_pass_statistics(records: DataFrame, **options) -> DataFrame:
+    """Statistics of a first pass over records read with ``read_jsonl(..., bad_records=True)``.
+
+    A malformed line is an error and a dropped record, and is not in ``total_records``;
+    ``on_error="drop_record"`` drops further records.
+    """
+    good = records.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
+    read = records.agg(F.count_if(F.col(BAD_RECORD).isNotNull()).alias("errors"),
+                       F.count_if(F.col(BAD_RECORD).isNull()).alias("_good"))
+    done = first_pass_statistics(first_pass(good, **options))
+    # one row each
+    return done.crossJoin(read).withColumn("dropped_records", F.col("errors") + F.col("_good") - F.col("total_records")).drop("_good")
+
+
 def second_pass(samples: DataFrame) -> DataFrame:
     """Stage, contradictions, sentinels, ranges, units, oxygen, ICD, offsets, uncertainty, flags."""
     return (

@@ -72,9 +72,15 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType, bad_records
     ``bad_records`` keeps malformed lines as rows whose only value is the line, in column
     ``BAD_RECORD``, for the counts of a correction run.
     """
-    kept = T.StructType([*schema.fields, T.StructField(BAD_RECORD, T.StringType())])
-    rows = spark.read.schema(kept).option("columnNameOfCorruptRecord", BAD_RECORD).json(path)
-    return rows if bad_records else rows.where(F.col(BAD_RECORD).isNull()).drop(BAD_RECORD)
+    raw = spark.read.text(path)
+    folders = [c for c in raw.columns if c != "value"]  # columns that the folder names hold
+    inside = [f for f in schema.fields if f.name not in folders]
+    parsed = F.from_json("value", T.StructType([*inside, T.StructField(BAD_RECORD, T.StringType())]),
+                         {"columnNameOfCorruptRecord": BAD_RECORD})
+    rows = raw.where(F.trim("value") != "").select(*folders, parsed.alias("_row"))
+    bad = F.col(f"_row.{BAD_RECORD}")
+    columns = [F.col(f.name).cast(f.dataType).alias(f.name) if f.name in folders else F.col(f"_row.{f.name}") for f in schema.fields]
+    return rows.select(*columns, bad.alias(BAD_RECORD)) if bad_records else rows.where(bad.isNull()).select(*columns)
 
 
 def write_jsonl(df: DataFrame, path: str, partition_by: list[str] | None = None) -> None:
@@ -185,8 +191,8 @@ def parse_manifest(raw: DataFrame) -> DataFrame:
 
 def read_sidecars(spark: SparkSession, folder: str) -> DataFrame:
     """JSON files below a folder, whole, keyed by their path relative to it."""
-    raw = (spark.read.option("wholetext", True).option("recursiveFileLookup", True)
-           .option("pathGlobFilter", "*.json").text(folder).select("_metadata.file_path", "value"))
+    raw = (spark.read.option("recursiveFileLookup", True)
+           .option("pathGlobFilter", "*.json").text(folder, wholetext=True).select("_metadata.file_path", "value"))
     root = folder.rstrip("/") + "/"
     return raw.select(F.substring_index("file_path", root, -1).alias("path"), F.col("value").alias("record"))
 
