@@ -79,7 +79,21 @@ def _(spark, sf):
     return rows.unionByName(qc.missing_image_issues(recs, stock, "study_id"))
 
 
-@check("Q4_record_issues")
+# all row-local checks of a record together: labels, vitals, labs, structure
+@check("Q4_record_issues", views=("reports", "finding_rows", *RECORD_VIEWS), sql=f"""
+    WITH {IMPRESSION_SQL}, j AS (SELECT f.study_id, label, value, lower(coalesce(impression, '')) AS low FROM finding_rows f JOIN imp i ON f.study_id = i.study_id),
+    n AS (SELECT *, {NEGATED} AS negated FROM j),
+    r AS (SELECT * FROM (VALUES {_QC}) AS t(lab, expected, lo, hi)), l AS (SELECT x.*, r.expected, r.lo, r.hi FROM rec_labs x JOIN r ON x.lab = r.lab)
+    SELECT study_id, 'ERROR' AS severity, 'no_finding_with_positive' AS rule, 'No Finding' AS subject
+    FROM j GROUP BY 1 HAVING max(value) FILTER (label = 'No Finding') = 1 AND max(value) FILTER (label <> 'No Finding') = 1
+    UNION ALL SELECT study_id, 'ERROR', 'negated_but_not_negative', label FROM n WHERE negated AND value NOT IN (-1, 0)
+    UNION ALL SELECT study_id, 'ERROR', 'vital_out_of_range', vital FROM rec_vitals WHERE vital = 'respiratory_rate' AND value <= 0
+    UNION ALL SELECT study_id, CASE WHEN (lab = 'BNP' AND unit = 'mg/dL') OR (lab = 'BUN' AND unit = 'mEq/L') THEN 'ERROR' ELSE 'WARN' END,
+           CASE WHEN (lab = 'BNP' AND unit = 'mg/dL') OR (lab = 'BUN' AND unit = 'mEq/L') THEN 'invalid_unit' ELSE 'unexpected_unit' END, lab FROM l WHERE unit <> expected
+    UNION ALL SELECT study_id, 'ERROR', 'implausible_value', lab FROM l WHERE lab = 'BNP' AND value > 100000
+    UNION ALL SELECT study_id, 'WARN', 'outside_sanity_range', lab FROM l WHERE value < lo OR value > hi
+    UNION ALL SELECT study_id, 'ERROR', 'unknown_stage', stage FROM rec WHERE stage NOT IN ('A', 'B')
+    UNION ALL SELECT study_id, 'ERROR', 'patient_data_missing', 'patient_data' FROM rec WHERE stage = 'B' AND age IS NULL""")
 def _(spark, sf):
     return qc.issue_rows(qc.record_issues(records(spark, sf)), ["study_id"])
 

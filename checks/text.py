@@ -130,7 +130,27 @@ def _(spark, sf):
         "study_id", text.stage_a_target(F.col("impression"), F.col("labels")).alias("target"))
 
 
-@check("T11_prompt_text")
+def _quoted(text):
+    return "'" + text.replace("'", "''") + "'"
+
+
+_NO_ICD = "{" + ", ".join(f'"{n}": 0' for n in vocab.ICD_CLASSES) + "}"
+
+
+@check("T11_prompt_text", views=("finding_rows", "reports", *RECORD_VIEWS), sql=f"""
+    WITH {IMPRESSION_SQL}, j AS (SELECT study_id, '[' || {_FINDINGS_JSON} || ']' AS js FROM finding_rows GROUP BY study_id),
+    v AS (SELECT study_id, string_agg('"' || short || '":' || value::VARCHAR, ',' ORDER BY CASE short WHEN 'TempF' THEN 0 WHEN 'Height' THEN 1 WHEN 'Weight' THEN 2 ELSE 3 END) AS t
+          FROM rec_vitals GROUP BY 1),
+    l AS (SELECT study_id, string_agg('"' || lab || '":[!"value":' || value::VARCHAR || ',"unit":"' || unit || '"!]', ',' ORDER BY CASE lab WHEN 'BNP' THEN 0 WHEN 'BUN' THEN 1
+                WHEN 'INR' THEN 2 WHEN 'PT' THEN 3 ELSE 4 END) AS t FROM rec_labs GROUP BY 1),
+    e AS (SELECT r.study_id, r.stage, CASE WHEN r.age IS NULL THEN '[!!]' ELSE '[!"Age":' || r.age::VARCHAR || ',"Sex":"' || r.sex || '"' || coalesce(',"Vitals":[!' || v.t || '!]', '')
+            || coalesce(',"Labs":[!' || l.t || '!]', '') || ',"Chronic":["' || r.condition || '"]!]' END AS ehr
+          FROM rec r LEFT JOIN v ON r.study_id = v.study_id LEFT JOIN l ON r.study_id = l.study_id)
+    SELECT e.study_id, e.stage, CASE WHEN e.stage = 'A' THEN {_quoted(vocab.PROMPT_A)} ELSE {_quoted(vocab.PROMPT_B_HEAD)} || replace(replace(ehr, '[!', chr(123)), '!]', chr(125))
+           || {_quoted(vocab.PROMPT_B_TAIL)} END AS prompt,
+           '1) IMPRESSION: ' || impression || chr(10) || chr(10) || '2) CheXpert: ' || chr(123) || js[2:-2] || chr(125)
+           || CASE WHEN e.stage = 'A' THEN '' ELSE chr(10) || chr(10) || '3) ICD: ' || {_quoted(_NO_ICD)} END AS target
+    FROM e JOIN imp i ON e.study_id = i.study_id JOIN j ON e.study_id = j.study_id""")
 def _(spark, sf):
     return prompts(records(spark, sf)).select("study_id", "stage", "prompt", "target")
 
