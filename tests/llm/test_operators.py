@@ -388,15 +388,25 @@ def test_fingerprints_of_odd_rows(spark, odd):
 def test_simhash_bits_are_majorities(spark):
     rng = random.Random(9)
     many = [f"w{rng.randrange(900)}" for _ in range(1234)]
-    frame = spark.createDataFrame([(1, many), (2, many[:7]), (3, ["one"])], "n int, words array<string>")
-    got = {r.n: r for r in frame.select("n", lines.simhash(F.col("words")).alias("sim"), F.transform("words", lambda w: F.xxhash64(w)).alias("h")).collect()}
-    for n, words in ((1, many), (2, many[:7]), (3, ["one"])):
-        want = 0
-        for a in range(lines.LANES):
-            for b in range(lines.LANE_BITS):
-                votes = sum(lines.SPREAD[a][h & (lines.VECTORS - 1)] >> (lines.WIDE * b) & 1 for h in got[n].h)
-                want |= (votes * 2 > len(words)) << (a * lines.LANE_BITS + b)
-        assert got[n].sim == want
+    some = [many, many[:7], ["one"], many[:lines.MANY_WORDS], many[:lines.MANY_WORDS + 1]]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(some)] + [(2, "one")], "doc_id long, text string")
+    got = {r.id: r.sim for r in lines.occurrences(docs, "doc_id", "text").collect()}
+    hashes = {r.w: r.h for r in spark.createDataFrame([(w,) for w in set(many) | {"one"}], "w string").select("w", F.xxhash64("w").alias("h")).collect()}
+    for i, words in enumerate(some):
+        assert got[i] == sum((sum(hashes[w] >> b & 1 for w in words) * 2 > len(words)) << b for b in range(63))
+
+
+def test_bounds_never_accept_what_is_far(spark):
+    rng = random.Random(11)
+    rows = []
+    for _ in range(400):
+        a = [rng.choice(["ab", "abc", "b", "cccc", "dd"]) for _ in range(rng.randrange(1, 9))]
+        b = [w for w in a if rng.random() < 0.8] + ["ab"] * rng.randrange(2) or ["b"]
+        rows.append((" ".join(a), " ".join(b), rng.randrange(9)))
+    frame = spark.createDataFrame(rows, "left string, right string, most int")
+    found = frame.select(lines.surely_close(F.col("left"), F.col("right"), F.col("most")).alias("sure"), (F.levenshtein("left", "right") <= F.col("most")).alias("is"))
+    counts = {(r.sure, r["is"]): r.n for r in found.groupBy("sure", "is").agg(F.count("*").alias("n")).collect()}
+    assert not counts.get((True, False)) and counts[True, True] > 100
 
 
 def test_every_near_pair_shares_a_bucket(spark):
@@ -415,6 +425,7 @@ def test_every_near_pair_shares_a_bucket(spark):
 @pytest.mark.parametrize("block", [lines.BLOCK_NODES, 2])
 def test_lines_against_brute_force(spark, monkeypatch, block):
     monkeypatch.setattr(lines, "BLOCK_NODES", block)
+    monkeypatch.setattr(lines, "LOOK_BACK", 1 if block == 2 else lines.LOOK_BACK)
     rng = random.Random(12)
     base = [f"w{i}" for i in range(80)]
     texts = []
