@@ -26,13 +26,14 @@ from clinprep.functions import measure
 from clinprep.functions.exprs import micros
 from clinprep.operators import ehr
 from clinprep.operators.scaling import salted_join
+from clinprep.sources.files import stored
 
 DERIVED_UNITS = {"bmi": "kg/m²", "blood_pressure": "mmHg"}
 _LONGEST = (vocab.VITAL_LOOKBACK_DAYS + 1) * ehr.DAY  # a day more: outpatient windows go by date
 
 
 def context_facts(vitals: DataFrame, labs: DataFrame, oxygen: DataFrame, lab_tie: list[str]) -> DataFrame:
-    """``subject_id, slot, kind, charttime, tie, fact`` of all usable measurements."""
+    """``subject_id, slot, kind, charttime, fact``: one usable measurement for each slot and instant."""
     def fact(value=None, text=None, unit=None, source=None, reference_range=None, normal_range=None) -> Column:
         return F.struct(
             F.col("charttime"), (F.lit(None) if value is None else value).cast("double").alias("value"),
@@ -59,14 +60,13 @@ def context_facts(vitals: DataFrame, labs: DataFrame, oxygen: DataFrame, lab_tie
     stated = oxygen.where(F.col("value").isNotNull() & (F.col("value") != ""))
     device = rows(stated, F.lit("oxygen"), F.lit("oxygen"), ["event_id"],
                   fact(None, F.concat(F.coalesce("device_type", F.lit("Unknown")), F.lit(": "), "value")))
-    return seen.unionByName(measured).unionByName(device)
+    every = seen.unionByName(measured).unionByName(device)
+    return every.groupBy("subject_id", "slot", "kind", "charttime").agg(F.max_by("fact", "tie").alias("fact"))
 
 
 def facts_at_time(moments: DataFrame, facts: DataFrame, slots: list[str]) -> DataFrame:
     """The last fact of each slot at each moment (``subject_id, study_time``), in columns ``s0, s1, ...``."""
-    at = micros("charttime")
-    reduced = facts.groupBy("subject_id", "slot", "kind", "charttime").agg(F.max_by("fact", "tie").alias("fact")).withColumn("_pos", at)
-    told = reduced.withColumn("_cell", F.explode(F.array(F.floor(F.col("_pos") / _LONGEST), F.floor(F.col("_pos") / _LONGEST) + 1))).select(
+    told = facts.withColumn("_pos", micros("charttime")).withColumn("_cell", F.explode(F.array(F.floor(F.col("_pos") / _LONGEST), F.floor(F.col("_pos") / _LONGEST) + 1))).select(
         "subject_id", "_cell", "_pos", F.lit(0).alias("_asks"), "slot", F.struct("kind", "fact").alias("_fact"),
         F.lit(None).cast("timestamp").alias("study_time"))
     asked = moments.withColumn("_pos", micros("study_time")).select(
@@ -97,8 +97,7 @@ def facts_of_admission(subjects: DataFrame, facts: DataFrame, slots: list[str],
     inside = (F.when(F.col("kind") == "vital", F.when(admit.isNull(), recent).otherwise(in_stay))
               .when(F.col("kind") == "dated", admit.isNull() | (seen >= F.date_trunc("day", admit)))
               .otherwise(admit.isNull() | (seen >= admit)))
-    # reduced per instant before anything is gathered by subject
-    kept = salted_join(facts, subjects, "subject_id", ["slot", "charttime", "tie"]).where(inside).groupBy("subject_id", "slot", "charttime").agg(F.max_by("fact", "tie").alias("fact"))
+    kept = salted_join(facts, subjects, "subject_id", ["slot", "charttime"]).where(inside)
     return kept.groupBy("subject_id").agg(*[
         F.max_by(F.when(F.col("slot") == s, F.col("fact")), F.when(F.col("slot") == s, F.col("charttime"))).alias(f"s{i}")
         for i, s in enumerate(slots)])
@@ -143,7 +142,7 @@ def build_context(studies: DataFrame, patients: DataFrame, admissions: DataFrame
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     slots = [f"{source}|{n}" for source in vocab.SOURCE_PRIORITY for n in vital_names] + [f"lab|{n}" for n in lab_names] + ["oxygen"]
-    facts = context_facts(vitals, labs, oxygen, lab_tie)
+    facts = stored(context_facts(vitals, labs, oxygen, lab_tie), "facts")  # read by both kinds of windows
     last = ehr.latest_admission(admissions).select("subject_id", "hadm_id", "admission_type", "admittime", "dischtime")
     people = ehr.demographics(studies, patients).join(last, "subject_id", "left")
     timed = people.where(F.col("study_time").isNotNull())
