@@ -464,6 +464,22 @@ def test_lines_against_brute_force(spark, monkeypatch, block):
     assert len(linked) > len(names) // 3
 
 
+@pytest.mark.parametrize("block", [lines.BLOCK_NODES, 2])
+def test_lines_with_changed_words_meet(spark, monkeypatch, block):
+    """One word in ten, fifteen and twenty-seven replaced: edit similarity over 0.8, mostly more than 3 bits."""
+    monkeypatch.setattr(lines, "BLOCK_NODES", block)
+    rng = random.Random(13)
+    rows = []
+    for i in range(60):
+        words = ["".join(rng.choice("abcdefghij") for _ in range(rng.randrange(3, 9))) for _ in range((10, 15, 27)[i % 3])]
+        changed = list(words)
+        at = rng.randrange(len(words))
+        changed[at] = "".join(rng.choice("klmno") for _ in words[at])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(changed))]
+    got = by_id(lines.line_report(spark.createDataFrame(rows, "doc_id long, text string")), "removed")
+    assert got == {k: ([0],) if k % 2 else ([],) for k, _ in rows}
+
+
 def test_lines_of_odd_rows(spark, odd):
     got = lines.dedup_lines(odd)
     assert got.columns == odd.columns and got.count() == odd.count()
