@@ -19,7 +19,8 @@ similarity of their sets is ``threshold`` or more.
    nodes share. Connected components of these give the classes.
 
 Runs are repeated until the chance that a pair at the threshold survives one of them reaches
-``recall``; pairs above it, and all that is less deep, do better.
+``recall`` at the last level, averaged over the number of coordinates in which such a pair
+agrees; pairs above it, and all that is less deep, do better.
 
 Cases: null texts, and texts without words, are in no link and have themselves as class; a
 text of one to four words is one shingle; equal sets are one class without being expanded
@@ -30,7 +31,7 @@ and classes are named by the smallest id that is not null; only the named column
 from __future__ import annotations
 
 import hashlib
-from math import ceil, log
+from math import comb
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -110,6 +111,23 @@ def chance(similarity: float, threshold: float, depth: int) -> float:
     return 1 - gone
 
 
+def recall_of(runs: int, similarity: float, threshold: float, depth: int) -> float:
+    """Probability that such a pair meets in one of the runs, which all use the same coordinates."""
+    n = COORDINATES
+    return sum(comb(n, k) * similarity ** k * (1 - similarity) ** (n - k) * (1 - (1 - chance(k / n, threshold, depth)) ** runs)
+               for k in range(n + 1))
+
+
+def runs_for(recall: float, threshold: float) -> int:
+    """The runs that reach a recall at the deepest level."""
+    if not recall < 1:
+        raise ValueError("no number of runs finds every pair: the recall must be below 1")
+    runs = 1
+    while recall_of(runs, threshold, threshold, DEPTH) < recall:
+        runs += 1
+    return runs
+
+
 def children(buckets: np.ndarray, values: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Row numbers and buckets after one split; a bucket's coordinates depend on nothing but the bucket."""
     h = mix64(buckets ^ np.uint64(0x5851F42D4C957F2D))
@@ -310,7 +328,7 @@ def compare(groups: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, t
 
 def _joined(docs: DataFrame, id_col: str, text: str, size: int, threshold: float, recall: float) -> tuple:
     """All documents with their sets' keys, the nodes, the links found, and the root of each linked node."""
-    runs = ceil(log(1 - recall) / log(1 - chance(threshold, threshold, 3)))
+    runs = runs_for(recall, threshold)
     every = stored(document_sets(docs, id_col, text, size), "sets")
     nodes = stored(every.where("key is not null").groupBy("key").agg(
         F.min("id").alias("id"), F.count("*").alias("n_copies"), F.first("values").alias("values")), "nodes")

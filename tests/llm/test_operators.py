@@ -281,6 +281,23 @@ def test_chance_of_meeting_reaches_the_recall():
     assert met / trials == pytest.approx(jaccard.chance(0.8, 0.8, depth), abs=0.05)
 
 
+def test_runs_reach_the_recall_at_the_deepest_level(spark, monkeypatch):
+    used, trials, rng = [], 3000, np.random.default_rng(7)
+    monkeypatch.setattr(jaccard, "candidate_groups", lambda nodes, threshold, runs: used.append(runs) or nodes.selectExpr("1L as `group`", "key"))
+    jaccard.near_duplicates(spark.createDataFrame([(1, "a b"), (2, "c d")], "doc_id long, text string"))
+    roots, missed = jaccard.mix64(np.arange(1, used[0] + 1, dtype=np.uint64)), 0
+    for _ in range(trials):
+        values = rng.integers(0, 1 << 32, jaccard.COORDINATES, dtype=np.uint32)
+        other = np.where(rng.random(len(values)) < 0.8, values, values + np.uint32(1))
+        here = there = roots
+        for _ in range(jaccard.DEPTH):
+            here = jaccard.children(here, np.tile(values, (len(here), 1)), 0.8)[1]
+            there = jaccard.children(there, np.tile(other, (len(there), 1)), 0.8)[1]
+        missed += not set(here.tolist()) & set(there.tolist())
+    # 3 are expected at a recall of 0.999, 66 with the runs for a depth of 3
+    assert missed <= 12
+
+
 # --- packing
 
 def test_packing_is_lossless(spark, odd, docs):
