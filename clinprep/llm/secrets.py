@@ -1,9 +1,10 @@
 """Secret scans that unwrap nested encodings until nothing new appears.
 
-A text is the first layer of a worklist. Each layer is scanned for secrets, and for stretches
-that look URL-, Unicode-escape- or base64-encoded; what these decode to (decompressed if it is
-gzip, zlib, bzip2, xz or zstandard data) becomes a layer of its own, and so on until no layer
-yields a new one. A layer that has been seen before, for the same place, is not scanned
+A text is the first layer of a worklist. Each layer is scanned for secrets. A layer with URL or
+Unicode escapes gives one in which all of them are decoded in place, so that values stay with
+the names before them (bytes that are not UTF-8 stay escaped); what a base64 stretch decodes
+to (decompressed if it is gzip, zlib, bzip2, xz or zstandard data) becomes a layer of its own,
+and so on until no layer yields a new one. A layer that has been seen before, for the same place, is not scanned
 again, which also ends cycles. Every character of a layer remembers the code points of the
 original text that it came from, so matches in any layer map back to spans.
 
@@ -29,6 +30,7 @@ import codecs
 import lzma
 import re
 import zlib
+from collections import deque
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,7 +49,6 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 NAMED = re.compile(r"passw(?:or)?d|secret|token|api_?key")
 
-STRETCH = re.compile(r"[^\s\"'<>]+")
 UNIT = {"url": re.compile(r"(?:%[0-9A-Fa-f]{2})+"), "unicode": re.compile(r"(?:\\u[0-9A-Fa-f]{4})+")}
 BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 CONTROL = re.compile("[\x00-\x08\x0e-\x1f\x7f]")
@@ -108,33 +109,35 @@ def printable(data: bytes) -> str | None:
     return None if not text or CONTROL.search(text) else text
 
 
-def unescape(stretch: str, at: list[tuple[int, int]], kind: str):
-    """Decode the escapes of a stretch; ``at`` has the origin of each of its characters."""
+def unescape(layer: str, at: list[tuple[int, int]], kind: str):
+    """Decode the escapes of a layer in place; ``at`` has the origin of each of its characters."""
     text, places, upto = [], [], 0
-    for m in UNIT[kind].finditer(stretch):
+    for m in UNIT[kind].finditer(layer):
         if kind == "url":
-            data, width = binascii.unhexlify(m[0].replace("%", "")), 3
-            try:
-                decoded = data.decode()
-            except UnicodeDecodeError:
-                continue
-            sizes = [len(c.encode()) * width for c in decoded]
+            data, codec = binascii.unhexlify(m[0].replace("%", "")), "utf-8"
         else:
-            data = b"".join(int(h, 16).to_bytes(2, "big") for h in m[0].split("\\u")[1:])
-            try:
-                decoded = data.decode("utf-16-be")
-            except UnicodeDecodeError:
-                continue
-            sizes = [len(c.encode("utf-16-be")) * 3 for c in decoded]
-        text.append(stretch[upto:m.start()])
+            data, codec = b"".join(int(h, 16).to_bytes(2, "big") for h in m[0].split("\\u")[1:]), "utf-16-be"
+        text.append(layer[upto:m.start()])
         places += at[upto:m.start()]
-        i = m.start()
-        for size in sizes:
-            places.append((at[i][0], at[i + size - 1][1]))
-            i += size
-        text.append(decoded)
+        done, width = 0, 3  # characters of an escape for each byte, in either kind
+        while done < len(data):
+            try:
+                good = bad = len(data)
+                decoded = data[done:].decode(codec)
+            except UnicodeDecodeError as error:
+                # what cannot be decoded stays as it is, and the run goes on after it
+                good, bad = done + error.start, done + error.end
+                decoded = data[done:good].decode(codec)
+            i = m.start() + done * width
+            for c in decoded:
+                size = len(c.encode(codec)) * width
+                places.append((at[i][0], at[i + size - 1][1]))
+                i += size
+            text += [decoded, layer[i:m.start() + bad * width]]
+            places += at[i:m.start() + bad * width]
+            done = bad
         upto = m.end()
-    text.append(stretch[upto:])
+    text.append(layer[upto:])
     return "".join(text), places + at[upto:]
 
 
@@ -161,7 +164,7 @@ def unbase64(stretch: str, at: list[tuple[int, int]]):
 
 
 def layers_of(text: str, at) -> tuple[list, int]:
-    """Decoded layers of the encoded stretches of a layer; ``at`` is None for the original."""
+    """Decoded layers of a layer; ``at`` is None for the original."""
     out, oversized = [], 0
 
     def origin(a: int, b: int) -> list[tuple[int, int]]:
@@ -169,11 +172,9 @@ def layers_of(text: str, at) -> tuple[list, int]:
 
     for kind, mark in (("url", "%"), ("unicode", "\\u")):
         if mark in text and UNIT[kind].search(text):
-            for m in STRETCH.finditer(text):
-                if mark in m[0]:
-                    layer = unescape(m[0], origin(*m.span()), kind)
-                    if layer[0] != m[0]:
-                        out.append(layer)
+            layer = unescape(text, origin(0, len(text)), kind)
+            if layer[0] != text:
+                out.append(layer)
     for m in BASE64.finditer(text):
         try:
             layer = _looks_encoded(m[0]) and unbase64(m[0], origin(*m.span()))
@@ -206,9 +207,9 @@ def scan_text(text: str | None) -> tuple[list[tuple[int, int, int, int]], int, i
     spans = {(start, KINDS.index(kind), end): 0 for kind, start, end in base_matches(text)}
     seen = set()
     todo, oversized = layers_of(text, None)
-    todo = [(layer, 1) for layer in todo]
+    todo = deque((layer, 1) for layer in todo)
     while todo:
-        (body, at), depth = todo.pop()
+        (body, at), depth = todo.popleft()  # the least deep first: what is met again is not scanned
         key = (body, at[0][0], at[-1][1])
         if key in seen:
             continue
