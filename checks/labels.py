@@ -74,15 +74,16 @@ def _(spark, sf):
 
 
 def _map_document(spark, sf, gap: str, between: str):
-    """The label maps written as one JSON document, and read again from it."""
+    """The label maps written as one JSON document in parts, and read again from them."""
     path = scratch_dir(spark, "document")
     maps = labels.label_maps(view(spark, sf, "label_rows")).select(
         F.col("study_id"), F.to_json(F.transform_values("labels", lambda _, v: v.cast("string"))).alias("body"))
     body = F.regexp_replace(F.regexp_replace("body", r'":"(-?[0-9]+)"', rf'":{gap}$1'), ",", "," + between)
     line = F.concat(F.lit('"'), F.col("study_id").cast("string"), F.lit(f'":{gap}'), body)
-    # one file: the opening brace, a study for each row, the closing brace
-    whole = maps.select(line.alias("line")).agg(F.array_join(F.array_sort(F.collect_list("line")), "," + between).alias("all"))
-    whole.select(F.concat(F.lit("{" + between), "all", F.lit(between + "}")).alias("value")).coalesce(1).write.text(path)
+    # each partition writes its studies; the braces of the document are rows of their own
+    first, last = (spark.range(1).select(F.lit(brace).alias("value")) for brace in "{}")
+    studies = maps.select(F.concat(F.lit(between), line, F.lit(",")).alias("value"))
+    first.unionByName(studies).unionByName(last).write.text(path)
     read = files.import_map_document(spark, path).withColumn("study_id", F.col("study_id").cast("long"))
     return labels.explode_labels(read)
 

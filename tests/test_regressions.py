@@ -179,3 +179,20 @@ def test_sidecars_and_inventory(spark, tmp_path):
 def test_bleu_splits_at_no_break_spaces(spark):
     row = spark.range(1).select(evaluate.tokens(F.lit("a b  c")).alias("t")).first()
     assert row.t == ["a", "b", "c"]
+
+
+@pytest.mark.parametrize("gap, between", [("", ""), (" ", "\n    ")])
+def test_label_documents_are_written_by_partition(spark, tmp_path, monkeypatch, gap, between):
+    from checks import labels
+
+    path = tmp_path / "document"
+    monkeypatch.setattr(labels, "scratch_dir", lambda *_: str(path))
+    rows = [(study, label, 1) for study in range(40) for label in ("Edema", "Fracture")]
+    monkeypatch.setattr(labels, "view", lambda *_: spark.createDataFrame(rows, "study_id long, label string, value int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        got = labels._map_document(spark, "", gap, between).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert sorted((r.study_id, r.label, r.value) for r in got) == rows
+    assert sum("Edema" in f.read_text() for f in path.glob("*.txt")) > 1
