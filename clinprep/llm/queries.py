@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import decontaminate, fingerprints, jaccard, language, lines, mixing, packing, secrets, substrings, tokens
+from clinprep.llm import (decontaminate, fingerprints, jaccard, language, lines, mixing, negatives, packing, secrets, substrings, tokens,
+                          whitening)
 from clinprep.llm.common import load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -126,3 +127,33 @@ def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op1_line_dedup")
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.line_report(load(spark, sf_dir, "documents"))
+
+
+@query("op11_whitening")
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(load(spark, sf_dir, "embeddings"))
+
+
+@query("op12_hard_negatives", """
+with fit as (
+  select vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as label,
+         list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null
+    and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.vec_id as anchor_id, a.label as kind, b.vec_id as other, b.label,
+         list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+  from fit a join fit b on a.vec_id <> b.vec_id where a.vec_id % 100 = 0),
+positive as (
+  select anchor_id, kind, other as positive_id, score as positive_score from scored where label = kind
+  qualify row_number() over (partition by anchor_id order by score desc, other) <= 5)
+select p.anchor_id, p.positive_id,
+       (row_number() over (partition by p.anchor_id, p.positive_id order by s.score desc, s.other))::int as rank,
+       s.other as negative_id, p.positive_score, s.score as negative_score
+from positive p join scored s on s.anchor_id = p.anchor_id
+where s.label <> p.kind and 80 * p.positive_score <= 100 * s.score and 100 * s.score <= 100 * p.positive_score
+qualify rank <= 5""")
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return negatives.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
