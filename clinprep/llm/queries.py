@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from clinprep.llm import (decontaminate, fingerprints, jaccard, language, lines, mixing, negatives, packing, secrets, substrings, tokens,
+from clinprep.llm import (decontaminate, fingerprints, jaccard, language, lines, mixing, negatives, packing, secrets, substrings, tokens, toxicity,
                           whitening)
 from clinprep.llm.common import load
 
@@ -157,3 +157,10 @@ qualify rank <= 5""")
 def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return negatives.mine(load(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+@query("op13_toxicity")
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.learn(docs, load(spark, sf_dir, "labels")), keep=["doc_id"])
+    return found.select("doc_id", language.held_out("doc_id").alias("held_out"), "score", "predicted", "n_matches")
