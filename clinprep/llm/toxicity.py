@@ -59,6 +59,7 @@ LOOKALIKES = {
 }
 SUBSTITUTES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "i", "|": "i"}
 
+SIGNS = "".join(c for c in SUBSTITUTES if not c.isalnum())
 WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -84,8 +85,18 @@ def has_letter(text: str) -> bool:
 
 
 def words_of(text: str) -> list[str]:
-    """Folded words of which the original has a letter."""
-    return [m.group() for m in WORD.finditer(fold(text)) if has_letter(text[m.start():m.end()])]
+    """Folded words of which the original has a letter; signs at either end of one are punctuation."""
+    folded, out = fold(text), []
+    for m in WORD.finditer(folded):
+        seen = text[m.start():m.end()]
+        if not seen.isalpha():
+            if not has_letter(seen):
+                continue
+            left = len(seen) - len(seen.lstrip(SIGNS))
+            out.append(m.group()[left:len(seen.rstrip(SIGNS))])
+        else:
+            out.append(m.group())
+    return out
 
 
 def entries_of(word: str) -> list[str]:
@@ -129,9 +140,9 @@ def matches(text: str, matcher) -> list[tuple[int, int, float]]:
     found, excused = {}, []
     for last, (size, whole, begins, excuse) in matcher.iter(folded):
         start, end = last - size + 1, last + 1
-        if start and folded[start - 1].isalpha():
+        if start and text[start - 1].isalnum():
             continue
-        ended = not folded[end:end + 1].isalpha()
+        ended = not text[end:end + 1].isalnum()
         if excuse and ended:
             excused.append((start, end))
         weight = whole if ended and whole is not None else begins

@@ -60,7 +60,7 @@ def packed(rows: DataFrame, id_col: Column, label: Column, vector: str, scale: i
             of = np.repeat(lengths, lengths)
             for width in np.unique(lengths).tolist():
                 here = lengths == width
-                waiting.setdefault(width, []).append((ids[here], labels[here], values[of == width].reshape(-1, width)))
+                waiting.setdefault(width, []).append((ids[here], labels[here], values[of == width].reshape(here.sum(), width)))
                 most = min(block_rows, max(1, BLOCK_BYTES // (8 * max(width, 1))))
                 if sum(len(part[0]) for part in waiting[width]) >= most:
                     yield block(width)
