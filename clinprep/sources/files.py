@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from clinprep.functions.exprs import spread_nulls
-from clinprep.functions.parse import is_json
+from clinprep.functions.parse import is_json, last_of_key
 from clinprep.session import scratch_dir
+from clinprep.sources.splits import odd_json_quotes, read_quoted_csv, units
 
 BAD_RECORD = "_bad_record"
 
@@ -147,19 +148,22 @@ def read_map_table(spark: SparkSession, path: str) -> DataFrame:
 def import_map_document(spark: SparkSession, path: str) -> DataFrame:
     """One JSON document ``{study: {label: value}}``, in any layout, as ``study_id, labels``.
 
-    A closing brace ends a study, so the document is read in splits like any text file and
-    never as a whole. Text that is neither a study nor the document's own braces is an error.
+    A closing brace outside strings ends a study, so the document is read in splits and never
+    as a whole; keys may hold braces, quotes and escapes. Text that is neither a study nor the
+    document's own braces is an error; that the last braces are missing is not noticed. Of
+    repeated labels the last counts.
     """
-    chunks = spark.read.option("lineSep", "}").text(path).where(~F.col("value").rlike(r"^[\s,]*$"))
-    entry = r'(?s)^[\s,]*\{?\s*"((?:[^"\\]|\\.)*)"\s*:\s*(\{[^{]*)$'
-    body = F.concat(F.regexp_extract("value", entry, 2), F.lit("}"))
-    values = F.when(is_json(body), F.from_json(body, "map<string,double>"))
+    chunks = units(spark, path, "}", odd_json_quotes(F.col("value"))).select(F.col("unit").alias("value")).where(~F.col("value").rlike(r"^[\s,]*$"))
+    head = r'(?s)^[\s,]*\{?\s*"((?:[^"\\]|\\.)*+)"\s*:\s*(?=\{)'
     empty = F.col("value").rlike(r"^\s*\{\s*$")  # a document without studies
+    body = F.concat(F.regexp_replace("value", head, ""), F.lit("}"))
+    key = F.get(F.from_json(F.concat(F.lit('["'), F.regexp_extract("value", head, 1), F.lit('"]')), "array<string>"), 0)
+    values = F.when(is_json(body), last_of_key(F.from_json(body, "map<string,double>")))
     labels = F.transform_values(values, lambda _, v: v.cast("int"))
     wrong = F.raise_error(F.concat(F.lit("not a study of a label document: "), F.substring("value", 1, 200)))
     return chunks.where(~empty).select(
-        F.regexp_extract("value", entry, 1).alias("study_id"),
-        F.when(F.col("value").rlike(entry) & values.isNotNull(), labels).otherwise(wrong.cast("map<string,int>")).alias("labels"))
+        key.alias("study_id"),
+        F.when(F.col("value").rlike(head) & values.isNotNull() & key.isNotNull(), labels).otherwise(wrong.cast("map<string,int>")).alias("labels"))
 
 
 # --- evaluation manifest and sidecars -----------------------------------------
@@ -176,10 +180,9 @@ def quasi_json(col: Column, schema: str) -> Column:
 def read_eval_manifest(spark: SparkSession, path: str) -> DataFrame:
     """Evaluation manifest CSV, columns by header name, with its two quasi-JSON columns parsed.
 
-    Quoted cells may hold line breaks, so one file is one task; a manifest is a small file.
+    Quoted cells may hold line breaks; files are read in splits all the same.
     """
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in MANIFEST_FIELDS])
-    return parse_manifest(read_csv_table(spark, path, schema, quote='"', escape='"', multiLine=True))
+    return parse_manifest(read_quoted_csv(spark, path, MANIFEST_FIELDS))
 
 
 def parse_manifest(raw: DataFrame) -> DataFrame:
