@@ -11,7 +11,7 @@ from clinprep import vocab
 from clinprep.functions import text
 from clinprep.functions.exprs import literal_map, scalar, seeded_hash, spread_nulls
 from clinprep.operators.scaling import (
-    hot_aware_join, order_cutoff, seeded_rank, share_count,
+    hot_aware_join, order_cutoff, permuted, rank_digits, seeded_rank, share_count,
 )
 from clinprep.sources.files import stored
 
@@ -290,45 +290,80 @@ def rare_label_weights(samples: DataFrame, labels: str, icd: str, boost: float =
 
 def cumulative_weight(items: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
     """Half-open share ``[low, high)`` of the unit interval per item, without a global sort."""
-    digits = F.substring(seeded_hash(seed, id_col), 1, 3)
-    spread = items.withColumn("_order", seeded_hash(seed, id_col)).withColumn("_bucket", digits)
+    spans, _ = _weight_spans(items, id_col, seed, rank_digits(items.count()))
+    return spans.drop("_bucket", "_end")
+
+
+def _weight_spans(items: DataFrame, id_col: str, seed: int, digits: int) -> tuple[DataFrame, DataFrame]:
+    """Items with their spans, and buckets of leading digits with theirs.
+
+    ``_end`` is where the next item begins, so that spans of doubles leave no gap.
+    """
+    spread = items.withColumn("_order", seeded_hash(seed, id_col)).withColumn("_bucket", F.substring("_order", 1, digits))
     sums = spread.groupBy("_bucket").agg(F.sum("weight").alias("_w"))
-    before = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select("_bucket", F.coalesce(F.sum("_w").over(before), F.lit(0.0)).alias("_before"))
-    inside = Window.partitionBy("_bucket").orderBy("_order", id_col).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    upto = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     total = scalar(items, F.sum("weight"))
-    running = spread.withColumn("_upto", F.sum("weight").over(inside)).join(F.broadcast(offsets), "_bucket")
+    running = sums.select("_bucket", F.sum("_w").over(upto).alias("_to"))
+    next_bucket = Window.partitionBy(F.lit(1)).orderBy("_bucket")
+    buckets = running.select(
+        "_bucket", F.lag("_to", 1, 0.0).over(next_bucket).alias("_before"),
+        F.when(F.lead("_bucket").over(next_bucket).isNull(), 1.0).otherwise(F.col("_to") / total).alias("_stop")).withColumn("_start", F.col("_before") / total)
+    inside = Window.partitionBy("_bucket").orderBy("_order", id_col)
+    sofar = F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    summed = spread.withColumn("_upto", sofar).withColumn("_from", F.lag("_upto", 1, 0.0).over(inside)).withColumn(
+        "_last", F.lead("_upto").over(inside).isNull())
+    spans = summed.join(F.broadcast(buckets) if digits <= 4 else buckets, "_bucket")
     high = (F.col("_before") + F.col("_upto")) / total
-    return running.withColumn("low", high - F.col("weight") / total).withColumn("high", high).drop(
-        "_order", "_bucket", "_before", "_upto")
+    return spans.withColumn("low", (F.col("_before") + F.col("_from")) / total).withColumn("high", high).withColumn(
+        "_end", F.when(F.col("_last"), F.col("_stop")).otherwise(F.col("high"))).drop("_order", "_upto", "_from", "_last", "_before", "_start", "_stop"), buckets
+
+
+#: Draws, and items, that a cell of ``weighted_draws`` holds, on average.
+CELL_DRAWS, CELL_ITEMS = 64, 1024
 
 
 def weighted_draws(items: DataFrame, id_col: str, draws: DataFrame, cells: int | None = None,
                    seed: int = 42) -> DataFrame:
     """One item per draw, with replacement, in proportion to ``weight``.
 
-    ``draws`` holds ``draw`` (unique, of any type) and ``u`` in [0, 1). The unit interval is cut into
-    ``cells``, by default one for every 64 items and 16 at least; an item marks every cell it reaches into, and one ordered pass per cell carries
-    the item that covers each draw. No item-draw pairs are formed.
+    ``draws`` holds ``draw`` (unique, of any type) and ``u`` in [0, 1). One ordered pass per cell
+    carries the item that covers each draw; no item-draw pairs are formed.
     """
-    items = stored(items.select(id_col, "weight"), "items")
-    cells = cells or max(16, items.count() // 64)
-    spans = cumulative_weight(items, id_col, seed)
-    top = F.lit(cells - 1)
-    first = F.least(F.greatest(F.floor(F.col("low") * cells), F.lit(0)), top)
-    last = F.least(F.floor(F.col("high") * cells), top)
-    marks = spans.withColumn("_cell", F.explode(F.sequence(first, last))).select(
-        "_cell", F.greatest(F.col("low"), F.col("_cell") / cells).alias("_pos"),
-        F.lit(0).alias("_kind"), F.col(id_col).alias("_item"), F.lit(None).cast(draws.schema["draw"].dataType).alias("draw"))
-    asked = draws.select(
-        F.least(F.floor(F.col("u") * cells), top).alias("_cell"), F.col("u").alias("_pos"),
-        F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_item"].dataType).alias("_item"), "draw")
-    upto = Window.partitionBy("_cell").orderBy("_pos", "_kind", "_item", "draw").rowsBetween(
+    placed = draw_cells(items, id_col, draws, cells, seed)
+    upto = Window.partitionBy("_grid", "_bucket").orderBy("_pos", "_kind", "_item", "draw").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    carried = marks.unionByName(asked).withColumn("_pick", F.last("_item", ignorenulls=True).over(upto))
+    carried = placed.withColumn("_pick", F.last("_item", ignorenulls=True).over(upto))
     return carried.where(F.col("_kind") == 1).select("draw", F.col("_pick").alias(id_col))
 
 
+def draw_cells(items: DataFrame, id_col: str, draws: DataFrame, cells: int | None = None, seed: int = 42) -> DataFrame:
+    """Items (``_kind`` 0) and draws (1) side by side in cells that are small in both.
+
+    The unit interval is cut twice: evenly, into ``cells`` (one for every 64 draws), which bounds
+    the draws of a cell; and between buckets of items, of about a thousand each in the order of
+    their spans, which bounds its items however small their weights are. An item marks every
+    even cell that it reaches into. Items of a weight too small to move a double cover no draw.
+    """
+    items = stored(items.select(id_col, "weight"), "items")
+    cells = cells or max(16, draws.count() // CELL_DRAWS)
+    spans, buckets = _weight_spans(items, id_col, seed, rank_digits(items.count(), CELL_ITEMS))
+
+    def cell(position) -> Column:
+        return F.least(F.greatest(F.floor(position * cells), F.lit(0)), F.lit(cells - 1)).cast("long")
+
+    marks = spans.where("low < _end").withColumn("_grid", F.explode(F.sequence(cell(F.col("low")), cell(F.col("_end"))))).select(
+        "_grid", "_bucket", F.col("low").alias("_pos"), F.lit(0).alias("_kind"), F.col(id_col).alias("_item"),
+        F.lit(None).cast(draws.schema["draw"].dataType).alias("draw"))
+    # the buckets that reach into an even cell, few on average
+    reaching = buckets.where("_start < _stop").withColumn("_grid", F.explode(F.sequence(cell(F.col("_start")), cell(F.col("_stop"))))).groupBy("_grid").agg(
+        F.array_sort(F.collect_list(F.struct("_start", "_bucket"))).alias("_reaching"))
+    begun = F.filter("_reaching", lambda b: b["_start"] <= F.col("u"))
+    asked = draws.select("draw", "u", cell(F.col("u")).alias("_grid")).join(reaching, "_grid", "left").select(
+        "_grid", F.try_element_at(begun, F.lit(-1))["_bucket"].alias("_bucket"), F.col("u").alias("_pos"), F.lit(1).alias("_kind"),
+        F.lit(None).cast(items.schema[id_col].dataType).alias("_item"), "draw")
+    return marks.unionByName(asked)
+
+
 def uniform(seed: int, *cols) -> Column:
     """Reproducible number in [0, 1) from a seed and columns."""
     digits = F.substring(seeded_hash(seed, *cols), 1, 13)
@@ -373,8 +408,9 @@ def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame
             seed: int = 42) -> DataFrame:
     """``step, part, slot, id``: the rows of every batch.
 
-    Stage A and synthetic rows are drawn without replacement within a batch (a run of
-    consecutive ranks from a seeded start); stage B rows with replacement by weight.
+    Stage A and synthetic rows are drawn without replacement within a batch and anew for each
+    (a keyed permutation of the ranks); stage B rows with replacement by weight, or without
+    weights like the others.
     """
     # one row per stage, so the broadcast side is bounded by the stage vocabulary
     sizes = samples.groupBy("stage").agg(F.count("*").alias("_size"))
@@ -387,14 +423,14 @@ def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame
 
     def ranked(stage, part, count):
         pool = seeded_rank(samples.where(F.col("stage") == stage).select(id_col), id_col, seed)
-        start = F.pmod(F.xxhash64(F.lit(seed), F.lit(part), "step"), F.col("_size"))
-        wanted = slots(stage, count, part).withColumn("rank", F.pmod(start + F.col("slot"), F.col("_size")) + 1)
+        place = permuted(F.col("slot"), F.col("_size"), F.lit(seed), F.lit(part), F.col("step"))
+        wanted = slots(stage, count, part).withColumn("rank", place + 1)
         return wanted.join(pool, "rank").select("step", "part", "slot", id_col)
 
     a = ranked("A", "A", "n_a")
     synthetic = ranked("B", "synthetic", "n_synthetic")
     if weights is None:
-        weights = samples.where(F.col("stage") == "B").select(id_col, F.lit(1.0).alias("weight"))
+        return a.unionByName(synthetic).unionByName(ranked("B", "B", "n_b"))
     asked = slots("B", "n_b", "B").select(F.struct("step", "slot").alias("draw"), uniform(seed, "step", "slot").alias("u"))
     drawn = weighted_draws(weights, id_col, asked, seed=seed)
     b = drawn.select("draw.step", F.lit("B").alias("part"), "draw.slot", id_col)

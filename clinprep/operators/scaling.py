@@ -10,11 +10,12 @@ from math import floor
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from clinprep.functions.exprs import seeded_hash
+from clinprep.functions.exprs import let, seeded_hash
 
 SALTS = 64  # parts of a hot key; pass more for clusters of more than some thousand cores
 HOT_SHARE, HOT_ROWS = 0.01, 10_000  # a key with more than this share of the rows, and so many rows, is hot
-RANK_DIGITS = 3  # leading hex digits of the md5 order: 4096 buckets, each sorted alone
+RANK_DIGITS = 3  # leading hex digits of the md5 order: 4096 buckets at least, each sorted alone
+SORTED_ROWS = 1 << 16  # rows that one task sorts at once, or about as many
 
 
 def hot_keys(many: DataFrame, key: str, share: float = HOT_SHARE, least: int = HOT_ROWS) -> list:
@@ -46,16 +47,26 @@ def salted_join(many: DataFrame, one: DataFrame, key: str, spread: list[str],
     return left.join(right, [key, "_salt"], how).drop("_salt")
 
 
+def rank_digits(rows: int, most: int = SORTED_ROWS) -> int:
+    """Leading hex digits of the md5 order that leave at most about ``most`` rows in a bucket."""
+    digits = RANK_DIGITS
+    while rows > most * 16 ** digits:
+        digits += 1
+    return digits
+
+
 def seeded_rank(df: DataFrame, id_col: str, seed: int, by: list[str] | None = None,
-                out: str = "rank") -> DataFrame:
+                out: str = "rank", digits: int | None = None) -> DataFrame:
     """Rank rows 1..n per ``by`` in seeded md5 order of a unique id, without a global sort.
 
-    Rows are counted per leading digits of the hash; the counts (at most 4096 per group)
-    give every bucket its offset, and only the rows of one bucket are sorted together.
+    Rows are counted per leading digits of the hash; the counts give every bucket its offset,
+    and only the rows of one bucket are sorted together. The rows are counted first to find
+    how many digits that takes, unless ``digits`` says so.
     """
     by = by or []
+    digits = digits or rank_digits(df.count())
     ranked = df.withColumn("_order", seeded_hash(seed, id_col)).withColumn(
-        "_bucket", F.substring("_order", 1, RANK_DIGITS))
+        "_bucket", F.substring("_order", 1, digits))
     counts = ranked.groupBy(*by, "_bucket").agg(F.count("*").alias("_n"))
     before = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*by, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
@@ -68,23 +79,60 @@ def seeded_rank(df: DataFrame, id_col: str, seed: int, by: list[str] | None = No
     )
 
 
-def order_cutoff(df: DataFrame, id_col: str, seed, count: int) -> str | None:
+def order_cutoff(df: DataFrame, id_col: str, seed, count: int, most: int = SORTED_ROWS) -> str | None:
     """The md5 order value of the ``count``-th id; None when ``count`` is 0 or there are fewer.
 
     ``seeded_hash(seed, id) <= cutoff`` then selects exactly ``count`` ids, row by row and
-    without joining the selection back. Ids are counted per bucket of leading digits, and only
-    those of the bucket that holds the ``count``-th are sorted.
+    without joining the selection back. Radix selection: ids are counted by the next digits of
+    the hash, and the search goes down into the bucket with the wanted rank until that holds
+    at most ``most`` ids, which are sorted. A level brings at most 4096 counts to the driver.
     """
-    ordered = df.select(seeded_hash(seed, id_col).alias("_order"), id_col)
-    digits = F.substring("_order", 1, RANK_DIGITS)
-    upto = Window.orderBy("_bucket")
-    counts = ordered.groupBy(digits.alias("_bucket")).agg(F.count("*").alias("_n"))
-    place = counts.withColumn("_upto", F.sum("_n").over(upto)).where(
-        (F.col("_upto") >= count) & (F.col("_upto") - F.col("_n") < count)).select("_bucket", count - (F.col("_upto") - F.col("_n"))).first()
-    if count <= 0 or place is None:
+    if count <= 0:
         return None
-    within = ordered.where(digits == place[0]).select("_order", F.row_number().over(Window.orderBy("_order", id_col)).alias("_rank"))
-    return within.where(F.col("_rank") == place[1]).first()[0]
+    order, start, left = seeded_hash(seed, id_col), "", count
+    while True:
+        depth = len(start) + RANK_DIGITS
+        counts = df.where(order.startswith(start)).groupBy(F.substring(order, 1, depth).alias("digits")).agg(F.count("*").alias("n"))
+        for digits, n in sorted((r.digits, r.n) for r in counts.collect()):
+            if n >= left:
+                break
+            left -= n
+        else:
+            return None
+        start = digits
+        if n <= most or len(start) >= 32:  # beyond that all ids are equal
+            break
+    found = df.where(order.startswith(start)).agg(F.array_sort(F.collect_set(order)).alias("all") if len(start) >= 32 else F.array_sort(F.collect_list(order)).alias("all"))
+    return found.select(F.get("all", 0 if len(start) >= 32 else left - 1)).first()[0]
+
+
+def permuted(index: Column, size: Column, *key, rounds: int = 8) -> Column:
+    """``index`` mapped one to one onto the whole numbers below ``size`` (under 2**53), in an order that ``key`` draws.
+
+    A Feistel network on ``left * b + right`` with ``a * b`` just above ``size``; a value beyond
+    ``size`` goes through it again until it is below. That takes at most as many turns as
+    there are values beyond; above 40 (from ``size`` 1,600 on) a turn fails with a chance under
+    1/40, so more are never met and would be an error.
+    """
+    size = size.cast("long")
+    a = F.greatest(F.ceil(F.sqrt(size)), F.lit(1)).cast("long")
+    b = F.floor((size + a - 1) / a).cast("long")
+
+    def turn(value: Column) -> Column:
+        start = F.struct(F.floor(value / b).cast("long").alias("left"), F.pmod(value, b).alias("right"))
+
+        def step(at, i):
+            drawn = F.xxhash64(*key, i, F.when(i % 2 == 0, at["right"]).otherwise(at["left"]))
+            return F.struct(
+                F.when(i % 2 == 0, F.pmod(at["left"] + F.pmod(drawn, a), a)).otherwise(at["left"]).alias("left"),
+                F.when(i % 2 == 0, at["right"]).otherwise(F.pmod(at["right"] + F.pmod(drawn, b), b)).alias("right"))
+
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, step, lambda at: at["left"] * b + at["right"])
+
+    beyond = a * b - size
+    turns = F.when(beyond > 0, F.sequence(F.lit(1).cast("long"), F.least(beyond, F.lit(40).cast("long")))).otherwise(F.array().cast("array<bigint>"))
+    found = F.aggregate(turns, turn(index.cast("long")), lambda value, _: F.when(value < size, value).otherwise(turn(value)))
+    return let(found, lambda value: F.when(value < size, value).otherwise(F.raise_error(F.lit("no place below the size")).cast("long")))
 
 
 def hot_aware_join(many: DataFrame, one: DataFrame, key: str, rows: Column, spread: list[str],
