@@ -22,6 +22,7 @@ row; only the named columns are read, so others may clash.
 from __future__ import annotations
 
 import re
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ GROUP_TOKENS = 4 << 20  # tokens that a task packs together
 ROWS_OUT = 256
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 
 
 class PieceEncoder:
@@ -50,6 +51,7 @@ class PieceEncoder:
 
         self.model = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.kind = np.dtype("<u2" if self.model.get_piece_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.kind.itemsize == 2 else "I"
         self.known: dict[str, bytes] = {}
 
     def encode(self, text: str | None) -> bytes:
@@ -68,7 +70,8 @@ class PieceEncoder:
             new = list({w for w in words if w not in known})
             for word, ids in zip(new, self.model.encode(new, num_threads=1)):
                 # a space alone would be taken for an empty text
-                known[word] = np.array(ids if word else [self.model.piece_to_id(SPACE)], self.kind).tobytes()
+                ids = ids if word else [self.model.piece_to_id(SPACE)]
+                known[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
             return b"".join([known[w] for w in words])
 
 
