@@ -62,17 +62,15 @@ class PieceEncoder:
         else:
             words = text.split(" ")
         known = self.known
-        try:
-            return b"".join([known[w] for w in words])
-        except KeyError:
-            if len(known) > REMEMBERED:
-                known.clear()
-            new = list({w for w in words if w not in known})
+        if len(known) > REMEMBERED:
+            known.clear()
+        new = list(set(words).difference(known))
+        if new:
             for word, ids in zip(new, self.model.encode(new, num_threads=1)):
                 # a space alone would be taken for an empty text
                 ids = ids if word else [self.model.piece_to_id(SPACE)]
                 known[word] = struct.pack(f"<{len(ids)}{self.code}", *ids)
-            return b"".join([known[w] for w in words])
+        return b"".join(map(known.__getitem__, words))
 
 
 class SpaceTree:
