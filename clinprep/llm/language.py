@@ -5,10 +5,9 @@ zstandard raw-content dictionary. A text is compressed with each dictionary in t
 language of the smallest result wins. The margin is how much smaller it is than the second,
 relative to the second; where it is narrow the document is rejected.
 
-Texts are normalised to lower-case words of letters. A word that recurs says nothing new, and
-compresses to the same few bytes under any dictionary, so each is kept once, where it came
-first. Long texts are compressed in pieces, since a dictionary soon fades against what the
-text itself has repeated; all pieces count.
+Texts are normalised to lower-case words of letters; all of them are compressed, in pieces of
+``PIECE`` bytes. Within a piece what recurs soon costs next to nothing, so short pieces let each
+part of a text count by its length; all pieces count.
 
 Learning: documents with a language and a text, outside the held-out fifth (CRC-32 of the id
 as text, modulo 5). Their ids and languages are counted first; then about ``PER_LANGUAGE``
@@ -34,7 +33,7 @@ from clinprep.llm.common import in_small_batches
 
 PER_LANGUAGE = 400
 DICTIONARY = 96 << 10
-PIECE = 8 << 10
+PIECE = 1 << 10
 MIN_MARGIN = 0.002
 MAX_LANGUAGES = 500
 UNKNOWN = "und"
@@ -49,7 +48,9 @@ def held_out(id_col: str) -> Column:
 
 
 def normalised(text: str | None) -> bytes:
-    return " ".join(dict.fromkeys(WORD.findall((text or "").lower()))).encode()
+    """Lower-case words of letters; digits of any kind, such as superscripts, are no letters."""
+    words = WORD.findall((text or "").lower())
+    return " ".join([w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in words]).strip().encode()
 
 
 def learn(docs: DataFrame, id_col: str = "doc_id", text: str = "text", lang: str = "lang",
@@ -91,7 +92,7 @@ def compressors(dictionaries: dict[str, bytes]) -> list[tuple[str, object]]:
     import zstandard as z
 
     search = z.ZstdCompressionParameters.from_level(
-        3, strategy=z.STRATEGY_BTLAZY2, min_match=3, window_log=18, search_log=6, chain_log=18, hash_log=18,
+        3, strategy=z.STRATEGY_GREEDY, min_match=4, window_log=18, search_log=3, chain_log=17, hash_log=17,
         target_length=32, write_content_size=0, write_checksum=0, write_dict_id=0)
     out = []
     for name in sorted(dictionaries):
