@@ -51,6 +51,35 @@ def contains_any(text: Column, words) -> Column:
     return any_of([text.contains(w) for w in needed])
 
 
+class Phrases:
+    """Substring tests on a text for many phrases, most of which few texts hold.
+
+    Every phrase holds one of a few short needles. Each needle is searched once, in a column of its
+    own (``found``, to be staged beside the text), and a phrase only where its needle is.
+    """
+
+    def __init__(self, *groups):
+        phrases = list(dict.fromkeys(w for group in groups for w in group))
+        self.needles = [w for w in phrases if not any(o != w and o in w for o in phrases)]
+
+    def searched(self, text: Column) -> Column:
+        """One boolean per needle, to be staged as a column."""
+        return F.struct(*[text.contains(w).alias(f"n{i}") for i, w in enumerate(self.needles)])
+
+    def within(self, text: Column, found: Column):
+        """``test(words)``: whether the text holds any of them, given the staged ``found``."""
+        def test(words) -> Column:
+            under: dict[int, list[str]] = {}
+            for word in dict.fromkeys(words):
+                place = next(i for i, needle in enumerate(self.needles) if needle in word)
+                under.setdefault(place, []).append(word)
+            return any_of([
+                found[f"n{i}"] if self.needles[i] in held else found[f"n{i}"] & contains_any(text, held)
+                for i, held in under.items()])
+
+        return test
+
+
 def compare(value: Column, op: str, bound: float) -> Column:
     return {"<": value < bound, ">": value > bound,
             "<=": value <= bound, ">=": value >= bound}[op]

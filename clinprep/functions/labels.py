@@ -10,7 +10,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from clinprep import vocab
-from clinprep.functions.exprs import any_of, contains_any, first_match, lookup
+from clinprep.functions.exprs import Phrases, any_of, first_match, lookup
 
 
 def label_value(raw: Column) -> Column:
@@ -51,11 +51,18 @@ def _get(labels: Column, name: str) -> Column:
     return F.coalesce(F.try_element_at(labels, F.lit(name)), F.lit(0))
 
 
-def negation_conflicts(labels: Column, low: Column) -> Column:
-    """A positive label that the (lower-cased) text clearly denies becomes 0."""
+#: All phrases that the reconciliation of labels, the denials and the keywords look for.
+RECONCILING = Phrases(*vocab.CLEAR_NEGATIVES.values(), *vocab.CLEAR_POSITIVES.values(), vocab.FRACTURE_DENIALS, vocab.DEVICE_WORDS,
+                      vocab.FINDING_PRESENT_WORDS)
+DENYING = Phrases(*vocab.NEGATION_PATTERNS.values())
+KEYWORDS = Phrases([word for word, _ in vocab.KEYWORD_FINDINGS], [word for word, _ in vocab.KEYWORD_ICD])
+
+
+def negation_conflicts(labels: Column, holds) -> Column:
+    """A positive label that the text clearly denies becomes 0; ``holds(words)`` tests the lower-cased text."""
     def step(k, v):
         denied = first_match(
-            [(k == name, contains_any(low, words)) for name, words in vocab.NEGATION_PATTERNS.items()],
+            [(k == name, holds(words)) for name, words in vocab.NEGATION_PATTERNS.items()],
             F.lit(False),
         )
         return F.when((v == 1) & denied, F.lit(0)).otherwise(v)
@@ -71,10 +78,10 @@ def in_domain(value: Column) -> Column:
     return F.when(value.isin(-1, 0, 1), value).otherwise(-1)
 
 
-def reconciled_values(labels: Column, low: Column, negative_value: int = 0) -> dict[str, Column]:
+def reconciled_values(labels: Column, holds, negative_value: int = 0) -> dict[str, Column]:
     """New value of every label that the text can change (null where the label is absent).
 
-    A clear negative wins over a clear positive unless the label was uncertain.
+    ``holds(words)`` tests the lower-cased text. A clear negative wins over a clear positive unless the label was uncertain.
     """
     def current(name):
         return F.try_element_at(labels, F.lit(name))
@@ -83,18 +90,18 @@ def reconciled_values(labels: Column, low: Column, negative_value: int = 0) -> d
     for name, denials in vocab.CLEAR_NEGATIVES.items():
         v = current(name)
         out[name] = (
-            F.when(v.isin(0, 1) & contains_any(low, denials), F.lit(negative_value))
-            .when(v.isin(-1, 0) & contains_any(low, vocab.CLEAR_POSITIVES[name]), F.lit(1))
+            F.when(v.isin(0, 1) & holds(denials), F.lit(negative_value))
+            .when(v.isin(-1, 0) & holds(vocab.CLEAR_POSITIVES[name]), F.lit(1))
             .otherwise(v)
         )
     v = current("Fracture")
-    out["Fracture"] = F.when((v == 1) & contains_any(low, vocab.FRACTURE_DENIALS), 0).otherwise(v)
+    out["Fracture"] = F.when((v == 1) & holds(vocab.FRACTURE_DENIALS), 0).otherwise(v)
     v = current("Support Devices")
-    out["Support Devices"] = F.when((v == -1) & contains_any(low, vocab.DEVICE_WORDS), 1).otherwise(v)
+    out["Support Devices"] = F.when((v == -1) & holds(vocab.DEVICE_WORDS), 1).otherwise(v)
     return out
 
 
-def reconciled_no_finding(labels: Column, low: Column, others: Column) -> Column:
+def reconciled_no_finding(labels: Column, holds, others: Column) -> Column:
     """No Finding after all other labels (``others``, a map) are settled."""
     given = F.try_element_at(labels, F.lit("No Finding"))
     was_positive = F.exists(F.map_entries(labels),
@@ -105,7 +112,7 @@ def reconciled_no_finding(labels: Column, low: Column, others: Column) -> Column
         F.when(positive, F.lit(0))
         .when(clean, F.lit(1))
         .when((given == 1) & was_positive, F.lit(0))
-        .when((given == -1) & contains_any(low, vocab.FINDING_PRESENT_WORDS), F.lit(0))
+        .when((given == -1) & holds(vocab.FINDING_PRESENT_WORDS), F.lit(0))
         .otherwise(given)
     )
 
@@ -155,19 +162,19 @@ def icd_codes(conditions: Column, labels: Column) -> Column:
     return F.concat(from_conditions, from_findings)
 
 
-def keyword_findings(low: Column) -> dict[str, Column]:
+def keyword_findings(holds) -> dict[str, Column]:
     """Finding and whether any of its keywords is in the lower-cased impression (no negation)."""
     out: dict[str, list[str]] = {}
     for word, label in vocab.KEYWORD_FINDINGS:
         out.setdefault(label, []).append(word)
-    return {label: contains_any(low, words) for label, words in out.items()}
+    return {label: holds(words) for label, words in out.items()}
 
 
-def keyword_icd(low: Column) -> dict[str, Column]:
-    return {label: contains_any(low, [word]) for word, label in vocab.KEYWORD_ICD}
+def keyword_icd(holds) -> dict[str, Column]:
+    return {label: holds([word]) for word, label in vocab.KEYWORD_ICD}
 
 
-def apply_keywords(findings: Column, icd: Column, low: Column, stage: Column,
+def apply_keywords(findings: Column, icd: Column, low: Column, holds, stage: Column,
                    bnp: Column, crp: Column, admission_type: Column, device: Column,
                    bnp_limit: float = vocab.BNP_EDEMA,
                    crp_limit: float = vocab.CRP_PNEUMONIA) -> Column:
@@ -176,14 +183,14 @@ def apply_keywords(findings: Column, icd: Column, low: Column, stage: Column,
     false = F.lit(False)
     fluid = F.coalesce(is_b & (bnp != 0) & (bnp >= bnp_limit)
                        & F.lower(admission_type).contains("elective"), false)
-    infected = F.coalesce(is_b & (crp != 0) & (crp >= crp_limit) & low.contains("pneumonia"), false)
+    infected = F.coalesce(is_b & (crp != 0) & (crp >= crp_limit) & holds(["pneumonia"]), false)
     named_device = F.lower(F.coalesce(device, F.lit("")))
     on_device = is_b & ~named_device.isin("", "unknown", "room air", "none")
 
-    set_finding = dict(keyword_findings(low))
+    set_finding = dict(keyword_findings(holds))
     for name, test in (("Edema", fluid), ("Pleural Effusion", fluid), ("Support Devices", on_device)):
         set_finding[name] = any_of([set_finding[name], test])
-    set_icd = {name: is_b & test for name, test in keyword_icd(low).items()}
+    set_icd = {name: is_b & test for name, test in keyword_icd(holds).items()}
     for name, test in (("Pulmonary_Edema", fluid), ("Pleural_Effusion", fluid), ("Pneumonia", infected)):
         set_icd[name] = any_of([set_icd[name], test])
 

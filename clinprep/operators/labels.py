@@ -94,12 +94,13 @@ def keyword_labels(df: DataFrame, report: str = "impression", ehr: bool = True)
 
     With ``ehr`` the frame also has ``bnp``, ``crp``, ``admission_type`` and ``device``.
     """
-    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit(""))))
+    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit("")))).withColumn("_found", lb.KEYWORDS.searched(F.col("_low")))
+    holds = lb.KEYWORDS.within(F.col("_low"), F.col("_found"))
 
     def given(name, kind):
         return F.col(name) if ehr else F.lit(None).cast(kind)
 
     return staged.withColumn("_k", lb.apply_keywords(
-        F.col("findings"), F.col("icd"), F.col("_low"), F.col("stage"), given("bnp", "double"),
+        F.col("findings"), F.col("icd"), F.col("_low"), holds, F.col("stage"), given("bnp", "double"),
         given("crp", "double"), given("admission_type", "string"), given("device", "string"))
-    ).withColumn("findings", F.col("_k.findings")).withColumn("icd", F.col("_k.icd")).drop("_low", "_k")
+    ).withColumn("findings", F.col("_k.findings")).withColumn("icd", F.col("_k.icd")).drop("_low", "_found", "_k")

@@ -138,8 +138,9 @@ def reconcile_labels(df: DataFrame, labels: str = "chexpert_labels", report: str
     No Finding recomputed, values outside the domain to uncertain. A clear negative is
     written as ``negative_value``: 0, or -1 for the older meaning.
     """
-    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit(""))))
-    values = lb.reconciled_values(F.col(labels), F.col("_low"), negative_value)
+    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit("")))).withColumn("_found", lb.RECONCILING.searched(F.col("_low")))
+    holds = lb.RECONCILING.within(F.col("_low"), F.col("_found"))
+    values = lb.reconciled_values(F.col(labels), holds, negative_value)
     names = list(values)
     staged = staged.select("*", F.struct(*[v.alias(n) for n, v in values.items()]).alias("_new"))
     touched = F.map_from_entries(F.filter(
@@ -147,17 +148,17 @@ def reconcile_labels(df: DataFrame, labels: str = "chexpert_labels", report: str
         lambda e: e["value"].isNotNull()))
     rest = F.map_filter(labels, lambda k, _: ~k.isin([*names, "No Finding"]))
     staged = staged.withColumn("_others", F.map_concat(rest, touched))
-    value = lb.reconciled_no_finding(F.col(labels), F.col("_low"), F.col("_others"))
+    value = lb.reconciled_no_finding(F.col(labels), holds, F.col("_others"))
     staged = staged.withColumn("_nf", value)
     whole = F.when(F.col("_nf").isNull(), F.col("_others")).otherwise(
         F.map_concat("_others", F.create_map(F.lit("No Finding"), F.col("_nf"))))
     return staged.withColumn(labels, F.transform_values(whole, lambda _, v: lb.in_domain(v))).drop(
-        "_low", "_new", "_others", "_nf")
+        "_low", "_found", "_new", "_others", "_nf")
 
 
 def negate_contradictions(df: DataFrame, labels: str = "chexpert_labels", report: str = "impression") -> DataFrame:
-    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit(""))))
-    return staged.withColumn(labels, lb.negation_conflicts(F.col(labels), F.col("_low"))).drop("_low")
+    staged = df.withColumn("_low", F.lower(F.coalesce(report, F.lit("")))).withColumn("_found", lb.DENYING.searched(F.col("_low")))
+    return staged.withColumn(labels, lb.negation_conflicts(F.col(labels), lb.DENYING.within(F.col("_low"), F.col("_found")))).drop("_low", "_found")
 
 
 def settle_uncertain(df: DataFrame, labels: str = "chexpert_labels") -> DataFrame:
