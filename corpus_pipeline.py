@@ -13,6 +13,7 @@ from clinprep.llm import decontaminate, jaccard, language, mixing, packing
 from clinprep.llm.common import load, stored
 
 TOKENIZER = "piece_bpe_32k.model"
+LEAST_WORDS = 8  # of a benchmark item whose occurrence drops a document; shorter ones, such as an answer of one word, are everyday text
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,8 +27,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of a benchmark item."""
-    return decontaminate.clean_documents(docs, load(spark, sf_dir, "benchmark"))
+    """Documents without a passage of a benchmark item of ``LEAST_WORDS`` words or more."""
+    return decontaminate.clean_documents(docs, load(spark, sf_dir, "benchmark"), shortest=LEAST_WORDS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
