@@ -204,29 +204,34 @@ def _(spark, sf):
 
 # --- L10-L12 ------------------------------------------------------------------
 
-# some runs leave labels out
-KEPT = "(study_id + length(label) + run) % 4 <> 0"
-VOTED = f"""k AS (SELECT study_id, run, label, value FROM votes WHERE {KEPT} AND {{where}}), n AS (SELECT study_id, count(DISTINCT run) AS n FROM k GROUP BY 1)"""
+VOTED = """k AS (SELECT study_id, run, label, {value} AS value FROM votes WHERE {where}), n AS (SELECT study_id, count(DISTINCT run) AS n FROM k GROUP BY 1)"""
 TALLY = """SELECT k.study_id, label, CAST(CASE WHEN sum(CASE WHEN value > 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(any_value(n) * 0.34::DOUBLE)) THEN 1
            {negative} ELSE 0 END AS INT) AS value FROM k JOIN n ON k.study_id = n.study_id GROUP BY 1, 2"""
 NEGATIVE = "WHEN sum(CASE WHEN value < 0 THEN 1 ELSE 0 END) >= greatest(1, ceil(any_value(n) * 0.34::DOUBLE)) THEN -1"
+# labels that some runs leave out vote for nothing, but the runs count
+LEFT_OUT = "CASE WHEN (study_id + length(label) + run) % 4 <> 0 THEN value END"
 
 
-@check("L10_finding_votes", views=("votes",), sql=f"WITH {VOTED.format(where='true')} {TALLY.format(negative=NEGATIVE)}")
+@check("L10_finding_votes", views=("votes",), sql=f"WITH {VOTED.format(value='value', where='true')} {TALLY.format(negative=NEGATIVE)}")
 def _(spark, sf):
-    return labels.aggregate_votes(view(spark, sf, "votes").where(KEPT).drop("stage"))
+    return labels.aggregate_votes(view(spark, sf, "votes").drop("stage"))
 
 
-@check("L10_icd_votes", views=("votes",), sql=f"WITH {VOTED.format(where='true')} {TALLY.format(negative='')}")
+@check("L10_icd_votes", views=("votes",), sql=f"WITH {VOTED.format(value='value', where='true')} {TALLY.format(negative='')}")
 def _(spark, sf):
-    return labels.aggregate_votes(view(spark, sf, "votes").where(KEPT).drop("stage"), negative_share=None)
+    return labels.aggregate_votes(view(spark, sf, "votes").drop("stage"), negative_share=None)
+
+
+@check("L10_absent_labels", views=("votes",), sql=f"WITH {VOTED.format(value=LEFT_OUT, where='true')} {TALLY.format(negative=NEGATIVE)}")
+def _(spark, sf):
+    return labels.aggregate_votes(view(spark, sf, "votes").withColumn("value", F.expr(LEFT_OUT)).drop("stage"))
 
 
 @check("L10_vote_fallback", views=("votes", "finding_rows"), sql=f"""
-    WITH {VOTED.format(where="stage = 'A'")} {TALLY.format(negative=NEGATIVE)}
+    WITH {VOTED.format(value='value', where="stage = 'A'")} {TALLY.format(negative=NEGATIVE)}
     UNION ALL SELECT study_id, label, value FROM finding_rows WHERE study_id NOT IN (SELECT study_id FROM k)""")
 def _(spark, sf):
-    voted = labels.aggregate_votes(view(spark, sf, "votes").where(f"{KEPT} AND stage = 'A'").drop("stage"))
+    voted = labels.aggregate_votes(view(spark, sf, "votes").where("stage = 'A'").drop("stage"))
     rows = view(spark, sf, "finding_rows")
     return labels.votes_or_fallback(rows.select("study_id").distinct(), voted, rows)
 

@@ -91,27 +91,31 @@ def _(spark, sf):
 
 
 @check("T9_ehr_fields", views=RECORD_VIEWS, sql="""
-    SELECT study_id, age, sex, n_vitals, n_labs, o2 IS NOT NULL AS has_o2 FROM rec WHERE age IS NOT NULL""")
+    SELECT study_id, age, CASE WHEN age IS NOT NULL THEN sex END AS sex, CASE WHEN age IS NOT NULL THEN n_vitals END AS n_vitals,
+           CASE WHEN age IS NOT NULL THEN n_labs END AS n_labs, age IS NOT NULL AND o2 IS NOT NULL AS has_o2 FROM rec""")
 def _(spark, sf):
-    picked = pick_ehr_fields(records(spark, sf).where("patient_data IS NOT NULL"))
+    picked = pick_ehr_fields(records(spark, sf))
     whole = F.from_json("ehr", "Age int, Sex string, Vitals map<string,string>, Labs map<string,string>, O2_device string, hadm_id long")
     e = picked.select("study_id", whole.alias("e"))
     return e.where("e.hadm_id IS NULL").select(
-        "study_id", F.col("e.Age").alias("age"), F.col("e.Sex").alias("sex"), F.size("e.Vitals").cast("int").alias("n_vitals"),
-        F.size("e.Labs").cast("int").alias("n_labs"), F.col("e.O2_device").isNotNull().alias("has_o2"))
+        "study_id", F.col("e.Age").alias("age"), F.col("e.Sex").alias("sex"),
+        F.size("e.Vitals").cast("int").alias("n_vitals"), F.size("e.Labs").cast("int").alias("n_labs"),
+        F.col("e.O2_device").isNotNull().alias("has_o2"))
 
 
 @check("T10_compact_ehr", views=RECORD_VIEWS, sql="""
     SELECT r.study_id, v.short AS name, v.value, NULL::VARCHAR AS unit FROM rec r JOIN rec_vitals v ON r.study_id = v.study_id
-    UNION ALL SELECT r.study_id, l.lab, l.value, l.unit FROM rec r JOIN rec_labs l ON r.study_id = l.study_id""")
+    UNION ALL SELECT r.study_id, l.lab, l.value, l.unit FROM rec r JOIN rec_labs l ON r.study_id = l.study_id
+    UNION ALL SELECT study_id, 'no patient data', NULL, NULL FROM rec WHERE age IS NULL""")
 def _(spark, sf):
-    out = compact_ehr(records(spark, sf).where("patient_data IS NOT NULL"))
+    out = compact_ehr(records(spark, sf))
     whole = F.from_json("ehr_context", "Vitals map<string,double>, Labs map<string,struct<value:double,unit:string>>")
     e = out.select("study_id", whole.alias("e"))
     none = F.lit(None).cast("string")
     vitals = e.select("study_id", F.explode("e.Vitals").alias("name", "value"), none.alias("unit"))
     labs = e.select("study_id", F.explode("e.Labs").alias("name", "v")).select("study_id", "name", "v.value", "v.unit")
-    return vitals.unionByName(labs)
+    without = out.where("ehr_context = '{}'").select("study_id", F.lit("no patient data").alias("name"), F.lit(None).cast("double").alias("value"), none.alias("unit"))
+    return vitals.unionByName(labs).unionByName(without)
 
 
 _FINDINGS_JSON = " || ', ' || ".join(

@@ -16,6 +16,8 @@ from clinprep.functions.text import collapse_blanks, strip
 
 # --- predictions --------------------------------------------------------------
 
+MAX_RUNS = 1000  # each study is repeated for each run
+
 
 def attach_truth(truth: DataFrame, predictions: DataFrame, names: list[str], runs: list | None = None,
                  eligible: bool = False, pred: str = "value") -> DataFrame:
@@ -25,14 +27,16 @@ def attach_truth(truth: DataFrame, predictions: DataFrame, names: list[str], run
     run, label, value``). Both are brought to one map per study first, bounded by ``names``, so
     a label or a whole study without a prediction stays, with a null ``pred``. ``eligible``
     keeps only studies with some label on both sides. Without ``runs`` those of the
-    predictions are taken.
+    predictions are taken; more than ``MAX_RUNS`` are an error.
     """
     def as_map(rows: DataFrame, keys: list[str], value: str, out: str) -> DataFrame:
         known = rows.where(F.col("label").isin(names)).groupBy(*keys, "label").agg(F.max(value).alias("_v"))
         return known.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("label", "_v"))).alias(out))
 
     if runs is None:
-        runs = sorted(r.run for r in predictions.select("run").distinct().limit(1000).collect())
+        runs = sorted(r.run for r in predictions.select("run").distinct().limit(MAX_RUNS + 1).collect())
+    if len(runs) > MAX_RUNS:
+        raise ValueError(f"more than {MAX_RUNS} runs; pass them in parts")
     studies = truth.groupBy("study_id").agg(F.min("stage").alias("stage")).join(
         as_map(truth, ["study_id"], "truth", "_truth"), "study_id", "left")
     wanted = studies.withColumn("run", F.explode(F.array(*[F.lit(r) for r in runs])))

@@ -48,13 +48,16 @@ def field_names(df: DataFrame, path: str) -> list[str]:
 # --- text assembly ------------------------------------------------------------
 
 def pick_ehr_fields(df: DataFrame, out: str = "ehr") -> DataFrame:
-    """The patient fields meant for the prompt, as JSON."""
+    """The patient fields meant for the prompt, as JSON; an empty object without patient data."""
     have = [c for c in vocab.EHR_FIELDS if c in field_names(df, "patient_data")]
     return df.withColumn(out, F.to_json(F.struct(*[F.col(f"patient_data.{c}").alias(c) for c in have])))
 
 
 def compact_ehr(df: DataFrame, out: str = "ehr_context") -> DataFrame:
-    """Short vital names, labs under their canonical name with unit, time offsets if known."""
+    """Short vital names, labs under their canonical name with unit, time offsets if known.
+
+    Without patient data it is an empty object.
+    """
     p = F.col("patient_data")
     vital_fields, lab_fields = field_names(df, "patient_data.Vitals"), field_names(df, "patient_data.Labs")
     named = F.filter(
