@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from checks.bindings import view
+from checks.labels import L3_CASES, _l4_sql
 from checks.records import RECORD_VIEWS, records
 from checks.registry import check
+from checks.text import IMPRESSION_SQL
 from clinprep import vocab
 from clinprep.operators import correct, profile
 from clinprep.operators import records as rec
@@ -306,3 +308,80 @@ def _(spark, sf):
     out = passes.full_pass(records(spark, sf))
     return out.select("study_id", "stage", F.to_json("patient_data").alias("patient_data"),
                       F.to_json("icd_labels").alias("icd_labels"), F.to_json("data_quality").alias("data_quality"))
+
+
+# the full pass in long form: what each step leaves of labs, vitals, labels, codes and the record
+
+PASS_SQL = f"""
+    WITH canon AS (SELECT * FROM (VALUES {_CANON}) AS t(pos, name, canonical_name, target, low, high)),
+    kept AS (SELECT r.study_id, r.lab, r.value, r.unit, c.low, c.high FROM rec_labs r JOIN canon c ON c.name = r.lab
+             WHERE NOT (lab = 'PT' AND value NOT BETWEEN 5 AND 50) AND NOT (lab = 'BUN' AND value > 200) AND NOT (lab = 'BNP' AND value > 100000)),
+    pt AS (SELECT study_id, value AS pt FROM kept WHERE lab = 'PT'),
+    lab AS (SELECT k.*, value BETWEEN low AND high AS normal_range, value < low - 0.5 * (high - low) OR value > high + 0.5 * (high - low) AS suspect
+            FROM kept k LEFT JOIN pt ON k.study_id = pt.study_id
+            WHERE NOT (lab = 'BNP' AND value = 100000) AND NOT (lab = 'BUN' AND value = 200) AND NOT (lab = 'INR' AND value > 5 AND coalesce(pt, 0) > 30)),
+    staged AS (SELECT *, CASE WHEN stage = 'B' AND NOT (hadm_id IS NOT NULL AND age IS NOT NULL AND n_labs + n_vitals > 0) THEN 'A' ELSE stage END AS by_content FROM rec),
+    done AS (SELECT *, CASE WHEN age IS NOT NULL AND by_content = 'A' THEN 'B' WHEN age IS NULL AND by_content = 'B' THEN 'A' ELSE by_content END AS last_stage FROM staged)"""
+_LABELS_SQL = f"""
+    WITH first AS ({_l4_sql(0)}), {IMPRESSION_SQL},
+    told AS (SELECT f.study_id, label, value, lower(coalesce(impression, '')) AS low FROM first f JOIN imp i ON f.study_id = i.study_id),
+    denied AS (SELECT study_id, label, CASE {L3_CASES} ELSE value END AS value FROM told)"""
+
+
+def full(spark, sf):
+    # stored, so that Spark does not copy the pass into the filters of each explode
+    return files.stored(passes.full_pass(records(spark, sf)), "passed")
+
+
+@check("C20_full_pass_labs", views=RECORD_VIEWS, sql=f"""{PASS_SQL}
+    SELECT study_id, lab, value, unit, low, high, normal_range, suspect, -4.0::DOUBLE AS delta_hours FROM lab""")
+def _(spark, sf):
+    rows = full(spark, sf).select("study_id", F.explode("patient_data.Labs").alias("lab", "v"))
+    return rows.select("study_id", "lab", "v.value", "v.unit", F.col("v.ref_low").alias("low"), F.col("v.ref_high").alias("high"), "v.normal_range",
+                       F.col("v.value_is_suspect").alias("suspect"), "v.delta_hours")
+
+
+@check("C20_full_pass_vitals", views=RECORD_VIEWS, sql=f"""
+    WITH {REC_WIDE}, m AS (SELECT *, cm * 0.01::DOUBLE AS m, kg * 0.453592::DOUBLE AS real_kg FROM w),
+    v AS (SELECT study_id, 'temperature_c' AS vital, round((f - 32) * 5 / 9, 1) AS value, '°C' AS unit FROM m
+          UNION ALL SELECT study_id, 'height', round(m, 6), 'm' FROM m UNION ALL SELECT study_id, 'weight', round(real_kg, 6), 'kg' FROM m
+          UNION ALL SELECT study_id, 'BMI', round(real_kg / (m * m), 2), 'kg/m²' FROM m
+          UNION ALL SELECT study_id, vital, value, unit FROM rec_vitals WHERE vital = 'respiratory_rate' AND value <> 0)
+    SELECT *, CASE WHEN vital = 'BMI' THEN 'recalculated' END AS source, -2.0::DOUBLE AS delta_hours FROM v""")
+def _(spark, sf):
+    rows = full(spark, sf).select("study_id", F.explode("patient_data.Vitals").alias("vital", "v"))
+    return rows.select("study_id", "vital", F.round("v.value", 6).alias("value"), "v.unit", "v.source", "v.delta_hours")
+
+
+@check("C20_full_pass_labels", views=("reports", "finding_rows"), sql=f"""{_LABELS_SQL}
+    SELECT study_id, label, CASE WHEN value = -1 THEN 0 ELSE value END::INT AS value FROM denied""")
+def _(spark, sf):
+    return full(spark, sf).select("study_id", F.explode("chexpert_labels").alias("label", "value"))
+
+
+@check("C20_full_pass_codes", views=RECORD_VIEWS + ("reports", "finding_rows"), sql=f"""{PASS_SQL}, l AS ({_LABELS_SQL} SELECT * FROM denied),
+    c AS (SELECT study_id, CASE condition WHEN 'hypertension' THEN 'I10' ELSE 'E11.9' END AS code, condition AS description, 0.8::DOUBLE AS confidence
+          FROM done WHERE last_stage = 'B' AND age IS NOT NULL AND condition IN ('hypertension', 'diabetes')
+          UNION ALL
+          SELECT d.study_id, CASE label WHEN 'Pneumonia' THEN 'J18.9' WHEN 'Pleural Effusion' THEN 'J94.8' WHEN 'Pneumothorax' THEN 'J93.9' ELSE 'J81.1' END,
+                 CASE label WHEN 'Pleural Effusion' THEN 'Pleural effusion' WHEN 'Edema' THEN 'Pulmonary edema' ELSE label END,
+                 CASE label WHEN 'Edema' THEN 0.8::DOUBLE ELSE 0.9::DOUBLE END
+          FROM done d JOIN l ON d.study_id = l.study_id
+          WHERE d.last_stage = 'B' AND l.value = 1 AND label IN ('Pneumonia', 'Pleural Effusion', 'Pneumothorax', 'Edema'))
+    SELECT * FROM c""")
+def _(spark, sf):
+    return full(spark, sf).select("study_id", F.explode("icd_labels").alias("c")).select("study_id", "c.code", "c.description", "c.confidence")
+
+
+@check("C20_full_pass_records", views=RECORD_VIEWS, sql=f"""{PASS_SQL}, s AS (SELECT study_id, bool_or(suspect) AS suspect FROM lab GROUP BY 1)
+    SELECT d.study_id, last_stage AS stage, age, CASE WHEN age IS NOT NULL THEN sex END AS sex, CASE WHEN age IS NOT NULL THEN hadm_id END AS hadm_id,
+           CASE WHEN age IS NOT NULL THEN condition END AS condition, CASE WHEN age IS NOT NULL THEN CASE WHEN o2 = 'bipap: 40' THEN 'BiPAP' ELSE 'unknown' END END AS device,
+           CASE WHEN age IS NOT NULL AND o2 = 'nc: 2' THEN 2.0::DOUBLE END AS flow_lpm, CASE WHEN age IS NOT NULL AND o2 = 'bipap: 40' THEN 0.4::DOUBLE END AS fio2,
+           age IS NOT NULL AS has_ehr_data, coalesce(s.suspect, false) AS has_suspect_values
+    FROM done d LEFT JOIN s ON d.study_id = s.study_id""")
+def _(spark, sf):
+    p, q = F.col("patient_data"), F.col("data_quality")
+    return full(spark, sf).select(
+        "study_id", "stage", p["Age"].alias("age"), p["Sex"].alias("sex"), p["hadm_id"].alias("hadm_id"), F.get(p["Chronic_conditions"], 0).alias("condition"),
+        p["O2_device"]["device"].alias("device"), p["O2_device"]["flow_lpm"].alias("flow_lpm"), p["O2_device"]["fio2"].alias("fio2"),
+        q["has_ehr_data"].alias("has_ehr_data"), q["has_suspect_values"].alias("has_suspect_values"))

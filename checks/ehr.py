@@ -312,9 +312,8 @@ FLAG_NAMES = [*vocab.ACUTE_CODES, *vocab.CHRONIC_CODES]
     SELECT DISTINCT d.hadm_id, d.icd_code, g.condition FROM diagnoses d JOIN g
     ON starts_with(replace(d.icd_code, '.', ''), replace(g.prefix, '.', ''))""")
 def _(spark, sf):
-    tests = measure.code_groups(F.col("icd_code"), {**vocab.ACUTE_CODES, **vocab.CHRONIC_CODES})
-    hits = F.array_compact(F.array(*[F.when(t, F.lit(n)) for n, t in tests.items()]))
-    return view(spark, sf, "diagnoses").select("hadm_id", "icd_code", F.explode(hits).alias("condition")).distinct()
+    hits = F.array_compact(F.array(*[F.when(ehr.has_condition(F.col("conditions"), i), F.lit(n)) for i, n in enumerate(ehr.condition_names())]))
+    return ehr.condition_masks(view(spark, sf, "diagnoses")).select("hadm_id", "icd_code", F.explode(hits).alias("condition")).distinct()
 
 
 def _flags_sql(clean: str) -> str:

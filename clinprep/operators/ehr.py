@@ -10,13 +10,15 @@ Canonical form is long (one row per measurement); nested maps are built only in
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from clinprep import vocab
 from clinprep.functions import measure
 from clinprep.functions.exprs import decode, literal_map, micros, vocabulary_join
-from clinprep.operators.scaling import last_in_window, salted_join
+from clinprep.operators.scaling import last_in_window, once_per_value, salted_join
 
 SECOND = 1_000_000  # positions are microseconds
 DAY = 86_400 * SECOND
@@ -224,17 +226,31 @@ def latest_oxygen(events: DataFrame, keys: list[str], tie: str) -> DataFrame:
         F.max_by(text, F.struct("charttime", tie)).alias("o2_device"))
 
 
-def condition_flags(diagnoses: DataFrame, keys: list[str], strip_dots: bool = True) -> DataFrame:
-    """One boolean per condition and key: any code starts with a prefix of its group."""
+def condition_masks(diagnoses: DataFrame, strip_dots: bool = True, out: str = "conditions") -> DataFrame:
+    """Conditions of each code as bits, in the order of ``condition_names``; each code is looked at once."""
     groups = {**vocab.ACUTE_CODES, **vocab.CHRONIC_CODES}
     tests = measure.code_groups(F.col("icd_code"), groups, strip_dots)
-    return diagnoses.groupBy(*keys).agg(
-        *[F.coalesce(F.bool_or(test), F.lit(False)).alias(name) for name, test in tests.items()])
+    mask = reduce(lambda a, b: a.bitwiseOR(b), [F.when(test, F.lit(1 << i)).otherwise(F.lit(0)).cast("long") for i, test in enumerate(tests.values())])
+    return once_per_value(diagnoses, "icd_code", {out: mask})
+
+
+def condition_names() -> list[str]:
+    return [*vocab.ACUTE_CODES, *vocab.CHRONIC_CODES]
+
+
+def has_condition(mask: Column, i: int) -> Column:
+    return F.coalesce(mask.bitwiseAND(F.lit(1 << i).cast("long")) != 0, F.lit(False))
+
+
+def condition_flags(diagnoses: DataFrame, keys: list[str], strip_dots: bool = True) -> DataFrame:
+    """One boolean per condition and key: any code starts with a prefix of its group."""
+    masks = condition_masks(diagnoses.select(*keys, "icd_code"), strip_dots, "_mask").groupBy(*keys).agg(F.bit_or("_mask").alias("_mask"))
+    return masks.select(*keys, *[has_condition(F.col("_mask"), i).alias(name) for i, name in enumerate(condition_names())])
 
 
 def with_condition_flags(df: DataFrame, flags: DataFrame, key: str, spread: list[str]) -> DataFrame:
     """Attach flags; all are false where there is no admission or no code."""
-    names = [*vocab.ACUTE_CODES, *vocab.CHRONIC_CODES]
+    names = condition_names()
     joined = salted_join(df, flags, key, spread, "left")
     return joined.select(*df.columns, *[F.coalesce(F.col(n), F.lit(False)).alias(n) for n in names])
 

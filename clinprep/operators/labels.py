@@ -9,6 +9,7 @@ from clinprep import vocab
 from clinprep.functions import labels as lb
 from clinprep.functions import measure
 from clinprep.operators.corpus import last_record
+from clinprep.operators.scaling import once_per_value
 
 
 def label_table(wide: DataFrame, label_columns: list[str], id_col: str = "study_id",
@@ -82,9 +83,11 @@ def votes_or_fallback(studies: DataFrame, voted: DataFrame, fallback: DataFrame)
 
 
 def icd_classes(codes: DataFrame, key: str, match: str = "prefix", min_confidence: float = 0.5) -> DataFrame:
-    """0/1 per ICD class and key from a code table; fixed columns, one aggregation."""
-    confidence = F.col("confidence") if match == "fragment" else None
-    found = codes.select(key, measure.icd_class(F.col("icd_code"), confidence, match, min_confidence).alias("icd"))
+    """0/1 per ICD class and key from a code table; each code is classed once, then one aggregation."""
+    rows = codes.select(key, "icd_code", *(["confidence"] if match == "fragment" else []))
+    found = once_per_value(rows, "icd_code", {"icd": measure.icd_class(F.col("icd_code"), match=match)})
+    if match == "fragment":
+        found = found.withColumn("icd", F.when(F.col("confidence") > min_confidence, F.col("icd")))
     return found.groupBy(key).agg(*[
         F.coalesce(F.max((F.col("icd") == c).cast("int")), F.lit(0)).alias(c) for c in vocab.ICD_CLASSES])
 

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from clinprep.functions.exprs import let, seeded_hash
+from clinprep.sources.files import stored
 
 SALTS = 64  # parts of a hot key; pass more for clusters of more than some thousand cores
 HOT_SHARE, HOT_ROWS = 0.01, 10_000  # a key with more than this share of the rows, and so many rows, is hot
@@ -160,6 +161,21 @@ def hot_aware_join(many: DataFrame, one: DataFrame, key: str, rows: Column, spre
     )
 
 
+def once_per_value(df: DataFrame, column: str, values: dict[str, Column], most: int = 200_000) -> DataFrame:
+    """``df`` with columns that depend on ``column`` alone, worked out once for each different value.
+
+    The different values make a table of their own, which is broadcast up to ``most`` rows
+    (counted); beyond that it is joined, with the rows of frequent values spread. The columns
+    are null where ``column`` is.
+    """
+    table = stored(df.where(F.col(column).isNotNull()).select(column).distinct().select(column, *[v.alias(n) for n, v in values.items()]), "values")
+    if table.count() <= most:
+        joined = df.join(F.broadcast(table), column, "left")
+    else:
+        joined = salted_join(df, table, column, [c for c in df.columns if c != column] or [column], "left")
+    return joined.select(*df.columns, *values)
+
+
 def share_count(df: DataFrame, share: float) -> int:
     """``floor(share * n)`` of the frame (nudged against binary error)."""
     return floor(share * df.count() + 1e-9)

@@ -123,3 +123,33 @@ def test_draws_against_a_plain_search(spark, weights):
 def test_draws_from_nothing(spark):
     items = spark.createDataFrame([], "k long, weight double")
     assert [r.k for r in corpus.weighted_draws(items, "k", uniform_draws(spark, 3)).collect()] == [None] * 3
+
+
+@pytest.mark.parametrize("most", [0, 200_000])
+def test_codes_are_looked_at_once(spark, most):
+    """Broadcast or joined, with a hot code and codes that are null."""
+    rows = spark.range(30_000).select("id", F.when(F.col("id") % 3 == 0, "hot").when(F.col("id") % 7 == 0, None).otherwise(
+        (F.col("id") % 50).cast("string")).alias("code"))
+    looked = spark.sparkContext.accumulator(0)
+
+    @F.udf("int")
+    def length(code):
+        looked.add(1)
+        return len(code)
+
+    got = scaling.once_per_value(rows, "code", {"n": length(F.col("code"))}, most=most)
+    assert got.columns == ["id", "code", "n"] and got.count() == 30_000
+    assert got.where("n is distinct from length(code)").count() == 0
+    assert looked.value <= 51
+
+
+def test_flags_of_codes(spark):
+    from clinprep import vocab
+    from clinprep.operators import ehr, labels
+
+    name, prefixes = next(iter(vocab.ACUTE_CODES.items()))
+    rows = spark.createDataFrame([(1, prefixes[0] + "9"), (1, None), (2, None), (3, "ZZZ"), (3, " " + prefixes[-1])], "hadm_id long, icd_code string")
+    got = {r.hadm_id: r.asDict() for r in ehr.condition_flags(rows, ["hadm_id"]).collect()}
+    assert got[1][name] and got[3][name] and not any(v for k, v in got[2].items() if k != "hadm_id")
+    prefix, kind = vocab.ICD_PREFIX_CLASS[0]
+    assert labels.icd_classes(rows.unionByName(spark.createDataFrame([(4, prefix.lower())], rows.schema)), "hadm_id").where(f"hadm_id = 4 and {kind} = 1").count() == 1
