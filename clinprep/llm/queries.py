@@ -89,7 +89,7 @@ def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         return F.size(F.filter(plain, lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     return found.select("doc_id", *map(count, secrets.KINDS), F.sha2(joined(plain), 256).alias("base_sha256"),
-                        joined(F.col("spans")).alias("spans"), "n_layers", "n_oversized")
+                        joined(F.col("spans")).alias("spans"), "n_layers")
 
 
 @query("op7_pack_tokens")
