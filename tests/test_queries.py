@@ -17,6 +17,7 @@ SOME = [
     "L1_label_normalization", "L4_label_reconciliation", "L10_finding_votes", "C4_canonical_contains",
     "C7_canonical_labs", "C12_sentinel_labs", "W3_patient_split", "W8_epoch_mix", "W10_row_weights",
     "Q3_lab_issues", "V2_parse_object", "V5_rouge", "V7_bleu", "V8_micro_scores", "S7_eval_manifest",
+    "S4_map_document", "W12_weighted_draws", "W13_batches", "L7_icd_classes", "C20_full_pass_records",
 ]
 NAMES = list(entry.queries()) if os.environ.get("ALL_QUERIES") else SOME
 
