@@ -226,6 +226,8 @@ def split(rows: DataFrame, threshold: float) -> DataFrame:
 
 def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame:
     """``group, key``: groups of nodes to compare."""
+    import pyarrow as pa
+
     roots = F.array(*[F.lit(int(r)) for r in mix64(np.arange(1, runs + 1, dtype=np.uint64)).astype(np.int64)])
     rows = nodes.select(F.explode(roots).alias("bucket"), F.lit(1 << 62).alias("size"), "key", "values")
     small, dense = [], []
@@ -249,7 +251,7 @@ def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame
         def found():
             for _, members in sorted_groups(batches, 1):
                 keys = [m[0] for m in members]
-                marks = np.frombuffer(b"".join(m[1] for m in members), np.uint32).astype(np.uint8).reshape(len(keys), -1)
+                marks = np.frombuffer(b"".join(m[1] for m in members), np.uint8).reshape(len(keys), -1)
                 linked = np.stack([(marks == one).sum(axis=1) for one in marks]) >= least
                 np.fill_diagonal(linked, False)
                 root = local_roots(linked)
@@ -260,9 +262,18 @@ def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame
 
         yield from in_batches(found(), arrow_schema(schema))
 
-    sifted = (leaves.select("bucket", "key").join(nodes.select("key", "values"), "key").select("bucket", "key", "values")
+    def low_bytes(batches):
+        for batch in batches:
+            marks = [np.frombuffer(v, np.uint32).astype(np.uint8).tobytes() for v in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(marks, pa.binary())], names=["key", "marks"])
+
+    marked = nodes.select("key", "values").mapInArrow(low_bytes, "key binary, marks binary")
+    sifted = (leaves.select("bucket", "key").join(marked, "key").select("bucket", "key", "marks")
               .repartition("bucket").sortWithinPartitions("bucket", "key").mapInArrow(sift, schema))
-    return sifted.unionByName(rest.select(F.col("bucket").alias("group"), "key")).distinct()
+    # a dense bucket that several runs find with the same members is one group
+    digest = F.xxhash64(F.count("*"), F.bit_xor(F.xxhash64("key")), F.bit_xor(F.xxhash64(F.lit(1), "key")))
+    named = rest.select("bucket", "key").join(rest.groupBy("bucket").agg(digest.alias("group")), "bucket").select("group", "key")
+    return sifted.unionByName(named).distinct()
 
 
 def compare(groups: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text: str, size: int, threshold: float) -> DataFrame:
