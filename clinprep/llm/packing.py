@@ -37,7 +37,7 @@ GROUP_TOKENS = 4 << 20  # tokens that a task packs together
 ROWS_OUT = 256
 SPACE = "▁"
 STRETCH = re.compile(f"{SPACE}+[^{SPACE}]*")
-REMEMBERED = 300_000
+REMEMBERED = 420_000
 
 
 class PieceEncoder:
