@@ -299,23 +299,34 @@ def _weight_spans(items: DataFrame, id_col: str, seed: int, digits: int) -> tupl
 
     ``_end`` is where the next item begins, so that spans of doubles leave no gap.
     """
-    spread = items.withColumn("_order", seeded_hash(seed, id_col)).withColumn("_bucket", F.substring("_order", 1, digits))
-    sums = spread.groupBy("_bucket").agg(F.sum("weight").alias("_w"))
+    # a weight is cut at a fixed binary place: sums of the upper parts are exact, whatever their
+    # order, and those of the lower parts too small for their rounding to matter
+    size = F.pow(F.lit(2.0), F.ceil(F.log2(scalar(items, F.sum("weight")))) + 1)
+    parts = items.withColumn("_size", size).withColumn("_high", (F.col("weight") + F.col("_size")) - F.col("_size")).withColumn(
+        "_low", F.col("weight") - F.col("_high")).drop("_size")
+    spread = parts.withColumn("_order", seeded_hash(seed, id_col)).withColumn("_bucket", F.substring("_order", 1, digits))
+    sums = spread.groupBy("_bucket").agg(F.sum("_high").alias("_high"), F.sum("_low").alias("_low"))
     upto = Window.partitionBy(F.lit(1)).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    total = scalar(items, F.sum("weight"))
-    running = sums.select("_bucket", F.sum("_w").over(upto).alias("_to"))
+    total = scalar(parts, F.sum("_high") + F.sum("_low"))
+    running = sums.select("_bucket", F.sum("_high").over(upto).alias("_to_high"), F.sum("_low").over(upto).alias("_to_low"))
     next_bucket = Window.partitionBy(F.lit(1)).orderBy("_bucket")
     buckets = running.select(
-        "_bucket", F.lag("_to", 1, 0.0).over(next_bucket).alias("_before"),
-        F.when(F.lead("_bucket").over(next_bucket).isNull(), 1.0).otherwise(F.col("_to") / total).alias("_stop")).withColumn("_start", F.col("_before") / total)
+        "_bucket", F.lag("_to_high", 1, 0.0).over(next_bucket).alias("_before_high"), F.lag("_to_low", 1, 0.0).over(next_bucket).alias("_before_low"),
+        F.when(F.lead("_bucket").over(next_bucket).isNull(), 1.0).otherwise((F.col("_to_high") + F.col("_to_low")) / total).alias("_stop")).withColumn(
+        "_start", (F.col("_before_high") + F.col("_before_low")) / total)
     inside = Window.partitionBy("_bucket").orderBy("_order", id_col)
-    sofar = F.sum("weight").over(inside.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    summed = spread.withColumn("_upto", sofar).withColumn("_from", F.lag("_upto", 1, 0.0).over(inside)).withColumn(
-        "_last", F.lead("_upto").over(inside).isNull())
+    sofar = inside.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    summed = spread.withColumns({"_upto_high": F.sum("_high").over(sofar), "_upto_low": F.sum("_low").over(sofar)}).withColumns({
+        "_from_high": F.lag("_upto_high", 1, 0.0).over(inside), "_from_low": F.lag("_upto_low", 1, 0.0).over(inside),
+        "_last": F.lead("_upto_high").over(inside).isNull()})
     spans = summed.join(F.broadcast(buckets) if digits <= 4 else buckets, "_bucket")
-    high = (F.col("_before") + F.col("_upto")) / total
-    return spans.withColumn("low", (F.col("_before") + F.col("_from")) / total).withColumn("high", high).withColumn(
-        "_end", F.when(F.col("_last"), F.col("_stop")).otherwise(F.col("high"))).drop("_order", "_upto", "_from", "_last", "_before", "_start", "_stop"), buckets
+
+    def place(at: str) -> Column:
+        return ((F.col("_before_high") + F.col(f"{at}_high")) + (F.col("_before_low") + F.col(f"{at}_low"))) / total
+
+    return spans.withColumn("low", place("_from")).withColumn("high", place("_upto")).withColumn(
+        "_end", F.when(F.col("_last"), F.col("_stop")).otherwise(F.col("high"))).select(
+        *items.columns, "_bucket", "low", "high", "_end"), buckets
 
 
 #: Draws, and items, that a cell of ``weighted_draws`` holds, on average.
