@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -59,12 +60,11 @@ def _round_trip(spark, sf):
 def _(spark, sf):
     path = scratch_dir(spark, "reports")
     # one text file per report
-    view(spark, sf, "reports").select("report").repartition(8).write.option("maxRecordsPerFile", 1).text(f"{path}/p10")
+    files.write_reports(view(spark, sf, "reports").select("report"), f"{path}/p10")
     got = files.read_reports(spark, path)
     stem = F.concat("study_id", F.lit(".txt")) == F.substring_index("source_file", "/", -1)
-    # the key names one report
-    keys = got.groupBy("study_id").agg(F.count("*").alias("n_of_key"))
-    return got.withColumn("stem_is_key", stem).join(keys, "study_id").select(
+    # the key names one report; the files are read once
+    return got.withColumn("stem_is_key", stem).withColumn("n_of_key", F.count("*").over(Window.partitionBy("study_id"))).select(
         F.regexp_replace("report", r"\n\z", "").alias("report"), "stem_is_key", "n_of_key")
 
 

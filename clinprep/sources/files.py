@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyarrow.fs import FileSystem
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -127,6 +130,29 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
                       F.col("path").alias("source_file"))
 
 
+def write_reports(reports: DataFrame, folder: str, per_folder: int = 1000) -> None:
+    """One ``*.txt`` file per row of the one text column, with a line break at its end, in folders of ``per_folder``.
+
+    Tasks write through ``pyarrow.fs``: Spark's writer opens every file with a permission, for which
+    Hadoop's local file system starts a process. Names follow the place of a row, so a task
+    that runs again replaces its own files.
+    """
+    def write(batches):
+        task, n = TaskContext.get().partitionId(), 0
+        system, root = FileSystem.from_uri(folder)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                inside = f"{root}/p{task:05d}/{n // per_folder:05d}"
+                if n % per_folder == 0:
+                    system.create_dir(inside)
+                with system.open_output_stream(f"{inside}/s{task:05d}_{n:08d}.txt") as out:
+                    out.write(((text or "") + "\n").encode())
+                n += 1
+        yield pa.record_batch({"files": pa.array([n], pa.int64())})
+
+    reports.mapInArrow(write, "files long").write.format("noop").mode("overwrite").save()
+
+
 def file_inventory(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
     """``path`` relative to the folder of every file below it; contents are not read."""
     found = (spark.read.format("binaryFile").option("recursiveFileLookup", True)
