@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType
+from pyspark.sql.types import ArrayType, IntegerType
 
 from clinprep import vocab
 from clinprep.functions import parse
@@ -135,47 +136,41 @@ def tokens(text: Column, lower: bool = False) -> Column:
     return F.filter(F.split(base, " "), lambda w: w != "")
 
 
-def _grams(col: str, n: int) -> Column:
-    """Space-joined n-grams of a token array column."""
-    size = F.size(col)
-    if n == 1:
-        return F.col(col)
-    starts = F.when(size >= n, F.sequence(F.lit(1), size - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(col, i, n), " "))
-
-
 def gram_overlap(pairs: DataFrame, keys: list[str], orders: list[int]) -> DataFrame:
     """Clipped n-gram overlap per pair, from token arrays ``ref_tokens`` and ``pred_tokens``.
 
-    One row per pair with ``overlap_n, ref_n, pred_n`` per order. The pairs are placed by
-    key once, while still whole; the n-grams made from them are counted where they are, so
-    the long exploded form is never shuffled.
+    One row per pair with ``overlap_n, ref_n, pred_n`` per order. The n-grams of a pair are
+    counted where it is and never become rows, so nothing is shuffled.
     """
-    placed = pairs.select(*keys, "ref_tokens", "pred_tokens").repartition(*keys)
+    both = F.col("ref_tokens").isNotNull() & F.col("pred_tokens").isNotNull()
 
-    exploded = placed.select(*keys, F.explode_outer(F.concat(
-        _marked("ref_tokens", 0, orders), _marked("pred_tokens", 1, orders))).alias("g"))
-    counted = exploded.groupBy(*keys, "g.n", "g.gram").agg(
-        F.count_if(F.col("g.side") == 0).alias("r"), F.count_if(F.col("g.side") == 1).alias("p"))
+    def number(col: str, n: int) -> Column:
+        return F.when(both, F.greatest(F.size(col) - (n - 1), F.lit(0))).otherwise(0).cast("long")
+
+    counted = pairs.withColumn("_shared", _shared_grams(orders)("ref_tokens", "pred_tokens"))
     per_order = []
-    for n in orders:
-        here = F.col("n") == n
-        per_order += [
-            F.coalesce(F.sum(F.when(here, F.least("r", "p"))), F.lit(0)).alias(f"overlap_{n}"),
-            F.coalesce(F.sum(F.when(here, F.col("r"))), F.lit(0)).alias(f"ref_{n}"),
-            F.coalesce(F.sum(F.when(here, F.col("p"))), F.lit(0)).alias(f"pred_{n}"),
-        ]
-    return counted.groupBy(*keys).agg(*per_order)
+    for i, n in enumerate(orders):
+        per_order += [F.get("_shared", i).cast("long").alias(f"overlap_{n}"), number("ref_tokens", n).alias(f"ref_{n}"),
+                      number("pred_tokens", n).alias(f"pred_{n}")]
+    return counted.select(*keys, *per_order)
+
 
+def _shared_grams(orders: list[int]):
+    """Number of n-grams that two token arrays share, repeats clipped, for each of the orders."""
+    @F.pandas_udf(ArrayType(IntegerType()))
+    def shared(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        def grams(words, n):
+            return Counter(zip(*(words[i:] for i in range(n))))
 
-def _marked(col: str, side: int, orders: list[int]) -> Column:
-    return F.concat(*[F.transform(_grams(col, n), _tagger(n, side)) for n in orders])
+        def of_pair(ref, pred):
+            if ref is None or pred is None:
+                return [0] * len(orders)
+            return [(grams(ref, n) & grams(pred, n)).total() for n in orders]
 
+        for refs, preds in batches:
+            yield pd.Series([of_pair(list(r) if r is not None else None, list(p) if p is not None else None) for r, p in zip(refs, preds)], dtype=object)
 
-def _tagger(order: int, side: int):
-    def tag(gram):
-        return F.struct(F.lit(order).alias("n"), gram.alias("gram"), F.lit(side).alias("side"))
-    return tag
+    return shared
 
 
 def _f1(overlap: Column, ref: Column, pred: Column) -> Column:
