@@ -182,11 +182,16 @@ def shuffled(samples: DataFrame, id_col: str, seed: int = 42) -> DataFrame:
 def demo_sample(samples: DataFrame, id_col: str, n_per_stage: int = 40, seed: int = 42) -> DataFrame:
     """``n`` samples of each stage, numbered ``demo_a_001`` and so on.
 
-    The filter on the row number lets Spark keep only the first rows of every task before
-    the exchange.
+    Rows are counted per stage and leading digits of the hash; only those of the first buckets,
+    which together hold ``n``, are sorted.
     """
-    order = Window.partitionBy("stage").orderBy(seeded_hash(seed, id_col), id_col)
-    picked = samples.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= n_per_stage)
+    order, digits = seeded_hash(seed, id_col), rank_digits(samples.count())
+    bucket = F.substring(order, 1, digits)
+    before = Window.partitionBy("_stage").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    counts = samples.groupBy(F.col("stage").alias("_stage"), bucket.alias("_bucket")).agg(F.count("*").alias("_n"))
+    first = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).where(F.col("_before") < n_per_stage)
+    near = samples.join(F.broadcast(first), F.col("stage").eqNullSafe(F.col("_stage")) & (bucket == F.col("_bucket")), "left_semi")
+    picked = near.withColumn("_n", F.row_number().over(Window.partitionBy("stage").orderBy(order, id_col))).where(F.col("_n") <= n_per_stage)
     name = F.concat(F.lit("demo_"), F.lower("stage"), F.lit("_"), F.format_string("%03d", "_n"))
     sidecar = F.when(F.col("stage") == "B", F.concat(F.lit("demo_ehr/"), name, F.lit("_ehr.json")))
     return picked.withColumn("demo_id", name).withColumn("ehr_json_path", sidecar).drop("_n")
