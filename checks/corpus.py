@@ -96,7 +96,8 @@ GROUPS = f"""{CONTEXT_CTES}, k AS (
 @check("W1_context_dedup_subject", views=CONTEXT_VIEWS, sql=f"""
     WITH {GROUPS} SELECT study_id, min(study_id) OVER (PARTITION BY subject_id) AS representative, count(*) OVER (PARTITION BY subject_id) AS n_same FROM k""")
 def _(spark, sf):
-    return corpus.representative_map(stored(context(spark, sf), "context"), by="subject")
+    # only the ids decide, so only they are kept of the contexts
+    return corpus.representative_map(stored(context(spark, sf).select("study_id", "subject_id"), "context"), by="subject")
 
 
 @check("W1_context_dedup_full", views=CONTEXT_VIEWS, sql=f"""
