@@ -278,10 +278,10 @@ def _(spark, sf):
 
 
 def _latest_labs(spark, sf):
-    """The flagship composition: name, check, window, reduce."""
-    labs = ehr.checked_labs(named_labs(spark, sf))
-    window = ehr.in_admission(labs, view(spark, sf, "admissions"))
-    return ehr.latest_labs(window.drop("admittime", "dischtime", "admission_type"), ["subject_id"], LAB_IDS)
+    """The flagship composition: name, window, check, reduce."""
+    window = ehr.in_admission(named_labs(spark, sf), view(spark, sf, "admissions"))
+    labs = ehr.checked_labs(window.drop("admittime", "dischtime", "admission_type"))
+    return ehr.latest_labs(labs, ["subject_id"], LAB_IDS)
 
 
 # --- oxygen, diagnoses --------------------------------------------------------

@@ -19,10 +19,12 @@ from clinprep import vocab
 from clinprep.functions import measure
 from clinprep.functions.exprs import decode, literal_map, micros, vocabulary_join
 from clinprep.operators.scaling import last_in_window, once_per_value, salted_join
+from clinprep.sources.files import stored
 
 SECOND = 1_000_000  # positions are microseconds
 DAY = 86_400 * SECOND
 HOUR = 3_600 * SECOND
+WINDOW_BUCKETS = 1 << 18  # buckets of subjects whose window bounds are broadcast
 
 
 def demographics(studies: DataFrame, patients: DataFrame, as_recorded: bool = True) -> DataFrame:
@@ -75,15 +77,27 @@ def in_admission(events: DataFrame, admissions: DataFrame, before_days: int = 0,
     """Events inside the window of their subject's latest admission.
 
     ``after_days=None``, or a null discharge, leaves the end open. Inclusive on both sides.
+    Events outside every window of their subject's hash bucket are left out by broadcast; only
+    the others are stored, measured for hot subjects and joined.
     """
-    last = latest_admission(admissions)
-    joined = salted_join(events, last, "subject_id", ["charttime"])
+    last = stored(latest_admission(admissions), "last")
     start = F.col("admittime") - F.expr(f"INTERVAL {before_days} DAYS")
-    inside = F.col("charttime") >= start
-    if after_days is not None:
-        inside = inside & (F.col("dischtime").isNull() | (
-            F.col("charttime") <= F.col("dischtime") + F.expr(f"INTERVAL {after_days} DAYS")))
-    return joined.where(inside)
+    end = F.lit(None).cast("timestamp") if after_days is None else F.col("dischtime") + F.expr(f"INTERVAL {after_days} DAYS")
+    near = stored(_near_windows(events, last, start, end), "near")
+    joined = salted_join(near, last, "subject_id", ["charttime"])
+    return joined.where((F.col("charttime") >= start) & (end.isNull() | (F.col("charttime") <= end)))
+
+
+def _near_windows(events: DataFrame, windows: DataFrame, start: Column, end: Column) -> DataFrame:
+    """Events between the first start and the last end (null: open) of the windows in their subject's bucket.
+
+    A superset of the events inside their own window, from at most ``WINDOW_BUCKETS`` rows.
+    """
+    bucket = F.pmod(F.xxhash64("subject_id"), F.lit(WINDOW_BUCKETS)).alias("_bucket")
+    bounds = windows.select(bucket, start.alias("_start"), end.alias("_end")).groupBy("_bucket").agg(
+        F.min("_start").alias("_start"), F.max("_end").alias("_end"), F.bool_or(F.col("_end").isNull()).alias("_open"))
+    inside = (F.col("charttime") >= F.col("_start")) & (F.col("_open") | (F.col("charttime") <= F.col("_end")))
+    return events.select("*", bucket).join(F.broadcast(bounds), "_bucket").where(inside).select(*events.columns)
 
 
 def recent(events: DataFrame, as_of: Column, days: int = vocab.RECENT_VITAL_DAYS) -> DataFrame:
