@@ -48,8 +48,11 @@ RECORD_VIEWS = ("rec", "rec_vitals", "rec_labs")
 
 
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One nested record per document: text, labels, stage and (for most) patient data."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "n_chars")
+    """One nested record per document: text, labels, stage and (for most) patient data.
+
+    The maps of measurements are built from their few inputs after the joins, which sort narrow rows.
+    """
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.col("doc_id").alias("study_id"), "n_chars")
 
     def cell(name, **fields):
         return [F.lit(name), F.struct(*[v.alias(k) for k, v in fields.items()])]
@@ -60,17 +63,12 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
                           ref_low=F.lit(10.0), ref_high=F.lit(30.0))
     for name, _, value, unit in _VITAL_ROWS:
         vital_cells += cell(name, value=F.expr(value), unit=F.lit(unit))
-    full = docs.select(
-        F.col("doc_id").alias("study_id"),
-        F.create_map(*lab_cells).alias("labs"), F.create_map(*vital_cells).alias("vitals"),
-        F.expr(_HAS).alias("has"))
     head = view(spark, sf_dir, "rec")
-    nothing = lambda c: F.map_filter(c, lambda k, v: F.lit(False))
+    some = lambda c: F.map_filter(c, lambda k, v: F.expr(_HAS))
     data = F.struct(
         F.col("study_id").alias("subject_id"), F.col("age").alias("Age"), F.col("sex").alias("Sex"),
         "hadm_id", "admission_type",
-        F.when(F.col("has"), F.col("vitals")).otherwise(nothing("vitals")).alias("Vitals"),
-        F.when(F.col("has"), F.col("labs")).otherwise(nothing("labs")).alias("Labs"),
+        some(F.create_map(*vital_cells)).alias("Vitals"), some(F.create_map(*lab_cells)).alias("Labs"),
         F.col("o2").alias("O2_device"), F.array("condition").alias("Chronic_conditions"))
     said = view(spark, sf_dir, "reports").select(
         "study_id", F.col("report"), text.extract_impression(F.col("report")).alias("impression"))
@@ -78,7 +76,7 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("chexpert_labels"))
     paths = view(spark, sf_dir, "inventory").select("study_id", F.col("path").alias("image_path"))
     return (
-        head.join(full, "study_id").join(said, "study_id").join(labels, "study_id").join(paths, "study_id")
+        head.join(docs, "study_id").join(said, "study_id").join(labels, "study_id").join(paths, "study_id")
         .select("study_id", "image_path", "impression", "chexpert_labels", "stage",
                 F.when(F.col("age").isNotNull(), data).alias("patient_data"))
     )
