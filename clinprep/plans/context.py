@@ -12,7 +12,8 @@ window of its subject's latest admission; without one, recent vitals and any lab
 | oxygen | 24 hours up to ``t`` | from admission | any |
 
 The first kind is one ordered pass over the facts of a subject and time cell, for all slots
-at once; the others are one aggregation per subject. Nothing is exploded by slot, no pairs of
+at once; the others are one aggregation per subject. Facts of subjects without a study, and of cells
+without one, are left out before. Nothing is exploded by slot, no pairs of
 study and event are formed, and what a record needs is then picked from its own row.
 """
 
@@ -65,16 +66,28 @@ def context_facts(vitals: DataFrame, labs: DataFrame, oxygen: DataFrame, lab_tie
 
 
 def facts_at_time(moments: DataFrame, facts: DataFrame, slots: list[str]) -> DataFrame:
-    """The last fact of each slot at each moment (``subject_id, study_time``), in columns ``s0, s1, ...``."""
-    told = facts.withColumn("_pos", micros("charttime")).withColumn("_cell", F.explode(F.array(F.floor(F.col("_pos") / _LONGEST), F.floor(F.col("_pos") / _LONGEST) + 1))).select(
+    """The last fact of each slot at each moment (``subject_id, study_time``), in columns ``s0, s1, ...``.
+
+    Only facts of cells with a moment take part, and the wide pass has one row for each moment.
+    """
+    cell = F.floor(F.col("_pos") / _LONGEST)
+    placed = moments.withColumn("_pos", micros("study_time")).withColumn("_cell", cell)
+    told = facts.where(F.col("slot").isin(slots)).withColumn("_pos", micros("charttime")).withColumn("_cell", F.explode(F.array(cell, cell + 1))).join(
+        placed.select("subject_id", "_cell").distinct(), ["subject_id", "_cell"], "left_semi").select(
         "subject_id", "_cell", "_pos", F.lit(0).alias("_asks"), "slot", F.struct("kind", "fact").alias("_fact"),
         F.lit(None).cast("timestamp").alias("study_time"))
-    asked = moments.withColumn("_pos", micros("study_time")).select(
-        "subject_id", F.floor(F.col("_pos") / _LONGEST).alias("_cell"), "_pos", F.lit(1).alias("_asks"),
+    asked = placed.select(
+        "subject_id", "_cell", "_pos", F.lit(1).alias("_asks"),
         F.lit(None).cast("string").alias("slot"), F.lit(None).cast(told.schema["_fact"].dataType).alias("_fact"), "study_time")
-    upto = Window.partitionBy("subject_id", "_cell").orderBy("_pos", "_asks").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    last = told.unionByName(asked).select("*", *[
-        F.last(F.when(F.col("slot") == s, F.col("_fact")), ignorenulls=True).over(upto).alias(f"s{i}") for i, s in enumerate(slots)])
+    cells = Window.partitionBy("subject_id", "_cell").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a fact belongs to the first moment at or after it; of each slot the last one there is kept
+    numbered = told.unionByName(asked).withColumn("_moment", F.sum("_asks").over(cells.orderBy(F.desc("_pos"), F.desc("_asks"))))
+    latest = numbered.where("_moment > 0").groupBy("subject_id", "_cell", "_moment", "slot").agg(
+        F.max_by("_fact", "_pos").alias("_fact"), F.max("study_time").alias("study_time"))
+    each = latest.groupBy("subject_id", "_cell", "_moment").agg(F.max("study_time").alias("study_time"), F.map_from_entries(
+        F.collect_list(F.when(F.col("slot").isNotNull(), F.struct("slot", "_fact")))).alias("_facts"))
+    last = each.select("subject_id", "study_time", *[
+        F.last(F.try_element_at("_facts", F.lit(s)), ignorenulls=True).over(cells.orderBy(F.desc("_moment"))).alias(f"s{i}") for i, s in enumerate(slots)])
     t = F.col("study_time")
 
     def fresh(name: str) -> Column:
@@ -85,7 +98,7 @@ def facts_at_time(moments: DataFrame, facts: DataFrame, slots: list[str]) -> Dat
                  .otherwise(t - F.expr(f"INTERVAL {vocab.OXYGEN_LOOKBACK_HOURS} HOURS")))
         return F.when(seen["charttime"] >= bound, seen).alias(name)
 
-    return last.where("_asks = 1").select("subject_id", "study_time", *[fresh(f"s{i}") for i in range(len(slots))])
+    return last.select("subject_id", "study_time", *[fresh(f"s{i}") for i in range(len(slots))])
 
 
 def facts_of_admission(subjects: DataFrame, facts: DataFrame, slots: list[str], as_of: Column) -> DataFrame:
@@ -142,6 +155,8 @@ def build_context(studies: DataFrame, patients: DataFrame, admissions: DataFrame
     """
     as_of = F.current_timestamp() if as_of is None else as_of
     slots = [f"{source}|{n}" for source in vocab.SOURCE_PRIORITY for n in vital_names] + [f"lab|{n}" for n in lab_names] + ["oxygen"]
+    studied = studies.select("subject_id").distinct()
+    vitals, labs, oxygen = (df.join(studied, "subject_id", "left_semi") for df in (vitals, labs, oxygen))
     facts = stored(context_facts(vitals, labs, oxygen, lab_tie), "facts")  # read by both kinds of windows
     last = ehr.latest_admission(admissions).select("subject_id", "hadm_id", "admission_type", "admittime", "dischtime")
     people = ehr.demographics(studies, patients).join(last, "subject_id", "left")
