@@ -12,7 +12,8 @@ similarity of their sets is ``threshold`` or more.
    level, holds similar documents and is compared as it is.
 3. *Comparison.* In small buckets sketches of one byte per coordinate rule most pairs out;
    what remains connected is a candidate group, named by its members, so the same group found
-   by several runs is compared once. Groups above ``BLOCK`` nodes are cut into pairs of
+   by several runs is compared once. Groups that share nodes are put together up to ``BLOCK``
+   nodes, so most sets are sent once. Groups above ``BLOCK`` nodes are cut into pairs of
    blocks, so no task holds an unbounded group. Then the sets themselves are compared.
 4. *Classes.* Comparisons return, for each node, the number of its links and one node of its
    connected part, never pairs; a link in several groups counts in the first that both its
@@ -230,7 +231,7 @@ def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame
 
     roots = F.array(*[F.lit(int(r)) for r in mix64(np.arange(1, runs + 1, dtype=np.uint64)).astype(np.int64)])
     rows = nodes.select(F.explode(roots).alias("bucket"), F.lit(1 << 62).alias("size"), "key", "values")
-    small, dense = [], []
+    small, dense, alive = [], [], nodes.select("key", "values")
     for depth in range(1, DEPTH + 1):
         level = stored(split(rows, threshold), "paths")
         sizes = level.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1")
@@ -238,9 +239,12 @@ def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame
         is_small, is_dense = F.col("size") <= LEAF, (F.col("size") > F.col("parent") * SHRINKS) | F.lit(depth == DEPTH)
         small.append(sized.where(is_small))
         dense.append(sized.where(~is_small & is_dense))
-        rows = sized.where(~is_small & ~is_dense).select("bucket", "size", "key").join(nodes.select("key", "values"), "key")
-        if sized.where(~is_small & ~is_dense).isEmpty():
+        large = sized.where(~is_small & ~is_dense).select("bucket", "size", "key")
+        if large.isEmpty():
             break
+        # the values of nodes that are in no large bucket are not sent again
+        alive = stored(alive.join(large.select("key").distinct(), "key", "left_semi"), "alive")
+        rows = large.join(alive, "key")
     leaves, rest = small[0], dense[0]
     for more, other in zip(small[1:], dense[1:]):
         leaves, rest = leaves.unionByName(more), rest.unionByName(other)
@@ -276,33 +280,46 @@ def candidate_groups(nodes: DataFrame, threshold: float, runs: int) -> DataFrame
     return sifted.unionByName(named).distinct()
 
 
+def together(groups: DataFrame) -> DataFrame:
+    """``group, key``: groups that share nodes as one where that has at most ``BLOCK`` nodes, the others as they are."""
+    groups = stored(groups, "groups")
+    lowest = groups.groupBy("group").agg(F.min("key").alias("low"))
+    roots = components(groups.join(lowest, "group").select(F.col("key").alias("a"), F.col("low").alias("b")))
+    few = roots.groupBy("root").agg(F.count("*").alias("n")).where(F.col("n") <= BLOCK).select("root")
+    named = roots.join(few, "root").select(F.col("node").alias("key"), F.xxhash64("root").alias("whole"))
+    return groups.join(named, "key", "left").select(F.coalesce("whole", "group").alias("group"), "key").distinct()
+
+
 def compare(groups: DataFrame, docs: DataFrame, nodes: DataFrame, id_col: str, text: str, size: int, threshold: float) -> DataFrame:
     """``key, root, n_links`` for each group (or pair of blocks) in which a node has links."""
     import pyarrow as pa
 
-    groups = stored(groups, "groups")
+    groups = stored(together(groups), "groups")
     sizes = groups.groupBy("group").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("key"), blocks).cast("int")
-    of_node = groups.groupBy("key").agg(F.sort_array(F.collect_list("group")).alias("groups"))
-    wanted = of_node.join(nodes.select("key", "id"), "key").select("key", "groups", F.col("id").alias("node_id"))
+    # with the sizes, so that the sets are in no further join
+    of_node = groups.join(sizes, "group").groupBy("key").agg(F.sort_array(F.collect_list(F.struct("group", "n"))).alias("in"))
+    wanted = of_node.join(nodes.select("key", "id"), "key").select(
+        "key", F.col("in.group").alias("groups"), F.col("in.n").alias("sizes"), F.col("id").alias("node_id"))
 
     def sets_of(batches):
         for batch in batches:
             for a in range(0, batch.num_rows, 1000):
                 part = batch.slice(a, 1000)
-                sets = word_sets(part.column(2).to_pylist(), size)
+                sets = word_sets(part.column(3).to_pylist(), size)
                 # another document of the same id may have another set
                 ok = [i for i, (s, key) in enumerate(zip(sets, part.column(0).to_pylist())) if len(s) and set_key(s) == key]
-                yield pa.RecordBatch.from_arrays([
-                    part.column(0).take(pa.array(ok, pa.int64())), part.column(1).take(pa.array(ok, pa.int64())),
-                    pa.array([sets[i].tobytes() for i in ok], pa.binary())], names=["key", "groups", "members"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(c).take(pa.array(ok, pa.int64())) for c in range(3)] + [pa.array([sets[i].tobytes() for i in ok], pa.binary())],
+                    names=["key", "groups", "sizes", "members"])
 
     texts = docs.select(F.col(id_col).alias("node_id"), F.col(text).alias("text"))
-    filled = (texts.join(wanted, texts.node_id.eqNullSafe(wanted.node_id)).select("key", "groups", "text")
-              .mapInArrow(sets_of, "key binary, groups array<long>, members binary"))
+    filled = (texts.join(wanted, texts.node_id.eqNullSafe(wanted.node_id)).select("key", "groups", "sizes", "text")
+              .mapInArrow(sets_of, "key binary, groups array<long>, sizes array<long>, members binary"))
     dealt = (
-        filled.select("key", "groups", "members", F.explode("groups").alias("group")).join(sizes, "group")
+        filled.select("key", "groups", "members", F.explode(F.arrays_zip("groups", "sizes")).alias("in"))
+        .select("key", "groups", "members", F.col("in.groups").alias("group"), F.col("in.sizes").alias("n"))
         .withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("group", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "key", "groups", "members"))
