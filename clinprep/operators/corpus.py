@@ -404,6 +404,9 @@ def stepped_ratios(progress: Column) -> tuple[Column, Column]:
     return a, s
 
 
+SCHEDULE_STARTS = 4096
+
+
 def schedule(spark: SparkSession, total_steps: int | Column, batch_size: int, split: float = 0.5,
              early: tuple[float, float] | None = (0.5, 0.2)) -> DataFrame:
     """Rows per step and part; fractions are cut off and stage B takes the remainder.
@@ -413,8 +416,9 @@ def schedule(spark: SparkSession, total_steps: int | Column, batch_size: int, sp
     total = F.lit(total_steps) if isinstance(total_steps, int) else total_steps
     progress = F.col("step") / F.col("total")
     a, s = mix_ratios(progress, split, early) if early is not None else stepped_ratios(progress)
-    counted = spark.range(1).select(total.cast("long").alias("total")).where("total > 0")
-    steps = counted.select("total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("total") - 1)).alias("step"))
+    # many rows to start from, so that the steps come from all cores and not from one task
+    starts = spark.range(SCHEDULE_STARTS).select("id", total.cast("long").alias("total")).where("id < total")
+    steps = starts.select("total", F.explode(F.sequence(F.col("id"), F.col("total") - 1, F.lit(SCHEDULE_STARTS).cast("long"))).alias("step"))
     whole = steps.withColumn("n_a", F.floor(a * batch_size).cast("long")).withColumn(
         "n_synthetic", F.floor(s * batch_size).cast("long"))
     return whole.withColumn("n_b", F.lit(batch_size) - F.col("n_a") - F.col("n_synthetic")).drop("total")
@@ -440,8 +444,10 @@ def batches(plan: DataFrame, samples: DataFrame, id_col: str, weights: DataFrame
     def ranked(stage, part, count):
         pool = seeded_rank(samples.where(F.col("stage") == stage).select(id_col), id_col, seed)
         place = permuted(F.col("slot"), F.col("_size"), F.lit(seed), F.lit(part), F.col("step"))
-        wanted = slots(stage, count, part).withColumn("rank", place + 1)
-        return wanted.join(pool, "rank").select("step", "part", "slot", id_col)
+        # never null, and said so: else the filter that the join infers works out every place again
+        wanted = slots(stage, count, part).withColumn("rank", F.coalesce(place + 1, F.lit(0).cast("long")))
+        # the slots are exploded, so their estimated size is far too small: never to be broadcast
+        return wanted.hint("merge").join(pool, "rank").select("step", "part", "slot", id_col)
 
     a = ranked("A", "A", "n_a")
     synthetic = ranked("B", "synthetic", "n_synthetic")

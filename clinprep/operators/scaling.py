@@ -120,15 +120,14 @@ def permuted(index: Column, size: Column, *key, rounds: int = 8) -> Column:
     b = F.floor((size + a - 1) / a).cast("long")
 
     def turn(value: Column) -> Column:
-        start = F.struct(F.floor(value / b).cast("long").alias("left"), F.pmod(value, b).alias("right"))
+        # the half to change comes first, with its range; the halves change places at each step
+        start = F.struct(F.floor(value / b).cast("long").alias("of"), F.pmod(value, b).alias("by"), a.alias("n"), b.alias("m"))
 
         def step(at, i):
-            drawn = F.xxhash64(*key, i, F.when(i % 2 == 0, at["right"]).otherwise(at["left"]))
-            return F.struct(
-                F.when(i % 2 == 0, F.pmod(at["left"] + F.pmod(drawn, a), a)).otherwise(at["left"]).alias("left"),
-                F.when(i % 2 == 0, at["right"]).otherwise(F.pmod(at["right"] + F.pmod(drawn, b), b)).alias("right"))
+            drawn = F.pmod(F.xxhash64(*key, i, at["by"]), at["n"])
+            return F.struct(at["by"].alias("of"), F.pmod(at["of"] + drawn, at["n"]).alias("by"), at["m"].alias("n"), at["n"].alias("m"))
 
-        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, step, lambda at: at["left"] * b + at["right"])
+        return F.aggregate(F.sequence(F.lit(0), F.lit(2 * rounds - 1)), start, step, lambda at: at["of"] * b + at["by"])
 
     beyond = a * b - size
     turns = F.when(beyond > 0, F.sequence(F.lit(1).cast("long"), F.least(beyond, F.lit(40).cast("long")))).otherwise(F.array().cast("array<bigint>"))
